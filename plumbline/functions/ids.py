@@ -38,16 +38,26 @@ PEEL = rf"^(?:[^:]+:)*?(?:(?i:{_P}):)*((?i:{_P})):((?s:.*))$"
 
 def squeeze(c: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.trim(c, F.lit(" \t\n\x0b\f\r"))
+
+
+def is_reference(c: Column) -> Column:
+    """Whether an id is neither null nor blank; cheaper than comparing its canonical form."""
+    return c.isNotNull() & (squeeze(c) != "")
 
 
 def canonical_id(c: Column) -> Column:
     """The canonical spelling of a node id: trimmed, one lower-case type prefix (``function`` for ``func``), nothing before
-    it, forward slashes. Null stays null; a blank id gives the empty string; an id without a type prefix keeps its text."""
-    s = F.regexp_replace(squeeze(c), r"\\", "/")
+    it, forward slashes. Null stays null; a blank id gives the empty string; an id without a type prefix keeps its text.
+
+    Only ids that are not canonical already meet the pattern, which backtracks; the test for that compares two segments."""
+    s = F.replace(squeeze(c), F.lit("\\"), F.lit("/"))
+    known = [p for p in TYPE_PREFIXES if p != "func"]
+    second = F.lower(F.substring_index(F.substring_index(c, ":", 2), ":", -1))
+    plain = F.substring_index(c, ":", 1).isin(known) & c.contains(":") & ~second.isin(list(TYPE_PREFIXES))
     prefix = F.lower(F.regexp_extract(s, PEEL, 1))
-    prefix = F.when(prefix == "func", "function").otherwise(prefix)
-    return F.when(prefix == "", s).otherwise(F.concat(prefix, F.lit(":"), F.regexp_extract(s, PEEL, 2)))
+    peeled = F.concat(F.when(prefix == "func", "function").otherwise(prefix), F.lit(":"), F.regexp_extract(s, PEEL, 2))
+    return F.when(plain, s).when(F.regexp_extract(s, PEEL, 1) == "", s).otherwise(peeled)
 
 
 def canonical_id_sql(c: str) -> str:

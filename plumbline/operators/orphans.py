@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.ids import canonical_id
+from plumbline.functions.ids import canonical_id, is_reference
 from plumbline.operators.skew import hot_keys, join_unique
 from plumbline.session import cut_lineage
 
@@ -22,15 +22,15 @@ def presence(nodes: DataFrame, external: DataFrame, tombstones: DataFrame) -> Da
     ``external``. Null and blank ids give no row. A node whose first_seen_at is null in every row counts as always there."""
     none = F.lit(None).cast("timestamp_ntz")
     parts = [
-        nodes.select(
+        nodes.where(is_reference(F.col("id"))).select(
             canonical_id(F.col("id")).alias("ref"),
             F.col("first_seen_at").cast("timestamp_ntz").alias("seen"),
             none.alias("gone"),
             F.lit(1).alias("known"),
             F.lit(0).alias("external"),
         ),
-        external.select(canonical_id(F.col("id")).alias("ref"), none.alias("seen"), none.alias("gone"), F.lit(0).alias("known"), F.lit(1).alias("external")),
-        tombstones.select(
+        external.where(is_reference(F.col("id"))).select(canonical_id(F.col("id")).alias("ref"), none.alias("seen"), none.alias("gone"), F.lit(0).alias("known"), F.lit(1).alias("external")),
+        tombstones.where(is_reference(F.col("id"))).select(
             canonical_id(F.col("id")).alias("ref"),
             none.alias("seen"),
             F.col("deleted_at").cast("timestamp_ntz").alias("gone"),
@@ -38,7 +38,7 @@ def presence(nodes: DataFrame, external: DataFrame, tombstones: DataFrame) -> Da
             F.lit(0).alias("external"),
         ),
     ]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).where(F.col("ref") != "")
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return rows.groupBy("ref").agg(F.min("seen").alias("seen"), F.min("gone").alias("gone"), F.max("known").alias("known"), F.max("external").alias("external"))
 
 
@@ -51,7 +51,7 @@ def references(edges: DataFrame) -> DataFrame:
         )
     )
     flat = edges.select("pos", F.col("observed_at").cast("timestamp_ntz").alias("observed_at"), ends.alias("e"))
-    return flat.select("pos", "e.endpoint", canonical_id(F.col("e.raw")).alias("ref"), "observed_at").where(F.col("ref") != "")
+    return flat.where(is_reference(F.col("e.raw"))).select("pos", "e.endpoint", canonical_id(F.col("e.raw")).alias("ref"), "observed_at")
 
 
 def direct_orphans(edges: DataFrame, nodes: DataFrame, external: DataFrame, tombstones: DataFrame) -> DataFrame:
