@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("queries_records", "queries_text")
+MODULES = ("queries_records", "queries_text", "queries_vectors", "queries_documents")
 
 
 def collect(attribute: str) -> dict:
