@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("queries_records", "queries_text", "queries_vectors", "queries_documents")
+MODULES = ("queries_records", "queries_text", "queries_vectors", "queries_documents", "queries_files")
 
 
 def collect(attribute: str) -> dict:
