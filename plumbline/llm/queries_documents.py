@@ -1,11 +1,11 @@
-"""Queries on documents: leaked test items and garbled texts."""
+"""Queries on documents: packing, leaked test items and garbled texts."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import encoding, leakage
+from plumbline.llm import encoding, leakage, packing
 from plumbline.sources.tables import table
 
 
@@ -29,5 +29,17 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_restored(spark, d).select("doc_id")
 
 
-QUERIES = {"p9_found": p9_found, "p9_passages": p9_passages, "p9_items": p9_items, "p10_found": p10_found, "p10_restored": p10_restored}
+def p8_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"))
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.containers(p8_packing(spark, d))
+
+
+def p8_usage(spark: SparkSession, d: str) -> DataFrame:
+    return packing.usage(p8_packing(spark, d))
+
+
+QUERIES = {"p8_packing": p8_packing, "p8_containers": p8_containers, "p8_usage": p8_usage, "p9_found": p9_found, "p9_passages": p9_passages, "p9_items": p9_items, "p10_found": p10_found, "p10_restored": p10_restored}
 ORACLE: dict[str, str] = {}
