@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("orphan_queries", "graph_queries")
+MODULES = ("orphan_queries", "graph_queries", "data_queries")
 
 
 def collect(attribute: str) -> dict:
