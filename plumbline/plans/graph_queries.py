@@ -12,8 +12,7 @@ from plumbline.plans.common import EDGES, LAYER_A, LAYER_B, MEMBERS, NODES, case
 
 Q: dict = {}
 S: dict = {}
-#: Columns of an edge in results; weights rounded, as they are stored as single floats.
-W = F.round("weight", 4).alias("weight")
+#: Columns of an edge in results.
 EDGE = ("source", "target", "type")
 
 
@@ -312,7 +311,7 @@ def diff_unmapped(spark, d):
 
 @query("SELECT source, target, type, round(weight, 4) AS weight FROM e WHERE type = 'flow_step' ORDER BY weight, source, target", EDGES)
 def flow_step_order(spark, d):
-    return edges_of(spark, d).where("type = 'flow_step'").select(*EDGE, W).orderBy("weight", "source", "target")
+    return edges_of(spark, d).where("type = 'flow_step'").select(*EDGE, F.round("weight", 4).alias("weight")).orderBy("weight", "source", "target")
 
 
 @query("SELECT a.source AS a, a.target AS b FROM p a JOIN p b ON a.source = b.target AND a.target = b.source WHERE a.source < a.target", EDGES, "p AS (SELECT DISTINCT source, target FROM e WHERE type IN ('imports', 'calls'))")
