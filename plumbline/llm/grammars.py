@@ -66,7 +66,7 @@ Name = ID | @Soft
 @Word = ID | @Soft | 'import' | 'export' | 'default' | 'if' | 'else' | 'for' | 'while' | 'do' | 'switch' | 'case' | 'try' | 'catch' | 'finally' | 'function' | 'class' | 'extends' | 'new' | 'delete' | 'typeof' | 'void' | 'in' | 'instanceof' | 'return' | 'throw' | 'break' | 'continue' | 'debugger' | 'with' | 'var' | 'const' | 'this' | 'super' | 'null' | 'true' | 'false' | 'enum'
 @T = ';' | NL
 @Pre = '!' | '~' | '+' | '-' | '++' | '--' | 'typeof' | 'void' | 'delete' | 'await'
-@Bin = '+' | '-' | '*' | '/' | '%' | '**' | '==' | '!=' | '===' | '!==' | '<' | '<=' | '>' '>'? '>'? | '>' '=' | '&&' | '||' | '??' | '&' | '|' | '^' | '<<' | 'in' | 'instanceof'
+@Bin = '+' | '-' | '*' | '/' | '%' | '**' | '==' | '!=' | '===' | '!==' | '<' | '<=' | '>' '>'? '>'? {T NL? } | '>' '=' | '&&' | '||' | '??' | '&' | '|' | '^' | '<<' | 'in' | 'instanceof'
 @Assign = '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '**=' | '&=' | '|=' | '^=' | '<<=' | '&&=' | '||=' | '??=' | '>' '>' '='  | '>' '>' '>' '='
 @Modifier = 'public' | 'private' | 'protected' | 'static' | 'readonly' | 'abstract' | 'override' | 'declare' | 'async' | 'accessor'
 """

@@ -18,7 +18,7 @@ from plumbline.session import cut_lineage
 
 #: Columns per block, and the width of the hypothesis test: a candidate within the threshold is lost with a probability of well under 1 %.
 BLOCK = 16
-EPSILON = 2.1
+EPSILON = 3.0
 #: Vectors and queries that one task compares; lists and probes beyond are cut into blocks, so no list is too large.
 MEMBERS, QUERIES = 2_000, 8_000
 MAX_LISTS = 65_536
@@ -54,6 +54,9 @@ def scan(q: np.ndarray, c: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, n
     i, j = np.nonzero(part * (dim / first) <= (limit * (1 + EPSILON / np.sqrt(first)) ** 2)[:, None])
     d = part[i, j]
     del part
+    if first == dim:  # one block holds the whole vector: its distance is no estimate
+        keep = d <= limit[i] + 1e-6
+        i, j, d = i[keep], j[keep], d[keep]
     for a in range(first, dim, BLOCK):
         b = min(a + BLOCK, dim)
         for s in range(0, len(i), 200_000):

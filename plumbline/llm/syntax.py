@@ -110,6 +110,8 @@ class Parser:
             self.ending = {self.classes[c] for c in ("ID", "NUM", "STR", "TEMPLATE", "REGEX", "JSX", "PRIVATE")}
             operators = word - set("typeof void delete await in instanceof new else do case extends export default import const let var throw yield of as from satisfies keyof infer".split())
             self.ending |= {self.kinds[w] for w in operators} | {self.kinds["++"], self.kinds["--"], self.kinds["of"], self.kinds["as"], self.kinds["from"]}
+            if language == "typescript":
+                self.ending.add(self.kinds[">"])  # type arguments may end a line; behind an operator the grammar skips it
             self.going_on = {t for t in self.kinds if not t[0].isalpha() and t not in ("++", "--", "!", "~", "@", "...", "'") and t != "}"} | {"else", "catch", "finally", "instanceof", "in", "(", "[", "{", ")", "]", "satisfies"}
         elif language == "go":
             self.ending = {self.classes[c] for c in ("ID", "NUM", "STR", "RUNE")} | {self.kinds[w] for w in ("break", "continue", "fallthrough", "return", "++", "--")}
@@ -689,9 +691,8 @@ def find_broken(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            bad = [not parses(p, c) for p, c in zip(pdf["path"], pdf["content"])]
-            hit = pdf.loc[bad, ["file_id", "project", "path"]]
-            yield pd.DataFrame({"file_id": hit["file_id"], "project": hit["project"], "language": [implied(p) for p in hit["path"]]})
+            rows = [(i, project, implied(p)) for i, project, p, c in pdf.itertuples(index=False, name=None) if not parses(p, c)]
+            yield pd.DataFrame(rows, columns=["file_id", "project", "language"])
 
     return files.where("content is not null and path is not null").select("file_id", "project", "path", "content").mapInPandas(run, "file_id bigint, project string, language string")
 
