@@ -101,7 +101,7 @@ def nearest(
     key: str = "vec_id",
     vector: str = "embedding",
     model: str = "model",
-    probes: int = 16,
+    probes: int | None = None,
     list_size: int = 400,
     sample: int = 20_000,
     seed: int = 7,
@@ -113,6 +113,7 @@ def nearest(
     The index is fitted on at most ``sample`` vectors of each model and holds all. Equal vectors are searched once, by their smallest id; of their copies
     the k + 1 smallest are kept as neighbours, which is all that k neighbours can need. No list, probe or group of copies has to fit a task."""
     spark = df.sparkSession
+    probes = probes or (16 if min_similarity is not None and min_similarity >= 0.8 else 24)
     schema = "model string, vec_id bigint, neighbour bigint, similarity double"
     base = cut_lineage(usable_vectors(df, key, vector, model))
     by_copy = Window.partitionBy("copy").orderBy("vec_id")
