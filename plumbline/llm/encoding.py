@@ -52,8 +52,19 @@ def symbol(c: str) -> str:
     return _BLOCKS[o >> 8]
 
 
+class _Symbols(dict):
+    """symbol() by code point, for str.translate; at most one entry for each character met."""
+
+    def __missing__(self, o: int) -> str:
+        got = self[o] = symbol(chr(o))
+        return got
+
+
+_SYMBOLS = _Symbols()
+
+
 def symbols(text: str) -> str:
-    return "".join(map(symbol, text))
+    return text.translate(_SYMBOLS)
 
 
 def count_pairs(docs: DataFrame, text: str) -> DataFrame:
@@ -195,7 +206,7 @@ def _sloppy(text: str, encoding: str) -> bytes | None:
 
 def _tidy(text: str) -> bool:
     """Whether a decoded text has assigned characters only and no controls beside line ends and tabs."""
-    return all(c in "\n\r\t" or unicodedata.category(c) not in ("Cc", "Cn", "Co", "Cs") for c in text)
+    return text.isprintable() or all(c in "\n\r\t" or unicodedata.category(c) not in ("Cc", "Cn", "Co", "Cs") for c in text)
 
 
 def _plausible(run: str, got: str) -> bool:
