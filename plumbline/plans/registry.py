@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("orphan_queries", "graph_queries", "data_queries", "structure_queries")
+MODULES = ("orphan_queries", "graph_queries", "data_queries", "structure_queries", "analytics_queries")
 
 
 def collect(attribute: str) -> dict:
