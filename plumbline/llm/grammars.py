@@ -10,13 +10,13 @@ from plumbline.llm.gll import Grammar
 
 _ECMA = """
 Module = NL? Item*
-Item = Stmt | Import | Export
+Item = Stmt | Import | Export {T | ( 'export'? 'default'? Signature )+ 'export'? 'default'? 'async'? Func }
 Import = 'import' ( STR | Name ( ',' ( C[Specs] | '*' 'as' Name ) )? 'from' STR | ( C[Specs] | '*' 'as' Name ) 'from' STR {T | 'type' ( Name | C[Specs] | '*' 'as' Name ) 'from' STR | Name '=' Expr } ) Attributes? @T
 Attributes = ( 'with' | 'assert' ) C[Obj]
 Specs = ( Spec ( ',' Spec )* ','? )? NL?
 Spec = {T 'type'? } ( @Word | STR ) ( 'as' ( @Word | STR ) )?
 Export = 'export' ( 'default' ( Func | Class | 'async' Func | AssignNB @T {T | Interface | 'abstract' Class } ) | C[Specs] ( 'from' STR Attributes? )? @T | '*' ( 'as' ( @Word | STR ) )? 'from' STR Attributes? @T | Decl {T | 'type' C[Specs] ( 'from' STR )? @T | '=' Expr @T | 'as' 'namespace' Name @T } )
-Decl = Var @T | Func | 'async' Func | Class {T | Interface | Alias | Enum | Space | 'declare' Decl | 'abstract' Class | Signature }
+Decl = Var @T | Func | 'async' Func | Class {T | Interface | Alias | Enum | Space | 'declare' ( Decl | Signature | AmbientSpace ) | 'abstract' Class }
 Stmts = NL? Stmt*
 Stmt = ';' | NL | C[Stmts] | Decl | If | For | While | Do | Switch | Try | Decorator Class | 'return' Expr? @T | 'throw' Expr @T | ( 'break' | 'continue' ) Name? @T | 'debugger' @T | 'with' P[Expr] Stmt | Name ':' Stmt | ExprNB @T
 Var = ( 'var' | 'let' | 'const' ) Binding ( ',' Binding )*
@@ -65,7 +65,7 @@ Name = ID | @Soft
 @Soft = 'of' | 'get' | 'set' | 'static' | 'async' | 'from' | 'as' | 'type' | 'interface' | 'declare' | 'namespace' | 'module' | 'abstract' | 'readonly' | 'private' | 'public' | 'protected' | 'override' | 'keyof' | 'infer' | 'is' | 'satisfies' | 'implements' | 'unique' | 'asserts' | 'assert' | 'let' | 'yield' | 'await' | 'accessor'
 @Word = ID | @Soft | 'import' | 'export' | 'default' | 'if' | 'else' | 'for' | 'while' | 'do' | 'switch' | 'case' | 'try' | 'catch' | 'finally' | 'function' | 'class' | 'extends' | 'new' | 'delete' | 'typeof' | 'void' | 'in' | 'instanceof' | 'return' | 'throw' | 'break' | 'continue' | 'debugger' | 'with' | 'var' | 'const' | 'this' | 'super' | 'null' | 'true' | 'false' | 'enum'
 @T = ';' | NL
-@Pre = '!' | '~' | '+' | '-' | '++' | '--' | 'typeof' | 'void' | 'delete' | 'await'
+@Pre = '!' | '~' | '+' | '-' | '++' | '--' | 'typeof' | 'void' {T NL? } | 'delete' | 'await'
 @Bin = '+' | '-' | '*' | '/' | '%' | '**' | '==' | '!=' | '===' | '!==' | '<' | '<=' | '>' '>'? '>'? {T NL? } | '>' '=' | '&&' | '||' | '??' | '&' | '|' | '^' | '<<' | 'in' | 'instanceof'
 @Assign = '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '**=' | '&=' | '|=' | '^=' | '<<=' | '&&=' | '||=' | '??=' | '>' '>' '='  | '>' '>' '>' '='
 @Modifier = 'public' | 'private' | 'protected' | 'static' | 'readonly' | 'abstract' | 'override' | 'declare' | 'async' | 'accessor'
@@ -76,6 +76,8 @@ Alias = 'type' Name TypeParams? '=' Type @T
 Enum = 'const'? 'enum' Name C[EnumBody]
 EnumBody = ( PropKey ( '=' Assign )? ( ',' PropKey ( '=' Assign )? )* ','? )? NL?
 Space = ( 'namespace' | 'module' ) ( Name ( '.' @Word )* | STR ) C[Module]
+AmbientSpace = ( 'namespace' | 'module' ) ( Name ( '.' @Word )* | STR ) C[Ambient] | 'global' C[Ambient]
+Ambient = NL? ( Item | 'export'? 'default'? Signature )*
 Signature = 'async'? 'function' '*'? Name TypeParams? P[Params] Ann? @T
 Ann = ':' 'asserts'? Type
 TypeParams = '<' TypeParam ( ',' TypeParam )* ','? '>'

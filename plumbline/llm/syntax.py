@@ -111,7 +111,7 @@ class Parser:
             operators = word - set("typeof void delete await in instanceof new else do case extends export default import const let var throw yield of as from satisfies keyof infer".split())
             self.ending |= {self.kinds[w] for w in operators} | {self.kinds["++"], self.kinds["--"], self.kinds["of"], self.kinds["as"], self.kinds["from"]}
             if language == "typescript":
-                self.ending.add(self.kinds[">"])  # type arguments may end a line; behind an operator the grammar skips it
+                self.ending |= {self.kinds[t] for t in (">", "void", "const")}  # these may end a type or ``as const``; behind operators the grammar skips line ends
             self.going_on = {t for t in self.kinds if not t[0].isalpha() and t not in ("++", "--", "!", "~", "@", "...", "'") and t != "}"} | {"else", "catch", "finally", "instanceof", "in", "(", "[", "{", ")", "]", "satisfies"}
         elif language == "go":
             self.ending = {self.classes[c] for c in ("ID", "NUM", "STR", "RUNE")} | {self.kinds[w] for w in ("break", "continue", "fallthrough", "return", "++", "--")}

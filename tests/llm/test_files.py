@@ -45,7 +45,7 @@ VALID = {
 BROKEN = {
     "py": ["def f(:\n    pass\n", "x = (1\n", "if x:\npass\n", "<<<<<<< HEAD\nx = 1\n", "  x = 1\ny = 2\n", "import a from b", "s = 'abc\n", "class A:\n", "return )", "package a\n\nimport (", "x = 1 2\n"],
     "js": ["function f( {", "const x = ;", "import a from b;", "{ \"a\": 1 }", "let x: number = 1;", "a b", "foo(1, 2", "`abc", "use a::b;\n", "if (x { }", "<<<<<<< HEAD\nx()\n", "class A { x( }"],
-    "ts": ["interface A { x: }", "package a;\n", "const x: = 1;", "import schema\nfrom branch import stencil\n", "fn f() -> i64 { 1 }"],
+    "ts": ["interface A { x: }", "package a;\n", "const x: = 1;", "import schema\nfrom branch import stencil\n", "fn f() -> i64 { 1 }", "export function f(a: number): numb"],
     "go": ["", "func f() {}\n", "package a\nfunc f() {\n", "package a\nvar x = [1]\n", "package a\nx := 1\n", "package a\nfunc f() { return 1 2 }\n", "package a\nimport \"log\n"],
     "rs": ["fn f( {}", "use a::b\n", "let x = 1;", "fn f() { let x 1; }", "struct A { x }", "fn f() { a b }", "import a\n"],
     "java": ["class A {", "class A { void f() { int x = 1 } }", "public function f() {}", "class A { int f( { } }", "package a"],
