@@ -82,11 +82,11 @@ def usable(value: str, strict: bool = False) -> bool:
         return len(v) >= 16 and digits > 0 and entropy(v) >= 3.0
     if digits:
         return True
-    # No digit: ordinary words, also joined ones, are no values; a changing case or several signs are.
-    flips = sum(a.islower() and b.isupper() for a, b in zip(v, v[1:]))
-    if re.fullmatch(r"[A-Za-z][a-z]*(?:[A-Z][a-z]+)*|(?:[A-Za-z]+[._/:-])*[A-Za-z]+", v) and not (flips >= 4 and len(v) >= 10):
-        return len(v) >= 12 and flips >= 3 and entropy(v) > 3.2 and not re.fullmatch(r"(?:[A-Z]?[a-z]{3,})+", v)
-    return other > 0 and not re.fullmatch(r"[\w./:-]+", v) or flips >= 3
+    # No digit: ordinary words, also joined ones, are no values; letters whose case changes within two or three, and several signs, are.
+    flips = sum(a.islower() != b.islower() for a, b in zip(v, v[1:]) if a.isalpha() and b.isalpha())
+    if letters >= 8 and flips >= 3 and letters < 3.6 * len(_WORD.findall(v)):
+        return True
+    return other > 0 and not re.fullmatch(r"[\w./:-]+", v)
 
 
 def grade(identifier: str) -> int:
