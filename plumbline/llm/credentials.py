@@ -12,6 +12,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,10 +28,9 @@ ABOUT = frozenset(
 LOGIN = frozenset("login signin connectas connect authenticate setpassword setcredentials basicauth auth setsecret withpassword signinas opensession newsession createsession".split())
 
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
-_SITE = re.compile(
-    r"(?:[Pp][Aa][Ss][Ss]|[Pp][Ww][Dd]|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Kk]ey|KEY|[Aa]uth|AUTH|[Cc]red|CRED|[Ss]ession|SESSION|[Bb]earer|BEARER|[Mm]aster|MASTER|[Pp]at\b|PAT\b|[Dd]sn|DSN|[Cc]onn|CONN|[Jj]wt|JWT|[Ss]alt|SALT|[Ss]ig|SIG|[Cc]ookie|COOKIE|[Ll]ogin|LOGIN)"
-    r"[\w.-]{0,40}[\"'\]]{0,2}[ \t]{0,4}(?::[ \t]*&?(?:'?\w+ )?[A-Za-z][\w<>]{0,20}[ \t]*(?==))?(?::=|=>|=(?!=)|:(?!:))[ \t]*"
-)
+_ASSIGN = re.compile(r"(?::=|=>|[=:])[ \t]*(?=[\"'`])")
+_LINE = re.compile(r"^[ \t#-]*(?:export[ \t]+|set[ \t]+)?([\w.-]+)(?:=|:[ \t]+)(?=[^\s\"'`=])", re.M)
+_NAME = re.compile(r"[\w.-]+")
 _SHAPE = re.compile(
     r"\bAKIA[0-9A-Z]{16}\b|\bASIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{30,}|\bgithub_pat_\w{30,}|\bglpat-[\w-]{18,}|\bnpm_[A-Za-z0-9]{30,}|\b[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|\bxox[abprs]-[\w-]{10,}|\bAIza[\w-]{30,}"
     r"|\beyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{16,}|\bkey-[0-9A-Za-z]{24,}\b|\bpypi-[\w-]{40,}|\bSG\.[\w-]{20,}\.[\w-]{20,}"
@@ -89,6 +89,7 @@ def usable(value: str, strict: bool = False) -> bool:
     return other > 0 and not re.fullmatch(r"[\w./:-]+", v)
 
 
+@lru_cache(maxsize=200_000)
 def grade(identifier: str) -> int:
     """2: a credential's name; 1: only with a value that looks issued; 0: none."""
     w = words(identifier)
@@ -99,11 +100,25 @@ def grade(identifier: str) -> int:
     return 1 if w[-1] in WEAK else 0
 
 
-def _identifier(text: str, at: int) -> int:
-    """Start of the identifier around ``at``."""
-    while at > 0 and (text[at - 1].isalnum() or text[at - 1] in "_-."):
-        at -= 1
-    return at
+def _sites(text: str) -> Iterator[tuple[int, str]]:
+    """(start of the value, name) of every assignment of a quoted literal and every setting of a bare one."""
+    for m in _ASSIGN.finditer(text):
+        lead = text[max(0, m.start() - 100) : m.start()]
+        lead = lead[lead.rfind("\n") + 1 :].rstrip().rstrip("\"'])")
+        back = _NAME.match(lead[::-1])
+        if back is None:
+            continue
+        name = back[0][::-1]
+        if not grade(name.rpartition(".")[2]):
+            # The word before the sign may be the type of the name before a colon.
+            rest = lead[: -len(name)].rstrip().removesuffix("'static").rstrip(" &'<")
+            before = _NAME.match(rest[:-1].rstrip().rstrip("?!")[::-1]) if rest.endswith(":") else None
+            if before is None:
+                continue
+            name = before[0][::-1]
+        yield m.end(), name.rpartition(".")[2]
+    for m in _LINE.finditer(text):
+        yield m.end(), m[1].rpartition(".")[2]
 
 
 def _literal(text: str, at: int) -> tuple[int, int] | None:
@@ -168,15 +183,15 @@ def _spans(text: str) -> Iterator[tuple[int, int]]:
             line = text.rfind("\n", 0, m.start()) + 1
             if ";" in text[line : m.start()] + text[m.end() : m.end() + 1] and usable(m[1]):
                 yield m.span(1)
-    for m in _SITE.finditer(text):
-        at = _identifier(text, m.start())
-        name = re.match(r"[\w.-]*", text[at:m.end()])[0]
-        g = grade(name.rpartition(".")[2])
-        if g and (span := _literal(text, m.end())):
-            whole = "".join(x for part in (span, *_joined(text, span[1])) for x in text[part[0] : part[1]])
-            if usable(whole, strict=g < 2):
+    for at, name in _sites(text):
+        g = grade(name)
+        if g and (span := _literal(text, at)):
+            joined = _joined(text, span[1])
+            whole = "".join(text[x:y] for x, y in (span, *joined))
+            # Addresses and connection strings hold their secrets in a part, which has its own rules.
+            if "://" not in whole and not re.match(r"\w+=[^;]*;", whole) and usable(whole, strict=g < 2):
                 yield span
-                yield from _joined(text, span[1])
+                yield from joined
     for m in _NOTE.finditer(text):
         if usable(m[1]):
             yield m.span(1)
