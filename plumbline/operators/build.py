@@ -63,8 +63,8 @@ def knowledge_graph(arts: DataFrame) -> DataFrame:
 
 
 def backlinks(cites: DataFrame) -> DataFrame:
-    """Articles with the number of links to them and the sorted sources."""
-    return cites.where("type = 'cites'").groupBy(F.col("target").alias("id")).agg(F.count("*").alias("backlinks"), F.array_join(F.array_sort(F.collect_list("source")), ",").alias("sources"))
+    """(id, source): a row per link to an article, so that a much-cited one needs no row of its own size."""
+    return cites.where("type = 'cites'").select(F.col("target").alias("id"), "source")
 
 
 def tour(levels: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -108,8 +108,11 @@ def merge_nodes(nodes: DataFrame, order: str = "pos") -> DataFrame:
         return F.max_by(F.when(squeeze(F.col(c)) != "", F.col(c)), F.when(squeeze(F.col(c)) != "", F.col(order))).alias(c)
 
     rows = nodes.where(is_reference(F.col("id"))).withColumn("id", merge_id(squeeze(F.col("id"))))
-    tags = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, "tags"))), lambda x: F.coalesce(x["tags"], F.array().cast("array<string>")))))
-    return rows.groupBy("id").agg(F.min_by("type", order).alias("type"), last("name"), last("summary"), last("file_path"), last("complexity"), F.array_join(tags, ",").alias("tags"), F.count("*").alias("rows"))
+    merged = rows.groupBy("id").agg(F.min_by("type", order).alias("type"), last("name"), last("summary"), last("file_path"), last("complexity"), F.count("*").alias("rows"))
+    # Tags are reduced to their first place before a list is made, so a list is as long as its different tags, not as the rows.
+    tags = rows.select("id", order, F.posexplode("tags").alias("i", "tag")).where("tag is not null").groupBy("id", "tag").agg(F.min(F.struct(order, "i")).alias("at"))
+    lists = tags.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "tag"))), lambda x: x["tag"]), ",").alias("tags"))
+    return merged.join(lists, "id", "left").fillna("", ["tags"])
 
 
 def merge_edges(edges: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import fixed
 from plumbline.functions.scalars import cosine_distance, squash
+from plumbline.session import cut_lineage
 
 
 def query_tokens(query: str) -> list[str]:
@@ -76,6 +77,14 @@ def expand_hits(hits: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFram
     return ids.unionByName(out).unionByName(back).distinct().join(nodes.select("id"), "id", "left_semi")
 
 
-def batches(df: DataFrame, order: str, size: int) -> DataFrame:
-    """Rows numbered in batches of ``size``."""
-    return df.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / size))
+def batches(df: DataFrame, order: str, size: int, partitions: int = 32) -> DataFrame:
+    """Rows in batches of ``size`` by ``order``: each range is numbered on its own and shifted by the rows of the ranges before it, of which only
+    the counts are collected."""
+    ranged = df.repartitionByRange(partitions, order).sortWithinPartitions(order)
+    ranged = cut_lineage(ranged.withColumn("_range", F.spark_partition_id()).withColumn("_n", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    counts = {r["_range"]: r["count"] for r in ranged.groupBy("_range").count().collect()}
+    before, total = [], 0
+    for i in range(max(counts, default=0) + 1):
+        before.append(total)
+        total += counts.get(i, 0)
+    return ranged.withColumn("batch", F.floor((F.lit(before)[F.col("_range")] + F.col("_n")) / size)).drop("_range", "_n")

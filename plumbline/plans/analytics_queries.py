@@ -217,15 +217,22 @@ def knowledge_visible(spark, d):
     return graph.induced(edges_of(spark, d), nodes_of(spark, d).where(F.col("type").isin("article", "topic"))).select("source", "target", "type")
 
 
-@query("SELECT layer, array_to_string(list_sort(list(id)), ',') AS ids, count(*) AS members FROM m GROUP BY layer", NODES, MEMBERS)
+@query("SELECT DISTINCT layer, id FROM m", NODES, MEMBERS)
 def layer_union(spark, d):
-    return members_of(spark, d).groupBy("layer").agg(F.array_join(F.array_sort(F.collect_set("id")), ",").alias("ids"), F.count("*").alias("members"))
+    """Members of layers of one name, each once, as rows."""
+    return members_of(spark, d).select("layer", "id").distinct()
 
 
-@query("SELECT domain, count(*) AS flows, array_to_string(list_sort(list(DISTINCT split_part(file_path, '/', -1))), ',') AS entities FROM p GROUP BY domain", NODES, _DOMAIN)
+@query("SELECT domain, split_part(file_path, '/', -1) AS entity, count(*) AS flows FROM p GROUP BY ALL", NODES, _DOMAIN)
 def domain_overview(spark, d):
+    """Entities of domains, as rows with the number of flows of each."""
     files = nodes_of(spark, d).where("type = 'file' and file_path <> ''").select("file_path", scalars.top_level_domain(F.col("file_path")).alias("domain")).distinct()
-    return files.groupBy("domain").agg(F.count("*").alias("flows"), F.array_join(F.array_sort(F.collect_set(basename(F.col("file_path")))), ",").alias("entities"))
+    return files.groupBy("domain", basename(F.col("file_path")).alias("entity")).agg(F.count("*").alias("flows"))
+
+
+@query("SELECT id, floor((row_number() OVER (ORDER BY id) - 1) / 32)::BIGINT AS batch FROM n", NODES)
+def embed_batches(spark, d):
+    return search.batches(nodes_of(spark, d).select("id"), "id", 32)
 
 
 @query("SELECT kind, value, count(*) AS projects FROM (SELECT name, 'language' AS kind, unnest(languages) AS value FROM projects UNION ALL SELECT name, 'framework', unnest(frameworks) FROM projects) GROUP BY ALL")

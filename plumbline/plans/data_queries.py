@@ -110,7 +110,7 @@ def merge_nodes(spark, d):
 
 
 @query(
-    f"SELECT id, array_to_string(list_filter(l, lambda t, i: list_position(l, t) = i), ',') AS tags FROM (SELECT {_mid('id')} AS id, flatten(list(coalesce(tags, []) ORDER BY pos)) AS l FROM nodes WHERE {trim_sql('id')} <> '' GROUP BY 1)"
+    f"SELECT id, array_to_string(list_filter(l, lambda t, i: t IS NOT NULL AND list_position(l, t) = i), ',') AS tags FROM (SELECT {_mid('id')} AS id, flatten(list(coalesce(tags, []) ORDER BY pos)) AS l FROM nodes WHERE {trim_sql('id')} <> '' GROUP BY 1)"
 )
 def merge_tags(spark, d):
     return build.merge_nodes(table(spark, d, "nodes")).select("id", "tags")
