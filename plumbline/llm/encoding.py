@@ -20,10 +20,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters counted one by one; all others by blocks of 256. At most SYMBOLS² pairs are ever collected.
+from plumbline.session import cut_lineage
+
+#: Characters counted one by one; all others by blocks of 256, beyond the basic plane by planes.
 _SINGLE = 0x530
-_BLOCKS = [chr(0xE000 + i) for i in range(0x1100)]
-SYMBOLS = _SINGLE + 0x500 + 0x1100
+_BLOCKS = [chr(0xE000 + i) for i in range(0x110)]
+#: Pairs of a smaller share of all are taken as unseen: at most 1 / LEAST_SHARE pairs are ever collected, however large the corpus.
+LEAST_SHARE = 2e-7
 
 # Encodings that texts are wrongly read as, and those that they were in.
 READ_AS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp1250", "cp1251", "cp850", "koi8-r", "cp866", "cp1254", "iso8859-15", "iso8859-2", "mac_cyrillic", "cp1253", "shift_jis", "gbk", "euc_jp", "big5")
@@ -49,7 +52,7 @@ def symbol(c: str) -> str:
         return c
     if 0x2500 <= o < 0x25A0:
         return "─"
-    return _BLOCKS[o >> 8]
+    return _BLOCKS[o >> 8 if o < 0x10000 else 0xFF + (o >> 16)]
 
 
 class _Symbols(dict):
@@ -379,10 +382,12 @@ def examine(text: str | None, table: PairTable) -> tuple[list[tuple[int, int]],
 def find_garbled(docs: DataFrame, key: str = "doc_id", text: str = "text", rare: float = 0.15) -> DataFrame:
     """(key, stretches, restored) for every text with at least one stretch garbled by a wrong decoding; restored is null where characters are lost.
 
-    Two passes: pair counts of all texts (partial sums per batch; at most SYMBOLS² rows are collected, however large the corpus), then a narrow pass that
+    Two passes: pair counts of all texts (partial sums per batch; at most 1 / LEAST_SHARE rows are collected), then a narrow pass that
     examines every text whole. Null and empty texts are never garbled; equal texts give equal results; other columns are ignored."""
     spark = docs.sparkSession
-    counts = [(r.x, r.y, r.n) for r in count_pairs(docs, text).toLocalIterator()]
+    pairs = cut_lineage(count_pairs(docs, text))
+    every = pairs.where("x = ''").agg(F.sum("n")).first()[0] or 0
+    counts = [(r.x, r.y, r.n) for r in pairs.where(F.col("n") >= LEAST_SHARE * every).toLocalIterator()]
     sent = spark.sparkContext.broadcast(pair_table(counts, rare))
     schema = docs.select(key).schema.simpleString()[len("struct<") : -1] + ",stretches:int,restored:string"
 
