@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +12,9 @@ from plumbline.functions import fixed
 from plumbline.functions.ids import TYPE_PREFIXES, basename, extension, squeeze
 
 
+NAMESPACE = uuid.uuid5(uuid.NAMESPACE_DNS, "plumbline.invalid")
+
+
 def one_of(c: Column, table: dict[str, tuple[str, ...]], default: Column | None = None) -> Column:
     """The key of ``table`` whose values hold ``c``."""
     out = F.lit(None).cast("string") if default is None else default
@@ -243,3 +249,29 @@ def salvage_json_array(reply: Column, schema: str) -> Column:
     """The JSON array of a reply that may stand in a code fence or in prose; null where there is none."""
     inner = F.regexp_extract(reply, r"(?s)(\[.*\])", 1)
     return F.from_json(F.when(inner != "", inner), schema)
+
+
+def parse_type(value: str | None, domain: tuple[str, ...]) -> str | None:
+    """A type of ``domain`` in any case, or None, which turns a filter off."""
+    low = (value or "").strip().lower()
+    return low if low in domain else None
+
+
+def uuid_for_key(key: Column) -> Column:
+    """A version-5 UUID of a business key in this library's name space."""
+
+    @F.pandas_udf("string")
+    def run(keys: pd.Series) -> pd.Series:
+        return keys.map(lambda k: None if k is None else str(uuid.uuid5(NAMESPACE, k)))
+
+    return run(key)
+
+
+def iso_now() -> Column:
+    return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def fallback_texts(node_id: Column, text: Column) -> Column:
+    """Shorter texts for a provider that rejects ``text``: without control characters, its first 500 and 100 characters, the id."""
+    clean = F.regexp_replace(text, r"[\x00-\x1f\x7f]", "")
+    return F.array_compact(F.array(F.when((clean != "") & (clean != text), clean), F.when(F.length(text) > 500, F.substring(text, 1, 500)), F.when(F.length(text) > 100, F.substring(text, 1, 100)), F.concat(F.lit("node:"), node_id)))

@@ -96,3 +96,21 @@ def lenient_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
     rows = rows.where(F.col("type").isin(list(fixed.EDGE_TYPES)))
     return rows.join(ids.select(F.col("id").alias("source")), "source", "left_semi").join(ids.select(F.col("id").alias("target")), "target", "left_semi")
 
+
+
+def exit_code(issues: DataFrame, strict: bool = False) -> int:
+    """1 if there are errors, or in strict mode warnings, else 0."""
+    bad = issues if strict else issues.where("severity = 'error'")
+    return 0 if bad.isEmpty() else 1
+
+
+def tour_checks(steps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(code, step): steps that are not numbered 1 to n, members that are no nodes, and a length outside 5 to 15. steps: (step, node_ids)."""
+    numbers = steps.select("step").distinct()
+    n = numbers.count()
+    gaps = steps.sparkSession.range(1, n + 1).select(F.col("id").cast("int").alias("step")).join(numbers, "step", "left_anti").select(F.lit("TOUR_STEP_GAP").alias("code"), "step")
+    missing = steps.select("step", F.explode("node_ids").alias("id")).join(nodes.select("id"), "id", "left_anti").select(F.lit("TOUR_MISSING_NODE").alias("code"), "step")
+    out = gaps.unionByName(missing)
+    if not 5 <= n <= 15:
+        out = out.unionByName(steps.sparkSession.createDataFrame([("TOUR_LENGTH", n)], "code string, step int"))
+    return out

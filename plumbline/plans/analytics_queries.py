@@ -10,8 +10,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from plumbline.functions import scalars
-from plumbline.functions.ids import basename, canonical_path
+from plumbline.functions import fixed, scalars
+from plumbline.functions.ids import basename, canonical_id_sql, canonical_path, is_reference
 from plumbline.operators import build, graph, search
 from plumbline.plans.common import EDGES, MEMBERS, NODES, QUERY, edges_of, members_of, nodes_of, sql, trim_sql
 from plumbline.plans.data_queries import _ALL, _DOMAIN, _SCORED
@@ -286,9 +286,7 @@ def search_hybrid(spark, d):
 def embed_fallbacks(spark, d):
     """Number of shorter texts that a node's text falls back to when a provider rejects it."""
     t = scalars.node_text(F.col("id"), F.col("name"), F.col("summary"), F.col("tags"))
-    clean = F.regexp_replace(t, r"[\x00-\x1f\x7f]", "")
-    options = F.array(F.when((clean != "") & (clean != t), clean), F.when(F.length(t) > 500, F.substring(t, 1, 500)), F.when(F.length(t) > 100, F.substring(t, 1, 100)), F.concat(F.lit("node:"), "id"))
-    return nodes_of(spark, d).select("id", F.size(F.array_compact(options)).alias("fallbacks"))
+    return nodes_of(spark, d).select("id", F.size(scalars.fallback_texts(F.col("id"), t)).alias("fallbacks"))
 
 
 @query("SELECT pos, CASE WHEN l IN ('cites') THEN 'cites' WHEN l IN ('contradicts', 'refutes') THEN 'contradicts' WHEN l IN ('builds_on', 'builds-on', 'buildson') THEN 'builds_on' WHEN l IN ('claims', 'claim') THEN 'exemplifies' END AS mapped FROM (SELECT pos, lower(trim(type)) AS l FROM edges)")
@@ -331,4 +329,50 @@ def knowledge_topics(spark, d):
     return arts.where("category is not null").groupBy(scalars.slugify(F.col("category")).alias("topic")).agg(F.count("*").alias("articles"))
 
 
+@query("SELECT id, prio FROM (SELECT id, 0 AS prio, pos FROM n WHERE file_path || ':' || name IN (SELECT file_path || ':' || name FROM n SEMI JOIN hub USING (id)) UNION ALL SELECT id, 1, pos FROM n WHERE file_path IN (SELECT file_path FROM n SEMI JOIN hub USING (id))) ORDER BY prio, pos LIMIT 1", NODES, "hub AS (SELECT min(id) AS id FROM n WHERE type = 'function' AND file_path IS NOT NULL)")
+def point_lookup(spark, d):
+    """A component by ``path:symbol``, else the first node of the path."""
+    n = nodes_of(spark, d)
+    row = n.where("type = 'function' and file_path is not null").orderBy("id").select("file_path", "name").first()
+    path, name = (row["file_path"], row["name"]) if row else (None, None)
+    exact = n.where((F.col("file_path") == path) & (F.col("name") == name)).select("id", F.lit(0).alias("prio"), "pos")
+    return exact.unionByName(n.where(F.col("file_path") == path).select("id", F.lit(1).alias("prio"), "pos")).orderBy("prio", "pos").limit(1).select("id", "prio")
+
+
+@query("SELECT layer_id, count(*) AS hits FROM m JOIN (SELECT id FROM sc WHERE score < 0.95 ORDER BY score, id LIMIT 50) USING (id) GROUP BY 1", NODES, MEMBERS, _SCORED)
+def search_hits_per_layer(spark, d):
+    hits = search.ranked_search(nodes_of(spark, d), QUERY)
+    return members_of(spark, d).join(F.broadcast(hits), "id").groupBy("layer_id").agg(F.count("*").alias("hits"))
+
+
+@query("SELECT (SELECT sum(c - 1) FROM (SELECT count(*) AS c FROM ce GROUP BY source, target, type))::BIGINT AS duplicates, (SELECT count(*) FROM e WHERE source NOT IN (SELECT id FROM n) OR target NOT IN (SELECT id FROM n)) AS dangling", NODES, EDGES, f"ce AS (SELECT {canonical_id_sql('source')} AS source, {canonical_id_sql('target')} AS target, type FROM edges WHERE {trim_sql('source')} <> '' AND {trim_sql('target')} <> '')")
+def merge_statistics(spark, d):
+    """Repeated edges, and edges that miss a node."""
+    raw = table(spark, d, "edges").where(is_reference(F.col("source")) & is_reference(F.col("target"))).agg(F.count("*").alias("n")).first()["n"]
+    e, n = edges_of(spark, d), nodes_of(spark, d)
+    whole = graph.induced(e, n).count()
+    kept = e.count()
+    return spark.createDataFrame([(raw - kept, kept - whole)], "duplicates bigint, dangling bigint")
+
+
+@query("SELECT id, CASE WHEN type = 'concept' THEN 'concept' WHEN complexity = 'complex' THEN 'hotspot' ELSE 'file' END AS part FROM n WHERE type IN ('concept', 'file') OR complexity = 'complex'", NODES)
+def guide_rows(spark, d):
+    """What the onboarding guide lists."""
+    part = F.when(F.col("type") == "concept", "concept").when(F.col("complexity") == "complex", "hotspot").otherwise("file")
+    return nodes_of(spark, d).where(F.col("type").isin("concept", "file") | (F.col("complexity") == "complex")).select("id", part.alias("part"))
+
+
+@query("SELECT DISTINCT CASE WHEN a.type = 'article' THEN e.source ELSE e.target END AS article, CASE WHEN a.type = 'article' THEN e.target ELSE e.source END AS related, e.type FROM e JOIN n a ON a.id = e.source JOIN n b ON b.id = e.target WHERE 'article' IN (a.type, b.type)", NODES, EDGES)
+def related_articles(spark, d):
+    t = nodes_of(spark, d).select("id", "type")
+    j = edges_of(spark, d).select("source", "target", "type").join(t.select(F.col("id").alias("source"), F.col("type").alias("ta")), "source").join(t.select(F.col("id").alias("target"), F.col("type").alias("tb")), "target")
+    own = F.col("ta") == "article"
+    return j.where(own | (F.col("tb") == "article")).select(F.when(own, F.col("source")).otherwise(F.col("target")).alias("article"), F.when(own, F.col("target")).otherwise(F.col("source")).alias("related"), "type").distinct()
+
+
+@query("SELECT id, name FROM n WHERE type IN (" + ", ".join(f"'{t}'" for t, c in fixed.NODE_CATEGORY.items() if c == "infra") + ")", NODES)
+def category_filter(spark, d):
+    return nodes_of(spark, d).where(F.col("type").isin([t for t, c in fixed.NODE_CATEGORY.items() if c == "infra"])).select("id", "name")
+
+
 QUERIES, ORACLE = Q, S

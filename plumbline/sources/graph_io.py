@@ -104,6 +104,37 @@ def _as_regex(pattern: str) -> str:
     return ("^" if pattern.startswith("/") or "/" in pattern.strip("/") else "(?:^|/)") + core + "(?:/|$)"
 
 
+def write_ignore_file(root: str, name: str = ".plumblineignore") -> str:
+    """Write a file of ignored patterns, the defaults and those of .gitignore; an existing one stays."""
+    path = Path(root, name)
+    if not path.exists():
+        path.write_text("\n".join(["# Left out of the graph.", *IGNORED, "", "# From .gitignore.", *_gitignore(root)]) + "\n")
+    return str(path)
+
+
+def read_wiki(spark: SparkSession, root: str) -> DataFrame:
+    """(path, text) of the markdown files below ``root``."""
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{md,mdx}")
+    base = os.path.abspath(root).rstrip("/") + "/"
+    return files.select(F.substring_index(F.col("_metadata.file_path"), base, -1).alias("path"), F.col("value").alias("text"))
+
+
+def readme_head(files: DataFrame, most: int = fixed.README_BYTES) -> DataFrame:
+    """(project, head): the beginning of each project's top-level README, at most ``most`` bytes and whole characters."""
+    name = F.lower(F.regexp_replace("path", r"^(?:\./)+", ""))
+    text = F.substring(F.col("content"), 1, most)
+    # A character has four bytes at most: shorten by characters until the bytes fit.
+    for step in (512, 256, 128, 64, 32, 16, 8, 4, 2, 1):
+        text = F.when(F.octet_length(text) > most, F.substring(text, 1, F.greatest(F.length(text) - step, F.lit(0)))).otherwise(text)
+    rows = files.where(name.isin("readme.md", "readme", "readme.rst", "readme.txt") & F.col("content").isNotNull())
+    return rows.groupBy("project").agg(F.min_by(text, name).alias("head"))
+
+
+def write_overlay(changed: DataFrame, affected: DataFrame, folder: str) -> None:
+    """Changed and affected ids of a diff as JSON lines."""
+    changed.select("id", F.lit("changed").alias("state")).unionByName(affected.select("id", F.lit("affected").alias("state"))).write.mode("overwrite").json(folder)
+
+
 def git_changes(porcelain: str) -> list[str]:
     """New paths of ``git status --porcelain=v2 -z``; of a rename the new name, headers and ignored files are skipped."""
     out, parts = [], iter(porcelain.split("\0"))
