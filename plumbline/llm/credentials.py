@@ -44,6 +44,7 @@ _ACCOUNT = re.compile(r"(?i)\b(?:AccountKey|SharedAccessKey|SharedSecret|Passwor
 _FLAG = re.compile(r"(?<!\w)--?(?:password|passwd|pass|secret|token|api-?key|auth-token|access-key)(?:[ =])([^\s\"'`\\]+)")
 _BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _BLOCK_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+_KEY_BODY = re.compile(r"[\sA-Za-z0-9+/=\\:,.-]*")
 _CALL = re.compile(r"\b([A-Za-z_]\w*)\(([^()\n]*[\"'`][^()\n]*)\)")
 _CALLEE = re.compile(r"(?i)login|sign_?in|connect|session|authenticate|auth|password|credential|secret|header|token|api_?key")
 _LITERAL = re.compile(r"\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`")
@@ -156,7 +157,7 @@ def _spans(text: str) -> Iterator[tuple[int, int]]:
         for m in _BLOCK.finditer(text):
             e = _BLOCK_END.search(text, m.end())
             nxt = _BLOCK.search(text, m.end())
-            end = e.start() if e and not (nxt and nxt.start() < e.start()) else min(len(text), m.end() + 4000)
+            end = e.start() if e and not (nxt and nxt.start() < e.start()) else _KEY_BODY.match(text, m.end()).end()
             body = text[m.end() : end]
             if len(re.findall(r"[A-Za-z0-9+/=]", re.sub(r"\\n", "", body))) >= 40 and not re.search(r"\.\.\.|\$\{|\{\{|<[a-z]", body[:200]):
                 yield m.start(), end

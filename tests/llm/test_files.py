@@ -149,6 +149,12 @@ def test_private_key_is_one_case_at_its_begin_line():
     assert "MIIE" not in got and got.startswith('K = """-----BEGIN RSA PRIVATE KEY-----') and got.endswith('-----END RSA PRIVATE KEY-----"""\nx = 1')
 
 
+def test_unfinished_private_key():
+    text = "k = '-----BEGIN PRIVATE KEY-----\\n" + "Ab3" * 40 + "'\nnext = 1"
+    (span,) = C.credential_spans(text)
+    assert C.redact(text).endswith("'\nnext = 1") and "Ab3" not in C.redact(text)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=300))
 def test_redaction_keeps_the_rest(text):
@@ -189,12 +195,12 @@ def test_vendored_copies_across_projects_and_libraries(spark):
     lib = code(3)
     edited = "\n".join(line + "  " for line in lib.split("\n")[4:]) + "\nx = 1  # our own line here\n"
     shared, changed = code(8), code(8) + "\n# a further line of our own\n"
-    rows = [(1, "p", "v/a.py", edited), (2, "p", "b.py", code(5)), (3, "p", "c.py", shared), (4, "q", "d.py", changed), (5, "q", "e.py", None), (6, "q", "f.py", ""), (7, "p", "v/a.py", edited), (8, "r", "g.py", code(9)), (9, "r", "g.py", code(9)), (10, "q", "h.py", code(3)[:-1] + "(")]
+    rows = [(1, "p", "v/a.py", edited), (2, "p", "b.py", code(5)), (3, "p", "c.py", shared), (4, "q", "d.py", changed), (5, "q", "e.py", None), (6, "q", "f.py", ""), (7, "p", "v/a.py", edited), (8, "r", "g.py", code(9)), (9, "r", "g.py", code(9)), (10, "q", "h.py", code(3)[:-1] + "("), (11, None, None, "x = 1\n"), (12, None, None, "# Code generated by a tool. DO NOT EDIT.\n")]
     files = spark.createDataFrame([(*r, "x") for r in rows], "file_id bigint, project string, path string, content string, reason string")
     libs = spark.createDataFrame([(1, lib), (2, None)], "lib_id bigint, content string")
     got = {(r.file_id, r.reason) for r in H.classify(files, libs, S.parses).collect()}
     # 3 and 4 hold the same code in two projects; 8 and 9 are two scans in one project; 10 is broken.
-    assert got == {(1, "vendored"), (7, "vendored"), (3, "vendored"), (4, "vendored")}
+    assert got == {(1, "vendored"), (7, "vendored"), (3, "vendored"), (4, "vendored"), (12, "generated")}
     assert H.classify(files.limit(0), libs).count() == 0
 
 
