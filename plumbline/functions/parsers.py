@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.session import spread
+
 
 @dataclass(frozen=True)
 class Item:
@@ -343,7 +345,7 @@ def extract(files: DataFrame, key: str, language: Column, content: str) -> DataF
             yield pd.DataFrame(rows, columns=[key, "group", "kind", "name", "detail", "line"])
 
     rows = files.select(key, language.alias("lang"), content).where(F.col("lang").isin(sorted(known)) & F.col(content).isNotNull())
-    return rows.mapInPandas(run, schema)
+    return spread(rows).mapInPandas(run, schema)
 
 
 def structural_hash(items: DataFrame, key: str) -> DataFrame:
