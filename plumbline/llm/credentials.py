@@ -17,6 +17,8 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from plumbline.session import spread
+
 MASK = "REDACTED"
 
 # Words that make an identifier a credential, and last words that make it something about one.
@@ -255,7 +257,7 @@ def redact(text: str | None, spans: list[tuple[int, int]] | None = None) -> str
 def find_credentials(df: DataFrame, key: list[str], content: str) -> DataFrame:
     """One row per line of ``content`` on which a credential's value begins: the ``key`` columns, line_no (from 1, lines end at LF) and n (values on it).
 
-    Narrow: no shuffle, each text is read whole and once. Null and empty contents give no rows; repeated rows give repeated results;
+    Narrow (a few small files are spread over the cores first): each text is read whole and once. Null and empty contents give no rows; repeated rows give repeated results;
     other columns are ignored, whatever their names."""
     schema = df.select(*key).schema.simpleString()[len("struct<") : -1] + ",line_no:bigint,n:bigint"
 
@@ -267,7 +269,7 @@ def find_credentials(df: DataFrame, key: list[str], content: str) -> DataFrame:
                 rows += [(*k, line, n) for line, n in lines.items()]
             yield pd.DataFrame(rows, columns=[*key, "line_no", "n"])
 
-    return df.select(*key, content).where(f"{content} is not null").mapInPandas(run, schema)
+    return spread(df.select(*key, content).where(f"{content} is not null")).mapInPandas(run, schema)
 
 
 def redact_column(df: DataFrame, key: list[str], content: str) -> DataFrame:
@@ -279,4 +281,4 @@ def redact_column(df: DataFrame, key: list[str], content: str) -> DataFrame:
             spans = [credential_spans(t) for t in pdf[content]]
             yield pdf.assign(**{content: [redact(t, s) for t, s in zip(pdf[content], spans)], "redactions": [len(s) for s in spans]})
 
-    return df.select(*key, content).mapInPandas(run, schema)
+    return spread(df.select(*key, content)).mapInPandas(run, schema)

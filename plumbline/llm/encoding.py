@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import cut_lineage
+from plumbline.session import cut_lineage, spread
 
 #: Characters counted one by one; all others by blocks of 256, beyond the basic plane by planes.
 _SINGLE = 0x530
@@ -92,7 +92,7 @@ def count_pairs(docs: DataFrame, text: str) -> DataFrame:
             rows = [("", "", every), *((k[0], k[1], n) for k, n in counts.items())]
             yield pd.DataFrame(rows, columns=["x", "y", "n"])
 
-    part = docs.select(text).where(f"{text} is not null").mapInPandas(run, "x string, y string, n bigint")
+    part = spread(docs.select(text).where(f"{text} is not null")).mapInPandas(run, "x string, y string, n bigint")
     return part.groupBy("x", "y").agg(F.sum("n").alias("n"))
 
 
@@ -400,4 +400,4 @@ def find_garbled(docs: DataFrame, key: str = "doc_id", text: str = "text", rare:
                     rows.append((k, len(found), fixed))
             yield pd.DataFrame(rows, columns=[key, "stretches", "restored"])
 
-    return docs.select(key, text).where(f"{text} is not null").mapInPandas(run, schema)
+    return spread(docs.select(key, text).where(f"{text} is not null")).mapInPandas(run, schema)

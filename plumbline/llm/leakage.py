@@ -18,6 +18,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from plumbline.session import spread
+
 BUDGET = 3
 PIECE = 5
 WINDOW = PIECE * (BUDGET + 1)
@@ -257,7 +259,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
         blocks[-1].append((item_id, body))
         size += len(body or "")
     schema = docs.select(key).schema.simpleString()[len("struct<") : -1] + ",item_id:bigint,words:int,edits:int,first_token:bigint"
-    source = docs.select(key, text).where(f"{text} is not null")
+    source = spread(docs.select(key, text).where(f"{text} is not null"))
     out = None
     for block in blocks:
         sent = spark.sparkContext.broadcast(build_index(block))

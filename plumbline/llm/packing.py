@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import cut_lineage
+from plumbline.session import cut_lineage, spread
 
 DIMENSIONS, BITS, BUCKETS = 3, 10, 256
 #: Containers that stay open in a range; each range leaves at most the space of these half empty.
@@ -148,7 +148,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int
             texts = list(pdf[text])
             yield pd.DataFrame({key: pdf[key], "tokens": count_tokens(texts, path), "place": hilbert(coordinates(texts, seed))})
 
-    sized = cut_lineage(docs.select(key, text).where(f"{text} is not null").mapInPandas(measure, schema))
+    sized = cut_lineage(spread(docs.select(key, text).where(f"{text} is not null")).mapInPandas(measure, schema))
     total = sized.agg(F.sum("tokens")).first()[0] or 0
     ranges = int(max(1, min(total // RANGE_TOKENS, 1_000_000)))
     full = F.floor(F.greatest(F.col("tokens") - 1, F.lit(0)) / capacity)

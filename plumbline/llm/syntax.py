@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import grammars
 from plumbline.llm.gll import Grammar
+from plumbline.session import spread
 
 # Extensions and the dialects that a file with one may be in.
 EXTENSIONS = {
@@ -687,14 +688,14 @@ def parses(path: str, content: str | None) -> bool:
 
 def find_broken(files: DataFrame) -> DataFrame:
     """(file_id, project, language) of the rows of ``files`` (file_id, project, path, content) whose content does not parse in the language of their
-    extension. Null contents and unknown extensions give no rows, empty files only where the language forbids them. Narrow: no shuffle; files are read whole."""
+    extension. Null contents and unknown extensions give no rows, empty files only where the language forbids them. Narrow (a few small files are spread over the cores first); files are read whole."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(i, project, implied(p)) for i, project, p, c in pdf.itertuples(index=False, name=None) if not parses(p, c)]
             yield pd.DataFrame(rows, columns=["file_id", "project", "language"])
 
-    return files.where("content is not null and path is not null").select("file_id", "project", "path", "content").mapInPandas(run, "file_id bigint, project string, language string")
+    return spread(files.where("content is not null and path is not null").select("file_id", "project", "path", "content")).mapInPandas(run, "file_id bigint, project string, language string")
 
 
 def implied(path: str) -> str | None:
