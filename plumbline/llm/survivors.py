@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -146,7 +144,3 @@ def discover_truth(votes: DataFrame, rounds: int = 20, tolerance: float = 1e-4,
 def build_records(chosen: DataFrame) -> DataFrame:
     """discover_truth's values as one record per entity, a column per field."""
     return chosen.groupBy("entity").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in FIELDS])
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
