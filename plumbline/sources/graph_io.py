@@ -122,10 +122,9 @@ def read_wiki(spark: SparkSession, root: str) -> DataFrame:
 def readme_head(files: DataFrame, most: int = fixed.README_BYTES) -> DataFrame:
     """(project, head): the beginning of each project's top-level README, at most ``most`` bytes and whole characters."""
     name = F.lower(F.regexp_replace("path", r"^(?:\./)+", ""))
-    text = F.substring(F.col("content"), 1, most)
-    # A character has four bytes at most: shorten by characters until the bytes fit.
-    for step in (512, 256, 128, 64, 32, 16, 8, 4, 2, 1):
-        text = F.when(F.octet_length(text) > most, F.substring(text, 1, F.greatest(F.length(text) - step, F.lit(0)))).otherwise(text)
+    # A character that the cut has split becomes a replacement mark at the end, and goes.
+    cut = F.substring(F.encode(F.col("content"), "UTF-8"), 1, most).cast("string")
+    text = F.regexp_replace(F.make_valid_utf8(cut), "\ufffd$", "")
     rows = files.where(name.isin("readme.md", "readme", "readme.rst", "readme.txt") & F.col("content").isNotNull())
     return rows.groupBy("project").agg(F.min_by(text, name).alias("head"))
 
