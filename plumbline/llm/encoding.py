@@ -3,8 +3,10 @@
 1. Every adjacent pair of characters that is not plain ASCII is scored by its share of the corpus's mutual information,
    p(x,y) * log(p(x,y) / (p(x) p(y))). Characters beyond the individually counted ranges stand for their block, so the table is bounded.
 2. Maximum-scoring segments of improbability isolate the runs that can be garbled; notations (entities, escapes, percent signs) are read first.
-3. Inside a run only, inverse mappings are tested: encode as it was read, decode as it was meant, also repeatedly. A mapping counts if its
-   result is well-formed and more probable than what stands there. Replacement characters inside words are losses that no mapping restores."""
+3. Inside a run, inverse mappings are tested: encode as it was read, decode as it was meant, also repeatedly. A mapping counts if its
+   result is well-formed and more probable than what stands there.
+4. A frequent garbling is not improbable. So everything else that is not ASCII is read as single bytes too, and well-formed UTF-8 that hardly
+   stands there by chance is restored whatever its frequency. Replacement characters inside words are losses that no mapping restores."""
 
 from __future__ import annotations
 
@@ -71,7 +73,7 @@ def symbols(text: str) -> str:
 
 
 def count_pairs(docs: DataFrame, text: str) -> DataFrame:
-    """(x, y, n) over all texts: adjacent symbols of which at least one is not ASCII, with partial sums in every batch; x = y = '' counts all pairs."""
+    """(x, y, n) over all distinct texts: adjacent symbols of which at least one is not ASCII, with partial sums in every batch; x = y = '' counts all pairs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -92,7 +94,9 @@ def count_pairs(docs: DataFrame, text: str) -> DataFrame:
             rows = [("", "", every), *((k[0], k[1], n) for k, n in counts.items())]
             yield pd.DataFrame(rows, columns=["x", "y", "n"])
 
-    part = spread(docs.select(text).where(f"{text} is not null")).mapInPandas(run, "x string, y string, n bigint")
+    # Copies count once: a text that holds a large share of the rows must not make its own garbling look normal.
+    once = docs.where(f"{text} is not null").groupBy(F.xxhash64(text).alias("h"), F.length(text).alias("l")).agg(F.first(text).alias(text)).select(text)
+    part = once.mapInPandas(run, "x string, y string, n bigint")
     return part.groupBy("x", "y").agg(F.sum("n").alias("n"))
 
 
@@ -318,6 +322,102 @@ def _mends(text: str, table: PairTable) -> Iterator[tuple[int, int, str]]:
                 yield a, b, got
 
 
+_SEQUENCE = "[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}"
+_UTF8 = re.compile(f"(?:{_SEQUENCE})+")
+_ONE = re.compile(_SEQUENCE)
+
+
+class _Bytes(dict):
+    """The byte of each character in a single-byte encoding as a character, for str.translate; NUL for characters that it has not."""
+
+    def __init__(self, encoding: str) -> None:
+        super().__init__()
+        self.encoding = encoding
+
+    def __missing__(self, o: int) -> str:
+        raw = _sloppy(chr(o), self.encoding)
+        got = self[o] = chr(raw[0]) if raw and len(raw) == 1 else "\0"
+        return got
+
+
+_AS_BYTES = {e: _Bytes(e) for e in READ_AS if e not in _WIDE}
+
+
+def _common(c: str) -> bool:
+    """Whether ``c`` is a sign or a letter of a living script, as restored texts have; phonetic letters and rare scripts arise by chance."""
+    o = ord(c)
+    return c in _SIGNS or o >= 0x1F000 or 0x2190 <= o < 0x2800 or 0x3000 <= o < 0x3040 or 0xFF00 <= o < 0xFFF0 or c.isalpha() and (o < 0x180 or 0x370 <= o < 0x530 or 0x5D0 <= o < 0x700 or 0x900 <= o < 0xE80 or 0x1E00 <= o < 0x2000 or 0x3040 <= o < 0xD7B0)
+
+
+def _utf8_in(piece: str, table: PairTable) -> list[tuple[str, list[tuple[int, int, str]], list[str]]]:
+    """(encoding, mends, sequences) of every single-byte reading by which all of a piece but signs around is well-formed UTF-8, also repeatedly."""
+    got = table.memo.get(piece)
+    if got is not None:
+        return got
+    got = []
+    # A word of a script of its own, cased as words are, is one.
+    word = all(ord(c) >= 0x370 and c.isalpha() for c in piece) and (piece.islower() or piece.istitle() or piece.isupper())
+    for encoding, as_bytes in () if word else _AS_BYTES.items():
+        raw = piece.translate(as_bytes)
+        spans = [m.span() for m in _UTF8.finditer(raw)]
+        if not spans or any(c not in _SIGNS for c in _UTF8.sub("", raw) and [c for i, c in enumerate(piece) if not any(a <= i < b for a, b in spans)]):
+            continue
+        mends, sequences = [], []
+        for a, b in spans:
+            now = raw[a:b].encode("latin-1").decode("utf-8")
+            for _ in range(2):
+                again = now.translate(as_bytes)
+                if not _UTF8.fullmatch(again):
+                    break
+                now = again.encode("latin-1").decode("utf-8")
+            mends.append((a, b, now))
+            sequences += [piece[a + m.start() : a + m.end()] for m in _ONE.finditer(raw[a:b])]
+        if all(_common(c) for *_, now in mends for c in now):
+            got.append((encoding, mends, sequences))
+    if len(table.memo) < 200_000:
+        table.memo[piece] = got
+    return got
+
+
+def _well_formed(text: str, table: PairTable, done: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
+    """(start, end, replacement) of stretches outside ``done`` that are UTF-8 read as single bytes, judged by their form and not by their frequency.
+
+    Counted for a reading: two-byte sequences as one, longer ones and those with a sign between letters as enough; the former need two kinds and three
+    sequences in the text, or a result of frequent pairs. Box drawing alone says nothing."""
+    by: dict[str, list[tuple[int, int, str, bool]]] = {}
+    weight: Counter = Counter()
+    kinds: dict[str, set[str]] = {}
+    at = 0
+    for m in _PIECE.finditer(text):
+        a, b = m.span()
+        while at < len(done) and done[at][1] <= a:
+            at += 1
+        if b - a < 2 or at < len(done) and done[at][0] < b:
+            continue
+        around = text[max(0, a - 1) : a], text[b : b + 1]
+        for encoding, mends, sequences in _utf8_in(m[0], table):
+            drawn = all(0x2500 <= ord(c) < 0x25A0 for c in "".join(sequences))
+            cased = not all(ord(c) >= 0x370 and c.isalpha() for c in m[0])
+            if not drawn:
+                weight[encoding] += len(sequences)
+                kinds.setdefault(encoding, set()).update(sequences)
+            sure = cased and not drawn and (max(map(len, sequences)) > 2 or _misplaced(around[0] + m[0] + around[1]))
+            if not sure and not drawn:
+                restored = m[0]
+                for x, y, now in reversed(mends):
+                    restored = restored[:x] + now + restored[y:]
+                whole = (around[0] or " ") + restored + (around[1] or " ")
+                sure = not restored.isascii() and table.unseen(whole) == 0 and table.mean(whole) >= table.cut
+            by.setdefault(encoding, []).extend((a + x, a + y, now, sure) for x, y, now in mends)
+    out: dict[tuple[int, int], str] = {}
+    for encoding in sorted(by, key=lambda e: -weight[e]):
+        enough = weight[encoding] >= 3 and len(kinds[encoding]) >= 2
+        for x, y, now, sure in by[encoding]:
+            if (enough or sure) and not any(x < d and c < y for c, d in out):
+                out[x, y] = now
+    return [(x, y, now) for (x, y), now in sorted(out.items())]
+
+
 def _expand(text: str) -> tuple[str, list[tuple[int, int, int, int]]]:
     """Text with notations of non-ASCII characters read, and their places: (start, end) there and in ``text``."""
     if not ("&" in text or "\\" in text or "%" in text or "=" in text):
@@ -367,7 +467,12 @@ def examine(text: str | None, table: PairTable) -> tuple[list[tuple[int, int]],
     if whole.isascii():
         return [], text
     found, parts, at = [], [], 0
+    mends: list[tuple[int, int, str]] = []
     for a, b, got in _mends(whole, table):
+        if not mends or a >= mends[-1][1]:  # else in a stretch that is mended already
+            mends.append((a, b, got))
+    mends = sorted([*mends, *_well_formed(whole, table, [(a, b) for a, b, _ in mends])])
+    for a, b, got in mends:
         s, e = _back(a, places, False), _back(b, places, True)
         if s < at:  # in a stretch that is mended already
             continue

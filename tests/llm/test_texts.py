@@ -245,3 +245,22 @@ def test_find_garbled(spark):
     got = X.find_garbled(df).collect()
     assert sorted(r.doc_id for r in got) == [1000, 1000, 1003] and got[0].restored
     assert X.find_garbled(df.limit(0)).count() == 0
+
+
+def test_a_garbled_text_with_many_copies_is_found(spark):
+    bad = garble(SENTENCES[2], "cp1251", "latin-1")
+    rows = [(i, t) for i, t in enumerate(corpus())] + [(1000 + i, bad) for i in range(250)]
+    got = X.find_garbled(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(r.doc_id for r in got) == list(range(1000, 1250)) and {r.restored for r in got} == {SENTENCES[2]}
+
+
+def test_a_frequent_garbling_is_found(spark):
+    rows = [(i, t) for i, t in enumerate(corpus()[:100])] + [(1000 + i, f"Item {i} doesnâ€™t fit, {WORDS[i % 25]} fÃ¼r {WORDS[i % 7]}.") for i in range(300)]
+    got = X.find_garbled(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(r.doc_id for r in got) == list(range(1000, 1300))
+    assert all("doesn’t" in r.restored and " für " in r.restored for r in got)
+
+
+def test_well_formed_by_chance_stays(table):
+    for t in ["┌─┐ and ─┐ and ─┤", "“CAFÉ” and “CAFÉ”", "уже цел, чем целуем", "╔═╗ ═╗"]:
+        assert X._well_formed(t, table, []) == []
