@@ -1,7 +1,8 @@
 """Generated, minified, vendored and data files among source files, so that hand-written source remains.
 
-1. Vendored: an inverted index of line hashes over distinct contents; every posting list links its contents to its smallest one (a star, so a list of any
-   length costs its length), and the linked pairs' exact containment is computed. Known libraries are compared in the same way, whole.
+1. Vendored: an inverted index of line hashes over distinct contents; every posting list, however long, links its contents to one holder (a star, so a list
+   of any length costs its length), and exact containment is computed for the holder with the most links. Contents that no star explains though other projects
+   hold enough of their lines are compared with all holders of their rarest lines. Known libraries are compared whole.
 2. Remaining files: token-composition rules on the text itself. Paths alone decide nothing: names are often misleading."""
 
 from __future__ import annotations
@@ -41,8 +42,6 @@ CONFIG = frozenset(("json", "yaml", "yml", "toml", "env", "ini"))
 LINE_CHARS = 9
 #: Library lines and suspected files are broadcast up to these numbers (some MB), and shuffled beyond them.
 BROADCAST_LINES, BROADCAST_IDS = 500_000, 1_000_000
-#: A line is rare if at most this share of distinct contents has it.
-RARE_SHARE = 0.02
 
 
 def composition(text: str, path: str) -> str | None:
@@ -101,6 +100,65 @@ def line_hashes(content: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(lines, lambda x: F.length(x) >= LINE_CHARS), lambda x: F.xxhash64(x)))
 
 
+def _project(place: str) -> Column:
+    return F.shiftright(F.col(place), 44)
+
+
+def _star(flat: DataFrame, salt: int) -> DataFrame:
+    """(line, low, high) of the lines that two projects hold: the first and the last of their holders' places, which differ in project, in an order that depends on ``salt``."""
+    mask = F.lit((salt * 0x9E3779B97F4A7C15) % (1 << 63))
+    at = F.col("place").bitwiseXOR(mask)
+    stats = flat.groupBy("line").agg(F.min(at).alias("low"), F.max(at).alias("high")).select("line", F.col("low").bitwiseXOR(mask).alias("low"), F.col("high").bitwiseXOR(mask).alias("high"))
+    return stats.where(_project("low") != _project("high"))
+
+
+def _small(df: DataFrame, most: int) -> DataFrame:
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def _containment(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(copy, place, containment) of exact containment for pairs (place, other)."""
+    a, b = sets.select("copy", "place", F.col("lines").alias("a")), sets.select(F.col("place").alias("other"), F.col("lines").alias("b"))
+    return pairs.join(a, "place").join(b, "other").select("copy", "place", (F.size(F.array_intersect("a", "b")) / F.size("a")).alias("containment"))
+
+
+def _across(sets: DataFrame, across: float, held: int) -> DataFrame:
+    """(copy, place, containment) of contents that one of another project contains to the share ``across``; none is lost, however frequent its lines are.
+
+    1. A content can only be contained so far if other projects hold that share of its lines at all. The others are not followed.
+    2. Star: all lines of a content link it to one holder each, the most frequent one of these is compared exactly. This explains most members of a
+       large group at linear cost; it is repeated with other ranks while it explains a tenth of what is open.
+    3. What is left is compared with every content that holds one of its rarest lines: of more than ``1 - across`` of its lines, one is in any container."""
+    flat = mine = sets.select("place", F.explode("lines").alias("line"))
+    sizes = sets.select("place", F.size("lines").alias("size"))
+    hot = hot_keys(flat, "line", held)
+    found, salt = None, 0
+    while True:
+        linked = join_unique(mine, _star(flat, salt), "line", "inner", hot)
+        other = F.when(_project("place") != _project("low"), F.col("low")).otherwise(F.col("high"))
+        links = linked.groupBy("place", other.alias("other")).agg(F.count("*").alias("shared")).groupBy("place")
+        best = links.agg(F.sum("shared").alias("shared"), F.max_by("other", F.struct("shared", "other")).alias("other")).join(sizes, "place").where(F.col("shared") >= across * F.col("size") - 1e-9)
+        best = cut_lineage(best.select("place", "other"))
+        got = cut_lineage(_containment(best, sets).where(F.col("containment") >= across))
+        explained = got.count()
+        found = got if found is None else found.unionByName(got)
+        left = cut_lineage(best.join(got, "place", "left_anti").select("place"))
+        if left.isEmpty():
+            return found
+        # Only the lines that open contents hold matter from here on.
+        mine = cut_lineage(sets.join(_small(left, BROADCAST_IDS), "place", "left_semi").select("place", F.explode("lines").alias("line")))
+        flat = cut_lineage(flat.join(_small(cut_lineage(mine.select("line").distinct()), BROADCAST_LINES), "line", "left_semi"))
+        if explained < 0.1 * (explained + left.count()):
+            break
+        salt += 1
+    df = flat.groupBy("line").agg(F.count("*").alias("df"))
+    ranked = mine.join(df, "line").groupBy("place").agg(F.sort_array(F.collect_list(F.struct("df", "line"))).alias("all"))
+    some = F.slice("all", F.lit(1), F.size("all") - F.ceil(across * F.size("all") - 1e-9).cast("int") + 1)
+    rarest = ranked.select("place", F.explode(some).alias("x")).select("place", F.col("x.line").alias("line"))
+    pairs = rarest.join(flat.select(F.col("place").alias("other"), "line"), "line").where(_project("place") != _project("other")).select("place", "other").distinct()
+    return found.unionByName(_containment(pairs, sets).where(F.col("containment") >= across))
+
+
 def vendored(files: DataFrame, libraries: DataFrame, least: float = 0.5, across: float = 0.8, least_lines: int = 4) -> DataFrame:
     """(copy, containment) of contents whose lines are a library's to the share ``least``, or those of a content in another project to the share ``across``.
 
@@ -112,27 +170,16 @@ def vendored(files: DataFrame, libraries: DataFrame, least: float = 0.5, across:
     # by the exact comparison only.
     place = F.shiftleft(F.col("project"), 44).bitwiseOR(F.shiftrightunsigned(F.col("copy"), 20)).alias("place")
     sets = cut_lineage(once.where(F.size("lines") >= least_lines).select("copy", "project", "last", place, "lines"))
-    n, held = sets.agg(F.count("*"), F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()
-    flat = sets.select("place", F.explode("lines").alias("line"))
-    sizes = sets.select("copy", "place", F.size("lines").alias("size"))
+    held = sets.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0]
+    sizes = sets.select("copy", F.size("lines").alias("size"))
     known = libraries.where("content is not null").select("lib_id", F.explode(line_hashes(F.col("content"))).alias("line"))
     if known.count() <= BROADCAST_LINES:
         known = F.broadcast(known)
     by_library = sets.select("copy", F.explode("lines").alias("line")).join(known, "line").groupBy("copy", "lib_id").agg(F.count("*").alias("shared")).join(sizes, "copy")
     by_library = by_library.groupBy("copy").agg(F.max(F.col("shared") / F.col("size")).alias("containment")).where(F.col("containment") >= least)
-    # A star per rare line: its contents against the smallest place, or the largest one where that is of the same project.
-    stats = flat.groupBy("line").agg(F.count("*").alias("df"), F.min("place").alias("low"), F.max("place").alias("high"))
-    upper = lambda c: F.shiftright(F.col(c), 44)
-    rare = stats.where((F.col("df") > 1) & (F.col("df") <= max(50, RARE_SHARE * n)) & (upper("low") != upper("high"))).drop("df")
-    hot = hot_keys(flat, "line", held)
-    linked = join_unique(flat, rare, "line", "inner", hot)
-    other = F.when(upper("place") != upper("low"), F.col("low")).otherwise(F.col("high"))
-    pairs = linked.groupBy("place", other.alias("other")).agg(F.count("*").alias("shared")).join(sizes, "place").where(F.col("shared") >= 0.1 * F.col("size"))
-    a = sets.select("copy", F.col("lines").alias("a"))
-    b = sets.select(F.col("place").alias("other"), F.col("lines").alias("b"))
-    exact = pairs.select("copy", "other").join(a, "copy").join(b, "other").select("copy", (F.size(F.array_intersect("a", "b")) / F.size("a")).alias("containment"))
+    exact = _across(sets, across, held).select("copy", "containment")
     whole = sets.where(F.col("project") != F.col("last")).select("copy", F.lit(1.0).alias("containment"))
-    found = by_library.unionByName(exact.where(F.col("containment") >= across)).unionByName(whole)
+    found = by_library.unionByName(exact).unionByName(whole)
     return found.groupBy("copy").agg(F.max("containment").alias("containment"))
 
 

@@ -217,3 +217,15 @@ def test_containment_against_brute_force(spark):
     project = {c: p for c, p, _ in files}
     true = {a for a in sets for b in sets if project[a] != project[b] and len(sets[a] & sets[b]) / len(sets[a]) >= 0.6}
     assert got <= true
+
+
+def vendored_copies(spark, files, **k):
+    df = spark.createDataFrame(files, "copy bigint, project string, content string")
+    return {r.copy for r in H.vendored(df, spark.createDataFrame([], "lib_id bigint, content string"), **k).collect()}
+
+
+def test_a_family_that_holds_a_third_of_the_contents(spark):
+    base = [f"line {i} of the third-party file" for i in range(40)]
+    family = [(i << 24, f"p{i % 7}", "\n".join(base[: i % 40] + [f"edited {i}"] + base[i % 40 + 1 :])) for i in range(80)]
+    other = [((1000 + i) << 24, f"p{i % 7}", "\n".join(f"own line {j} of file {i}" for j in range(20))) for i in range(160)]
+    assert vendored_copies(spark, family + other) == {c for c, _, _ in family}
