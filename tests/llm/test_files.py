@@ -224,8 +224,30 @@ def vendored_copies(spark, files, **k):
     return {r.copy for r in H.vendored(df, spark.createDataFrame([], "lib_id bigint, content string"), **k).collect()}
 
 
+def test_all_contained_contents_are_found(spark):
+    import random
+
+    rnd = random.Random(4)
+    lines = [f"statement number {i} of the corpus" for i in range(60)]
+    files = [(i << 24, f"p{i % 4}", "\n".join(rnd.sample(lines[:20] if i < 12 else lines, 14))) for i in range(40)]
+    sets = {c: set(t.split("\n")) for c, _, t in files}
+    project = {c: p for c, p, _ in files}
+    for across in (0.6, 0.7):
+        true = {a for a in sets for b in sets if project[a] != project[b] and len(sets[a] & sets[b]) >= across * len(sets[a])}
+        assert true and vendored_copies(spark, files, across=across) == true
+
+
 def test_a_family_that_holds_a_third_of_the_contents(spark):
     base = [f"line {i} of the third-party file" for i in range(40)]
     family = [(i << 24, f"p{i % 7}", "\n".join(base[: i % 40] + [f"edited {i}"] + base[i % 40 + 1 :])) for i in range(80)]
     other = [((1000 + i) << 24, f"p{i % 7}", "\n".join(f"own line {j} of file {i}" for j in range(20))) for i in range(160)]
     assert vendored_copies(spark, family + other) == {c for c, _, _ in family}
+
+
+def test_edited_copies_are_compared_with_the_member_that_holds_them(spark):
+    base = [f"line {i} of the third-party file" for i in range(100)]
+    # 2 lacks 15 lines of 1 and has 15 of its own, which the short member 3 does not hold; only the longest member contains 2.
+    files = [(1 << 24, "p", "\n".join(base)), (2 << 24, "q", "\n".join(base[:85] + [f"own {i}" for i in range(15)]))]
+    files += [((3 + i) << 24, f"r{i}", "\n".join(base[:78] + [f"other {i} {j}" for j in range(40)])) for i in range(12)]
+    got = vendored_copies(spark, files)
+    assert 2 << 24 in got and not got & {(3 + i) << 24 for i in range(12)}
