@@ -1,6 +1,7 @@
 """Credentials embedded in source code: their places, and texts with the values replaced.
 
-Method: each text is scanned lexically. A literal is flagged when it is assigned or passed to a credential-named identifier, header,
+Method: from each credential's name on, the text is read by tokens (types, signs, wrappers, arguments, literals); other shapes are searched for
+by patterns in the raw text. A literal is flagged when it is assigned or passed to a credential-named identifier, header,
 flag or query parameter and is no placeholder, or when its own shape is that of an issued key. Only the contents of the literal
 are replaced; quotes, escapes, schemes and user names stay as they are, so the surrounding code still parses."""
 
@@ -33,6 +34,24 @@ _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _ASSIGN = re.compile(r"(?::=|=>|[=:])[ \t]*(?=[\"'`])")
 _LINE = re.compile(r"^[ \t#-]*(?:export[ \t]+|set[ \t]+)?([\w.-]+)(?:=|:[ \t]+)(?=[^\s\"'`=])", re.M)
 _NAME = re.compile(r"[\w.-]+")
+_STEM = re.compile(r"(?i)pass|pwd|secret|token|key|cred|auth")
+_IDENT = re.compile(r"[\w$-]*")
+_BLANK = r"(?:\s|\\\n|//[^\n]*\n|#[^\n]*\n|/\*(?:[^*]|\*(?!/))*\*/)*+"
+_TYPE = r"(?:[&*]|\[\d*\]|mut\b|'\w+|[ \t])*[A-Za-z_][\w.:]*(?:\[[\w\s,.\[\]|?\"']*\]|<[\w\s,.<>|?&']*>)?(?:\s*\|\s*\w+)*\??"
+#: From the end of a name over its type to the sign of an assignment; then wrappers that keep the literal's value.
+_SIGN = re.compile(r"[\"'`]?\]?(?:[?!]?:(?!=)" + _TYPE + r"[ \t]*(?==)|[ \t]+(?:[*]|\[\])?[A-Za-z_][\w.]*[ \t]*(?==))?\s*(?::=|=>|[+|?]{0,2}=(?![=~>])|:(?![:=]))" + _BLANK)
+_WRAP = re.compile(
+    r"(?:(?:[(&*]|new\b|await\b|\[\](?:byte|rune|u8)\s*\(|(?:(?:std::)?(?:string::)?String|str|bytes|bytearray|string|Some|Ok|Just|Secret\w*|Buffer|Optional|Cow|Box|Arc|Rc|OsString|Zeroizing|Sensitive\w*)(?:(?:::|\.)(?:from|new|of|valueOf|ofNullable|Owned|Borrowed))?\s*\()"
+    + _BLANK
+    + r")*+(?:[bBrRuUfFcL@$]{0,2}#*)(?=[\"'`])"
+)
+#: What stands in for a missing value, behind the expression that may give it.
+_ELSE = re.compile(r"[^;\n\"'`]*(?:[\"'`][\w.-]*[\"'`][^;\n\"'`]*)*?(?:\n[ \t]*)?(?:\|\||\?\?|\bor\b|\?:)" + _BLANK + r"(?=[\"'`])")
+_CALLED = re.compile(r"\b([A-Za-z_]\w*)[ \t]*\(")
+_PART = re.compile(r"//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/|\"\"\"(?:[^\\]|\\.)*?\"\"\"|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`|[()\[\]{},;]", re.S)
+_SETTERS = frozenset(("set", "with", "use"))
+_ASKING = frozenset(("get", "getenv", "env", "getproperty", "getordefault", "setdefault", "default", "lookup", "option", "envor", "getenvor", "getstring", "config"))
+_BLANKS = re.compile(r"^[ \t]*([\w.-]+)[ \t]+=[ \t]*(?=[^\s\"'`=])|^[ \t]*([\w.-]+)=[ \t]+(?=[^\s\"'`=])", re.M)
 _SHAPE = re.compile(
     r"\bAKIA[0-9A-Z]{16}\b|\bASIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{30,}|\bgithub_pat_\w{30,}|\bglpat-[\w-]{18,}|\bnpm_[A-Za-z0-9]{30,}|\b[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|\bxox[abprs]-[\w-]{10,}|\bAIza[\w-]{30,}"
     r"|\beyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{16,}|\bkey-[0-9A-Za-z]{24,}\b|\bpypi-[\w-]{40,}|\bSG\.[\w-]{20,}\.[\w-]{20,}"
@@ -124,6 +143,77 @@ def _sites(text: str) -> Iterator[tuple[int, str]]:
         yield m.end(), m[1].rpartition(".")[2]
 
 
+def _assigned(text: str) -> Iterator[tuple[int, str]]:
+    """(start of the literal, name) behind credential-named identifiers, read token by token: over types, line ends, comments, prefixes, and wrappers
+    that keep the value; also the literal that stands in for a missing value."""
+    at = 0
+    for stem in _STEM.finditer(text):
+        if stem.start() < at:
+            continue
+        at = _IDENT.match(text, stem.end()).end()
+        start = stem.start()
+        while start > 0 and (text[start - 1].isalnum() or text[start - 1] in "_$-"):
+            start -= 1
+        name = text[start:at]
+        if not grade(name):
+            continue
+        sign = _SIGN.match(text, at)
+        if sign is None:
+            continue
+        if m := _WRAP.match(text, sign.end()):
+            yield m.end(), name
+        elif m := _ELSE.match(text, sign.end()):
+            yield m.end(), name
+
+
+def _arguments(text: str, at: int) -> list[tuple[int, int] | None]:
+    """For each argument of the call whose bracket opens before ``at``: its literal's contents, or None where it is no literal, over lines and nested brackets."""
+    out: list[tuple[int, int] | None] = []
+    begin, depth = at, 0
+    for m in _PART.finditer(text, at):
+        c = m[0]
+        if c in "([{":
+            depth += 1
+        elif c in ")]}" and depth:
+            depth -= 1
+        elif c in ",)]}" and not depth:
+            lead = re.compile(_BLANK).match(text, begin).end()
+            w = _WRAP.match(text, lead)
+            span = _literal(text, w.end()) if w else None
+            # A literal is the argument if nothing but its quotes, closing brackets and conversions follow.
+            if span and not re.fullmatch(r"[\"'`#]*(?:\.\w+\(\)|[\s)])*", text[span[1] : m.start()]):
+                span = None
+            out.append(span)
+            begin = m.end()
+            if c != ",":
+                return out
+        elif c == ";" and not depth:
+            break
+    return []
+
+
+def _passed(text: str) -> Iterator[tuple[int, int]]:
+    """Literals passed to a credential's setter or a login, or beside a credential's name."""
+    for m in _CALLED.finditer(text):
+        callee = words(m[1])
+        if not callee:
+            continue
+        whole = "".join(callee)
+        setter = grade(m[1]) == 2 and (callee[0] in _SETTERS and len(callee) > 1 or whole in ("password", "passwd", "passphrase", "apikey", "accesskey", "secretkey"))
+        beside = callee[-1] in ("header", "headers", "set", "put", "add", "param", "property", "config", "password", "secret", "token", "key")
+        asking = whole in _ASKING or callee[-1] in ("env", "default")
+        if not (setter or beside or asking or whole in LOGIN):
+            continue
+        args = _arguments(text, m.end())
+        given = [a for a in args if a]
+        if setter and len(args) == 1 and given and usable(text[slice(*given[0])]):
+            yield given[0]
+        elif whole in LOGIN and len(given) >= 2 and usable(text[slice(*given[-1])]):
+            yield given[-1]
+        elif (beside or asking) and len(args) == 2 and len(given) == 2 and (g := grade(text[slice(*given[0])])) and usable(text[slice(*given[1])], strict=g < 2):
+            yield given[1]
+
+
 def _literal(text: str, at: int) -> tuple[int, int] | None:
     """Contents of the literal that begins at ``at``; an unquoted one ends at white space or the line's end."""
     if at >= len(text):
@@ -186,7 +276,16 @@ def _spans(text: str) -> Iterator[tuple[int, int]]:
             line = text.rfind("\n", 0, m.start()) + 1
             if ";" in text[line : m.start()] + text[m.end() : m.end() + 1] and usable(m[1]):
                 yield m.span(1)
-    for at, name in _sites(text):
+    for m in _BLANKS.finditer(text):
+        name = m[1] or m[2]
+        value = _BARE.match(text, m.end())
+        # Behind a blank, names and calls are code; what no name can be is a setting's value.
+        if value and grade(name.rpartition(".")[2]) == 2 and not re.fullmatch(r"[A-Za-z_$][\w$.:]*|[\w$.]+[-+*/%&|<>][\w$.]+", value[0]) and usable(value[0]):
+            rest = text[value.end() : text.find("\n", value.end()) if "\n" in text[value.end() :] else len(text)].strip()
+            if not rest or rest[0] in "#;" and len(rest) > 1:
+                yield value.span()
+    yield from _passed(text)
+    for at, name in {*_sites(text), *_assigned(text)}:
         g = grade(name)
         if g and (span := _literal(text, at)):
             joined = _joined(text, span[1])

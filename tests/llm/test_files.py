@@ -251,3 +251,21 @@ def test_edited_copies_are_compared_with_the_member_that_holds_them(spark):
     files += [((3 + i) << 24, f"r{i}", "\n".join(base[:78] + [f"other {i} {j}" for j in range(40)])) for i in range(12)]
     got = vendored_copies(spark, files)
     assert 2 << 24 in got and not got & {(3 + i) << 24 for i in range(12)}
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        'let key_secret = String::from("@");', 'var apiKey = []byte("@")', 'API_KEY = b"@"', 'const apiKey string = "@"', 'PASSWORD: Final[str] = "@"', 'password =\n    "@"', 'const token = env("API_TOKEN") || "@";', 'password = os.getenv("PW") or "@"', 'x = get("DB_PASSWORD", "@")',
+        'c.setPassword("@");', 'b.withPassword("@")', 'login(user(1),\n  "bob",\n  "@")', 'let password: &\'static str = "@";', "password = S3cr%t99-x",
+    ],
+)
+def test_credentials_behind_types_wrappers_and_line_ends(text):
+    text = text.replace("@", "S3cr3t99")
+    (span,) = C.credential_spans(text)
+    assert text[slice(*span)] in ("S3cr3t99", "S3cr%t99-x") and C.redact(C.redact(text)) == C.redact(text)
+
+
+@pytest.mark.parametrize("text", ['token = lookup("session_v2")', 'if token:\n    x = "value9a"', 'password = config.get("db_pass1")', 'token = "" if a else b\nname = "abc123x"', "password = value1", "token = next9()", 'x = get("name", "abc123x")', 'password == "abc123x" || y', 'parser.token("ident3")', "key = a1-b2"])
+def test_names_and_references_are_no_credentials(text):
+    assert C.credential_spans(text) == []
