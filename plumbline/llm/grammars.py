@@ -50,8 +50,8 @@ Assign = Unary Rest | Arrow
 AssignNB = UnaryNB Rest | Arrow
 Rest = ( @Bin Unary {T | ( 'as' | 'satisfies' ) ( Type | 'const' ) } )* ( '?' Assign ':' Assign | @Assign Assign )? | ( @Bin Unary )* ( @Bin | @Assign ) Arrow
 Arrow = 'async'? ( Name | {T TypeParams? } P[Params] {T Ann? } ) '=>' ( C[Stmts] | Assign )
-Unary = @Pre Unary | 'yield' '*'? Unary? | Postfix
-UnaryNB = @Pre Unary | 'yield' '*'? Unary? | PostfixNB
+Unary = @Pre Unary | 'yield' '*'? Unary? | Postfix {A | '<' ( Type | 'const' ) '>' Unary }
+UnaryNB = @Pre Unary | 'yield' '*'? Unary? | PostfixNB {A | '<' ( Type | 'const' ) '>' Unary }
 Postfix = ( PrimaryNB | C[Obj] | FuncExpr | Class ) Tail*
 PostfixNB = PrimaryNB Tail*
 FuncExpr = 'async'? Func
@@ -98,8 +98,8 @@ IndexKey = Name ( ':' Type | 'in' Type ( 'as' Type )? ) NL?
 
 
 def _dialect(text: str, keep: str) -> str:
-    """Text with ``{X ...}`` parts of dialect ``keep`` opened and those of the other one dropped."""
-    return re.sub(r"\{([TJ])\s([^{}]*)\}", lambda m: m[2] if m[1] == keep else "", text)
+    """Text with ``{X ...}`` parts of the dialects ``keep`` opened and those of the others dropped."""
+    return re.sub(r"\{([TJA])\s([^{}]*)\}", lambda m: m[2] if m[1] in keep else "", text)
 
 
 _EC_CLASSES = ("ID", "NUM", "STR", "TEMPLATE", "REGEX", "JSX", "PRIVATE", "NL")
@@ -425,8 +425,8 @@ def build(language: str) -> Grammar:
     """The grammar of a language of LANGUAGES."""
     if language == "javascript":
         return Grammar(_dialect(_ECMA, "J"), _EC_CLASSES, ("Module", "Stmts", "ClassBody"), (";", "NL"), _JOINS)
-    if language == "typescript":
-        return Grammar(_dialect(_ECMA, "T") + _TYPES, _EC_CLASSES, ("Module", "Stmts", "ClassBody"), (";", "NL"), _JOINS)
+    if language in ("typescript", "typescript+jsx"):  # angle-bracket assertions and JSX exclude each other
+        return Grammar(_dialect(_ECMA, "TA" if language == "typescript" else "T") + _TYPES, _EC_CLASSES, ("Module", "Stmts", "ClassBody"), (";", "NL"), _JOINS)
     if language == "go":
         return Grammar(_GO, ("ID", "NUM", "STR", "RUNE"), ("Block",), (";",), _JOINS)
     if language == "rust":

@@ -1,7 +1,7 @@
 """Source files that do not parse in the language that their path implies.
 
 A file is lexed, its brackets (and indented blocks) are matched, and each content is recognised by generalised LL over a graph-structured
-stack with the grammars of all dialects of its language at once (gll, grammars). A file that every dialect rejects is flagged."""
+stack with the grammar of the dialect that its extension names (gll, grammars). A file that every dialect of its extension rejects is flagged."""
 
 from __future__ import annotations
 
@@ -26,7 +26,7 @@ EXTENSIONS = {
     "cjs": ("javascript",),
     "jsx": ("javascript",),
     "ts": ("typescript",),
-    "tsx": ("typescript",),
+    "tsx": ("typescript+jsx",),
     "mts": ("typescript",),
     "cts": ("typescript",),
     "go": ("go",),
@@ -91,6 +91,10 @@ _TOML_VALUE = re.compile(
 _TOML_KEY = re.compile(r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)*|\.|[A-Za-z0-9_-]+\.|\.[A-Za-z0-9_-]+")
 
 
+def _language(dialect: str) -> str:
+    return dialect.partition("+")[0]
+
+
 class Rejected(Exception):
     """The text is not valid in the language."""
 
@@ -107,11 +111,11 @@ class Parser:
         self.classes = {t: i for t, i in g.terminals.items() if t.isupper() and t.isalpha()}
         word = {t for t in self.kinds if t[0].isalpha()}
         self.nl = self.classes.get("NL", -1)
-        if language in ("javascript", "typescript"):
+        if language in ("javascript", "typescript", "typescript+jsx"):
             self.ending = {self.classes[c] for c in ("ID", "NUM", "STR", "TEMPLATE", "REGEX", "JSX", "PRIVATE")}
             operators = word - set("typeof void delete await in instanceof new else do case extends export default import const let var throw yield of as from satisfies keyof infer".split())
             self.ending |= {self.kinds[w] for w in operators} | {self.kinds["++"], self.kinds["--"], self.kinds["of"], self.kinds["as"], self.kinds["from"]}
-            if language == "typescript":
+            if language != "javascript":
                 self.ending |= {self.kinds[t] for t in (">", "void", "const")}  # these may end a type or ``as const``; behind operators the grammar skips line ends
             self.going_on = {t for t in self.kinds if not t[0].isalpha() and t not in ("++", "--", "!", "~", "@", "...", "'") and t != "}"} | {"else", "catch", "finally", "instanceof", "in", "(", "[", "{", ")", "]", "satisfies"}
         elif language == "go":
@@ -119,7 +123,7 @@ class Parser:
 
     def accepts(self, text: str) -> bool:
         try:
-            tokens = getattr(self, f"_{self.language}")(text)
+            tokens = getattr(self, f"_{_language(self.language)}")(text)
         except (Rejected, RecursionError):
             return False
         return bool(self.g.content("TOP", tokens, [self.start]) >> self.start & 1)
@@ -156,7 +160,7 @@ class Parser:
     def _javascript(self, text: str) -> list[int]:
         if text.startswith("#!"):
             text = text[text.find("\n") + 1 :] if "\n" in text else ""
-        text = _jsx(text) if "<" in text and re.search(r"(?:[(=?:,{}&|]|return)\s*<[A-Za-z>]", text) else text
+        text = _jsx(text) if self.language != "typescript" and "<" in text and re.search(r"(?:[(=?:,{}&|]|return)\s*<[A-Za-z>]", text) else text
         stack: list[tuple[str, list[int]]] = [("", [])]
         out = stack[0][1]
         known, ending, going_on, nl, base = self.kinds, self.ending, self.going_on, self.nl, self.g.base
@@ -701,13 +705,13 @@ def find_broken(files: DataFrame) -> DataFrame:
 def implied(path: str) -> str | None:
     """The language that a path's extension implies."""
     dialects = EXTENSIONS.get(path.replace("\\", "/").rpartition("/")[2].rpartition(".")[2].lower())
-    return dialects[0] if dialects else None
+    return _language(dialects[0]) if dialects else None
 
 
 def rates(files: DataFrame, broken: DataFrame) -> DataFrame:
     """Files with content, broken ones and their rate per project and implied language."""
     ext = F.lower(F.regexp_extract(F.regexp_replace("path", r"\\", "/"), r"\.([^./]+)$", 1))
-    language = F.coalesce(*[F.when(ext.isin([e for e, d in EXTENSIONS.items() if d[0] == name]), name) for name in dict.fromkeys(d[0] for d in EXTENSIONS.values())])
+    language = F.coalesce(*[F.when(ext.isin([e for e, d in EXTENSIONS.items() if _language(d[0]) == name]), name) for name in dict.fromkeys(_language(d[0]) for d in EXTENSIONS.values())])
     every = files.where("content is not null").select("project", language.alias("language")).where("language is not null").groupBy("project", "language").agg(F.count("*").alias("files"))
     bad = broken.groupBy("project", "language").agg(F.count("*").alias("broken"))
     out = every.join(bad, ["project", "language"], "left").withColumn("broken", F.coalesce("broken", F.lit(0)))

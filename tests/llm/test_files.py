@@ -269,3 +269,12 @@ def test_credentials_behind_types_wrappers_and_line_ends(text):
 @pytest.mark.parametrize("text", ['token = lookup("session_v2")', 'if token:\n    x = "value9a"', 'password = config.get("db_pass1")', 'token = "" if a else b\nname = "abc123x"', "password = value1", "token = next9()", 'x = get("name", "abc123x")', 'password == "abc123x" || y', 'parser.token("ident3")', "key = a1-b2"])
 def test_names_and_references_are_no_credentials(text):
     assert C.credential_spans(text) == []
+
+
+def test_assertions_and_jsx_exclude_each_other():
+    asserted = ["const x = <Foo>bar;\n", "f(<any>a.b, <Map<string, number[]>>c);\nlet y = (<A | B>z).w\n", "let c = <const>['a'];\n"]
+    elements = ["const e = <div a='1'>text {x}</div>;\n", "function F() { return <b/>; }\n"]
+    for ext in ("ts", "mts", "cts"):
+        assert [S.parses(f"a.{ext}", t) for t in asserted + elements] == [True] * 3 + [False] * 2
+    assert [S.parses("a.tsx", t) for t in asserted + elements] == [False] * 3 + [True] * 2
+    assert [S.parses("a.jsx", t) for t in elements] == [True] * 2 and S.implied("a.tsx") == S.implied("a.ts") == "typescript"
