@@ -299,19 +299,25 @@ _PIECE = re.compile(r"[^\x00-\x7f]+")
 
 def _mends(text: str, table: PairTable) -> Iterator[tuple[int, int, str]]:
     """(start, end, replacement) for every garbled stretch: whole runs first, else the words and the pieces of them that invert on their own."""
+    tried, mended = (0, 0), False  # the last stretch of a line that was tried whole
     for start, end in improbable_runs(text, table):
+        if mended and tried[0] <= start and end <= tried[1]:
+            continue
         got = invert(text[start:end], table, text[max(0, start - 1) : start] or " ", text[end : end + 1] or " ")
         if got is not None:
             yield start, end, got
             continue
         # Wide encodings have trail bytes among ASCII: try the stretch of the line, up to characters that no single byte stands for.
-        a, b = start, end
+        known = tried[0] <= start and end <= tried[1]
+        a, b = tried if known else (start, end)
         while a > 0 and text[a - 1] < "\u2e80" and text[a - 1] not in "\n`":
             a -= 1
         while b < len(text) and text[b] < "\u2e80" and text[b] not in "\n`":
             b += 1
-        if b - a < 2000 and sum(c >= "\x80" for c in text[a:b]) >= 4:
-            got = invert(text[a:b], table)
+        if not known:
+            tried, mended = (a, b), False
+            got = invert(text[a:b], table) if sum(c >= "\x80" for c in text[a:b]) >= 4 else None
+            mended = got is not None
             if got is not None:
                 yield a, b, got
                 continue

@@ -264,3 +264,12 @@ def test_a_frequent_garbling_is_found(spark):
 def test_well_formed_by_chance_stays(table):
     for t in ["┌─┐ and ─┐ and ─┤", "“CAFÉ” and “CAFÉ”", "уже цел, чем целуем", "╔═╗ ═╗"]:
         assert X._well_formed(t, table, []) == []
+
+
+@pytest.mark.parametrize("n", [20, 400])
+def test_long_lines_of_wide_encodings_are_restored(table, n):
+    want = "".join(SENTENCES[4] + f" item {i} " for i in range(n))
+    # The first lead byte is frequent here, so that the run begins within a character and does not decode by itself.
+    known = X.PairTable({**table.score, " Ï": 0.0, "ÏÈ": 0.0}, table.floor, table.cut)
+    found, fixed = X.examine(garble(want, "gbk", "latin-1"), known)
+    assert found and fixed == want
