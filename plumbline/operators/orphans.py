@@ -83,13 +83,24 @@ def orphan_report(direct: DataFrame) -> DataFrame:
     )
 
 
-def cascade(edges: DataFrame, nodes: DataFrame, external: DataFrame, tombstones: DataFrame, parent_type: str = "contains", max_rounds: int = 50) -> DataFrame:
+def cascade_report(cascaded: DataFrame) -> DataFrame:
+    """Counts of cascade()'s rows per referenced table, kind (``direct`` or ``inherited``), endpoint and month of observed_at."""
+    table = F.when(F.substring_index("ref", ":", -1).startswith("ext/"), "external_nodes").otherwise("nodes")
+    kind = F.when(F.col("level") == 0, "direct").otherwise("inherited")
+    return (
+        cascaded.select(table.alias("ref_table"), kind.alias("kind"), "endpoint", F.date_format("observed_at", "yyyy-MM").alias("month"))
+        .groupBy("ref_table", "kind", "endpoint", "month")
+        .agg(F.count("*").alias("orphans"))
+    )
+
+
+def cascade(edges: DataFrame, nodes: DataFrame, external: DataFrame, tombstones: DataFrame, parent_type: str = "contains", max_rounds: int | None = None) -> DataFrame:
     """Direct and inherited orphans as (pos, endpoint, ref, observed_at, level): level 0 is direct, level n inherited in round n.
 
     Edges of ``parent_type`` are the foreign keys child -> parent. A node is indirectly orphaned when every container that its
     edges name is missing or itself orphaned; whatever refers to it is an inherited orphan. Fixpoint by semi-joins over
     distinct ids, each round cut by a checkpoint; only ids newly orphaned in a round are followed. A node in no container is not affected,
-    nor are cycles that no orphan enters. Exceeding ``max_rounds`` raises, rather than giving a partial result."""
+    nor are cycles that no orphan enters. Ends at the fixpoint only; exceeding ``max_rounds``, where it is given, raises, rather than giving a partial result."""
     direct = cut_lineage(direct_orphans(edges, nodes, external, tombstones))
     refs = references(edges)
     links = edges.where(F.col("type") == parent_type).select(canonical_id(F.col("source")).alias("parent"), canonical_id(F.col("target")).alias("child"), "pos")
@@ -102,7 +113,7 @@ def cascade(edges: DataFrame, nodes: DataFrame, external: DataFrame, tombstones:
     lost = cut_lineage(alive.where("alive = 0").select(F.col("child").alias("ref"), F.lit(1).alias("level")))
     fresh, level = lost, 1
     while not fresh.isEmpty():
-        if level > max_rounds:
+        if max_rounds is not None and level > max_rounds:
             raise RuntimeError(f"orphan cascade has not ended after {max_rounds} rounds")
         level += 1
         whole = links.where("broken = 0")

@@ -25,6 +25,11 @@ def p4_cascade(spark: SparkSession, d: str) -> DataFrame:
     return orphans.cascade(*_tables(spark, d)).select("pos", "endpoint", "level")
 
 
+def p4_cascade_report(spark: SparkSession, d: str) -> DataFrame:
+    """Direct and inherited orphans per table and month; p4_report has the direct ones by reason, as its SQL does."""
+    return orphans.cascade_report(orphans.cascade(*_tables(spark, d)))
+
+
 _DIRECT = f"""
 WITH n AS (SELECT {canonical_id_sql("id")} AS ref, min(first_seen_at) AS seen FROM nodes GROUP BY 1),
 x AS (SELECT DISTINCT {canonical_id_sql("id")} AS ref FROM external_nodes),
@@ -36,7 +41,7 @@ d AS (SELECT e.pos, e.endpoint, e.ref, e.observed_at,
       FROM e LEFT JOIN n USING (ref) LEFT JOIN t USING (ref) WHERE e.ref <> '' AND e.ref NOT IN (SELECT ref FROM x))
 """
 
-QUERIES = {"p4_found": p4_found, "p4_report": p4_report, "p4_cascade": p4_cascade}
+QUERIES = {"p4_found": p4_found, "p4_report": p4_report, "p4_cascade": p4_cascade, "p4_cascade_report": p4_cascade_report}
 ORACLE = {
     "p4_found": _DIRECT + "SELECT pos, endpoint FROM d WHERE reason IS NOT NULL",
     "p4_report": _DIRECT

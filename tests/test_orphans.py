@@ -77,3 +77,10 @@ def test_hot_join_gives_the_same_rows(spark, hot):
 def test_hot_keys_are_bounded(spark):
     df = spark.range(1000).selectExpr("if(id < 400, 'hot', cast(id as string)) as k")
     assert skew.hot_keys(df, "k", 1000, share=10, least=1) == ["hot"]
+
+
+def test_report_of_direct_and_inherited_orphans(spark):
+    edges = [(1, "file:missing", "class:a", "contains", T[3]), (2, "file:ok", "class:a", "calls", T[3])]
+    f = frames(spark, edges, [(x, T[0]) for x in ("class:a", "file:ok")])
+    rows = {(r.ref_table, r.kind, r.endpoint, r.month): r.orphans for r in orphans.cascade_report(orphans.cascade(*f)).collect()}
+    assert rows == {("nodes", "direct", "source", "2024-01"): 1, ("nodes", "inherited", "target", "2024-01"): 2}
