@@ -79,14 +79,17 @@ def reach(edges: DataFrame, roots: DataFrame, types: tuple[str, ...], max_rounds
     raise RuntimeError(f"not ended after {max_rounds} rounds")
 
 
-def shortest_path(edges: DataFrame, start: str, goal: str, max_rounds: int = 100) -> list[str]:
-    """The undirected shortest path from ``start`` to ``goal``, of several the lexicographically smallest; [] if there is none, [start] if they are equal."""
+def shortest_path(edges: DataFrame, start: str, goal: str, max_rounds: int | None = None) -> list[str]:
+    """The undirected shortest path from ``start`` to ``goal``, of several the lexicographically smallest; [] if there is none, [start] if they are equal.
+    Ends when nothing new is met; exceeding ``max_rounds``, where it is given, raises."""
     if start == goal:
         return [start]
     pairs = cut_lineage(undirected(edges))
     spark = edges.sparkSession
     visited = frontier = spark.createDataFrame([(start, [start])], "id string, path array<string>")
-    for _ in range(max_rounds):
+    rounds = 0
+    while max_rounds is None or rounds < max_rounds:
+        rounds += 1
         step = frontier.join(pairs, frontier["id"] == pairs["a"]).select(F.col("b").alias("id"), F.concat("path", F.array("b")).alias("path"))
         frontier = cut_lineage(step.groupBy("id").agg(F.min("path").alias("path")).join(visited.select("id"), "id", "left_anti"))
         hit = frontier.where(F.col("id") == goal).first()
@@ -95,7 +98,7 @@ def shortest_path(edges: DataFrame, start: str, goal: str, max_rounds: int = 100
         if frontier.isEmpty():
             return []
         visited = cut_lineage(visited.select("id").unionByName(frontier.select("id")))
-    return []
+    raise RuntimeError(f"not ended after {max_rounds} rounds")
 
 
 def outgoing(edges: DataFrame, node_id: str) -> DataFrame:

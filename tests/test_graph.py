@@ -186,3 +186,10 @@ def test_walk_project(spark, tmp_path):
     (tmp_path / ".gitignore").write_text("# no\ngen/\n")
     got = {r.path: r.content for r in graph_io.walk_project(spark, str(tmp_path)).collect()}
     assert got == {"a.py": "x", "sub/b.py": "y"}
+
+
+def test_shortest_path_never_ends_early_in_silence(spark):
+    e = spark.createDataFrame([(f"n{i}", f"n{i + 1}", "calls") for i in range(6)], "source string, target string, type string")
+    with pytest.raises(RuntimeError):
+        graph.shortest_path(e, "n0", "n5", max_rounds=2)
+    assert len(graph.shortest_path(e, "n0", "n5")) == 6
