@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,13 +19,20 @@ from plumbline.functions.ids import canonical_path
 from plumbline.operators.skew import hot_keys, join_unique
 from plumbline.session import cut_lineage, spread
 
-# How tools mark their output, in a comment of the file's head.
+# How tools mark their output in a comment. The weaker phrases must begin it: further on they mostly speak of something else.
 _GENERATED = re.compile(
-    r"(?i)\bcode generated by\b|@generated\b|<auto-?generated\b|\bauto-?generated (?:file|by|with|from|code)\b|\bautomatically generated\b|\bgenerated (?:from|by|with|using) \S+"
-    r"|\bthis file (?:was|is|has been) (?:auto-?)?generated\b|\b(?:do not|don't) (?:edit|modify)\b.{0,40}\b(?:run|regenerate|instead|generated|by hand|manually)\b|\b(?:machine|auto)[- ](?:generated|written)\b|\bautomatically (?:produced|created|written)\b|\bchanges will be (?:lost|overwritten)\b"
+    r"(?i)^\W*(?:generated (?:from|by|with|using) \S+|auto-?generated\b|automatically (?:generated|produced|created|written)\b|(?:machine|auto)[- ](?:generated|written)\b)"
+    r"|\bcode generated by\b|@generated\b|<auto-?generated\b|\bauto-?generated (?:file|code)\b|\bthis (?:\w+ ){0,2}(?:file|module|code|header|source|class) (?:was|is|has been) (?:auto(?:matically)?[- ]?)?(?:generated|produced|created|written) (?:by|from|with|using)\b"
+    r"|\b(?:do not|don't) (?:edit|modify)\b.{0,40}\b(?:run|regenerate|instead|generated|by hand|manually)\b|\bchanges will be (?:lost|overwritten)\b"
 )
 _HAND = re.compile(r"(?i)\bedited by hand\b|\bhand-?written\b|\bwrites? the\b|\bthat generated\b")
-_COMMENT = re.compile(r"\s*(?://|#|/\*|\*|<!--|--|;)")
+#: Words of which a mark or banner holds at least one; only texts with one are read by tokens for their comments.
+_MARKED = re.compile(r"(?i)generated|automatically|machine[- ]written|auto[- ]written|changes will be|(?:do not|don't) (?:edit|modify)|@licen[cs]e|@preserve|\blicen[cs]ed?\b|\(c\)|©|\bcopyright\b|\btoolkit\b|\bauthors\b|\bcontributors\b|released under|\bcopy\b|\bcopied\b|\bupstream\b")
+_QUOTED = r"\"\"\".*?(?:\"\"\"|\Z)|\'\'\'.*?(?:\'\'\'|\Z)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'"
+_SLASHED = re.compile(r"(//[^\n]*|/\*.*?(?:\*/|\Z)|<!--.*?(?:-->|\Z))|" + _QUOTED + r"|`(?:[^`\\]|\\.)*`", re.S)
+_HASHED = re.compile(r"(#[^\n]*)|" + _QUOTED, re.S)
+_DASHED = re.compile(r"(--[^\n]*|;[^\n]*|#[^\n]*|//[^\n]*|/\*.*?(?:\*/|\Z)|<!--.*?(?:-->|\Z))|" + _QUOTED, re.S)
+_SIGN = re.compile(r"(?:\s|//|/\*|\*/?|<!--|--|[#!;])*")
 # Banners of published packages: a licence tag, or a version together with words of a release.
 _LICENCE_TAG = re.compile(r"(?i)@(?:license|licence|preserve)\s+\S+")
 _RELEASE = re.compile(r"(?i)(?=.*\bv?\d+\.\d+\.\d+\b)(?=.*(?:\blicen[cs]ed?\b|\(c\)|©|\bcopyright\b|\btoolkit\b|\bauthors\b|\bcontributors\b|\breleased under\b))")
@@ -42,18 +50,42 @@ CONFIG = frozenset(("json", "yaml", "yml", "toml", "env", "ini"))
 LINE_CHARS = 9
 #: Library lines and suspected files are broadcast up to these numbers (some MB), and shuffled beyond them.
 BROADCAST_LINES, BROADCAST_IDS = 500_000, 1_000_000
+#: Lines of all hot contents that are broadcast together (8 bytes each), pairs from which on a content is hot, and parts of its pairs beyond.
+HOT_LINES, HOT_PAIRS, SALTS = 4_000_000, 20_000, 64
+#: Holders of one frequent line that are met at once.
+PART = 20_000
+
+
+def comments(text: str, ext: str) -> Iterator[tuple[str, bool]]:
+    """(line, leading) of every line of every comment of the whole text, without its signs. Strings are read as tokens, so that nothing in them is a comment;
+    leading are comments that no code stands before (a literal alone, as a directive or docstring, is none)."""
+    pattern = _HASHED if ext in ("py", "pyi", "toml", "yaml", "yml", "rb", "sh", "env") else _SLASHED if ext in ("js", "mjs", "cjs", "jsx", "ts", "tsx", "mts", "cts", "go", "rs", "java", "c", "h", "cpp", "cs", "php", "swift", "kt") else _DASHED
+    at, leading = 0, True
+    for m in pattern.finditer(text):
+        leading = leading and not text[at : m.start()].strip(" \t\r\n;\ufeff")
+        at = m.end()
+        if m[1] is not None:
+            for line in m[1].split("\n"):
+                yield line[_SIGN.match(line).end() :], leading
+
+
+def stated(text: str, ext: str) -> str | None:
+    """``generated`` or ``vendored`` by what a comment of the text says; None if none does."""
+    if not _MARKED.search(text):
+        return None
+    for line, leading in comments(text, ext):
+        if _GENERATED.search(line) and not _HAND.search(line):
+            return "generated"
+        if leading and (_LICENCE_TAG.search(line) or _RELEASE.search(line) or _LOCAL_COPY.search(line)):
+            return "vendored"
+    return None
 
 
 def composition(text: str, path: str) -> str | None:
     """Why a file is not hand-written, judged by its own text: ``generated``, ``vendored``, ``minified``, ``data``; None otherwise."""
     ext = path.rpartition(".")[2].lower()
-    head = text.split("\n", 40)[:40]
-    for i, line in enumerate(head):
-        if _COMMENT.match(line):
-            if _GENERATED.search(line) and not _HAND.search(line):
-                return "generated"
-            if i < 8 and (_LICENCE_TAG.search(line) or _RELEASE.search(line) or _LOCAL_COPY.search(line)):
-                return "vendored"
+    if (why := stated(text, ext)) is not None:
+        return why
     lines = text.count("\n") + 1
     if ext in CONFIG:
         marks = len(_LOCKED.findall(text))
@@ -100,16 +132,45 @@ def line_hashes(content: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(lines, lambda x: F.length(x) >= LINE_CHARS), lambda x: F.xxhash64(x)))
 
 
-def _project(place: str) -> Column:
-    return F.shiftright(F.col(place), 44)
+class _Places(NamedTuple):
+    """Contents numbered without gaps; a content's place is its project's number in the bits from ``shift`` on, and its own below."""
+
+    sets: DataFrame
+    shift: int
+
+    def project(self, place: str) -> Column:
+        return F.shiftright(F.col(place), self.shift)
 
 
-def _star(flat: DataFrame, salt: int) -> DataFrame:
+def _numbered(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``df`` (materialised) with a number without gaps, and how many there are; only the counts of partitions are collected."""
+    df = df.withColumn("_part", F.spark_partition_id()).withColumn("_n", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    counts = {r["_part"]: r["count"] for r in df.groupBy("_part").count().collect()}
+    before, total = [], 0
+    for i in range(max(counts, default=-1) + 1):
+        before.append(total)
+        total += counts.get(i, 0)
+    return df.withColumn(name, F.lit(before or [0])[F.col("_part")] + F.col("_n")).drop("_part", "_n"), total
+
+
+def _places(sets: DataFrame) -> _Places:
+    """``sets`` (copy, project, last, lines; materialised) with a place each: different contents have different places, and different projects different
+    numbers, however many there are, so that the smallest and largest places of several contents differ in project if any two do."""
+    projects, many = _numbered(cut_lineage(sets.select("project").distinct()), "_project")
+    placed, total = _numbered(sets, "_own")
+    shift = max(1, total.bit_length())
+    if many.bit_length() + shift > 62:
+        raise ValueError("more contents and projects than 62 bits can number")
+    placed = join_unique(placed, projects, "project", "left", hot_keys(placed, "project", total)) if many > BROADCAST_IDS else placed.join(F.broadcast(projects), "project")
+    return _Places(cut_lineage(placed.select("copy", "last", "project", F.shiftleft(F.col("_project"), shift).bitwiseOR(F.col("_own")).alias("place"), "lines")), shift)
+
+
+def _star(flat: DataFrame, salt: int, places: _Places) -> DataFrame:
     """(line, low, high) of the lines that two projects hold: the first and the last of their holders' places, which differ in project, in an order that depends on ``salt``."""
-    mask = F.lit((salt * 0x9E3779B97F4A7C15) % (1 << 63))
+    mask = F.lit((salt * 0x9E3779B97F4A7C15) % (1 << 62))
     at = F.col("place").bitwiseXOR(mask)
     stats = flat.groupBy("line").agg(F.min(at).alias("low"), F.max(at).alias("high")).select("line", F.col("low").bitwiseXOR(mask).alias("low"), F.col("high").bitwiseXOR(mask).alias("high"))
-    return stats.where(_project("low") != _project("high"))
+    return stats.where(places.project("low") != places.project("high"))
 
 
 def _small(df: DataFrame, most: int) -> DataFrame:
@@ -117,25 +178,45 @@ def _small(df: DataFrame, most: int) -> DataFrame:
 
 
 def _containment(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(copy, place, containment) of exact containment for pairs (place, other)."""
+    """(copy, place, containment) of exact containment for pairs (place, other). Contents that many others are compared with are the centres of hot groups:
+    their lines are broadcast as far as HOT_LINES reaches, and repeated for SALTS parts of their pairs beyond it."""
+    pairs = cut_lineage(pairs)
     a, b = sets.select("copy", "place", F.col("lines").alias("a")), sets.select(F.col("place").alias("other"), F.col("lines").alias("b"))
-    return pairs.join(a, "place").join(b, "other").select("copy", "place", (F.size(F.array_intersect("a", "b")) / F.size("a")).alias("containment"))
-
-
-def _across(sets: DataFrame, across: float, held: int) -> DataFrame:
+    share = (F.size(F.array_intersect("a", "b")) / F.size("a")).alias("containment")
+    left = pairs.join(a, "place")
+    hot = hot_keys(pairs, "other", pairs.count(), least=HOT_PAIRS)
+    if not hot:
+        return left.join(b, "other").select("copy", "place", share)
+    sizes, held, sent, salted = {r[0]: r[1] for r in b.where(F.col("other").isin(hot)).select("other", F.size("b")).collect()}, 0, [], []  # at most HOT_KEYS rows
+    for x in sorted(hot, key=lambda x: sizes.get(x, 0)):
+        held += sizes.get(x, 0)
+        (sent if held <= HOT_LINES else salted).append(x)
+    out = left.where(~F.col("other").isin(hot)).join(b.where(~F.col("other").isin(hot)), "other").select("copy", "place", share)
+    if sent:
+        out = out.unionByName(left.where(F.col("other").isin(sent)).join(F.broadcast(b.where(F.col("other").isin(sent))), "other").select("copy", "place", share))
+    if salted:
+        one = left.where(F.col("other").isin(salted)).withColumn("salt", (F.abs(F.xxhash64("place")) % SALTS).cast("int"))
+        two = b.where(F.col("other").isin(salted)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        out = out.unionByName(one.join(two, ["other", "salt"]).select("copy", "place", share))
+    return out
+
+
+def _across(places: _Places, across: float, held: int) -> DataFrame:
     """(copy, place, containment) of contents that one of another project contains to the share ``across``; none is lost, however frequent its lines are.
 
     1. A content can only be contained so far if other projects hold that share of its lines at all. The others are not followed.
     2. Star: all lines of a content link it to one holder each, the most frequent one of these is compared exactly. This explains most members of a
        large group at linear cost; it is repeated with other ranks while it explains a tenth of what is open.
-    3. What is left is compared with every content that holds one of its rarest lines: of more than ``1 - across`` of its lines, one is in any container."""
+    3. What is left is compared with every content that holds one of its rarest lines: of more than ``1 - across`` of its lines, one is in any container.
+       Lines are split where they are frequent, and pairs that share several are one."""
+    sets = places.sets
     flat = mine = sets.select("place", F.explode("lines").alias("line"))
     sizes = sets.select("place", F.size("lines").alias("size"))
     hot = hot_keys(flat, "line", held)
     found, salt = None, 0
     while True:
-        linked = join_unique(mine, _star(flat, salt), "line", "inner", hot)
-        other = F.when(_project("place") != _project("low"), F.col("low")).otherwise(F.col("high"))
+        linked = join_unique(mine, _star(flat, salt, places), "line", "inner", hot)
+        other = F.when(places.project("place") != places.project("low"), F.col("low")).otherwise(F.col("high"))
         links = linked.groupBy("place", other.alias("other")).agg(F.count("*").alias("shared")).groupBy("place")
         best = links.agg(F.sum("shared").alias("shared"), F.max_by("other", F.struct("shared", "other")).alias("other")).join(sizes, "place").where(F.col("shared") >= across * F.col("size") - 1e-9)
         best = cut_lineage(best.select("place", "other"))
@@ -154,8 +235,11 @@ def _across(sets: DataFrame, across: float, held: int) -> DataFrame:
     df = flat.groupBy("line").agg(F.count("*").alias("df"))
     ranked = mine.join(df, "line").groupBy("place").agg(F.sort_array(F.collect_list(F.struct("df", "line"))).alias("all"))
     some = F.slice("all", F.lit(1), F.size("all") - F.ceil(across * F.size("all") - 1e-9).cast("int") + 1)
-    rarest = ranked.select("place", F.explode(some).alias("x")).select("place", F.col("x.line").alias("line"))
-    pairs = rarest.join(flat.select(F.col("place").alias("other"), "line"), "line").where(_project("place") != _project("other")).select("place", "other").distinct()
+    # A line's holders are cut into parts by their place, each part is met by the line's askers: no part of a frequent line is larger than some PART rows.
+    rarest = ranked.select("place", F.explode(some).alias("x")).select("place", F.col("x.line").alias("line"), F.explode(F.sequence(F.lit(0), (F.col("x.df") / PART).cast("int"))).alias("part"))
+    spot = F.abs(F.xxhash64("place")) % (1 + (F.col("df") / PART).cast("bigint"))
+    holders = join_unique(flat, df, "line", "inner", hot).select(F.col("place").alias("other"), "line", spot.cast("int").alias("part"))
+    pairs = rarest.join(holders, ["line", "part"]).where(places.project("place") != places.project("other")).select("place", "other").distinct()
     return found.unionByName(_containment(pairs, sets).where(F.col("containment") >= across))
 
 
@@ -164,12 +248,9 @@ def vendored(files: DataFrame, libraries: DataFrame, least: float = 0.5, across:
 
     files: (copy, project, content) with copy the content's hash. Equal contents are compared once. Contents that two projects hold unchanged count
     as contained in each other whole. Hashes travel, never texts."""
-    own = F.xxhash64("project").alias("project")
-    once = files.select("copy", own, line_hashes(F.col("content")).alias("lines")).groupBy("copy").agg(F.min("project").alias("project"), F.max("project").alias("last"), F.first("lines").alias("lines"))
-    # A content's place: its project in the upper bits, so that smallest and largest places differ in project if any do. Equal places are told apart
-    # by the exact comparison only.
-    place = F.shiftleft(F.col("project"), 44).bitwiseOR(F.shiftrightunsigned(F.col("copy"), 20)).alias("place")
-    sets = cut_lineage(once.where(F.size("lines") >= least_lines).select("copy", "project", "last", place, "lines"))
+    once = files.select("copy", F.coalesce("project", F.lit("")).alias("project"), line_hashes(F.col("content")).alias("lines")).groupBy("copy").agg(F.min("project").alias("project"), F.max("project").alias("last"), F.first("lines").alias("lines"))
+    places = _places(cut_lineage(once.where(F.size("lines") >= least_lines)))
+    sets = places.sets
     held = sets.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0]
     sizes = sets.select("copy", F.size("lines").alias("size"))
     known = libraries.where("content is not null").select("lib_id", F.explode(line_hashes(F.col("content"))).alias("line"))
@@ -177,7 +258,7 @@ def vendored(files: DataFrame, libraries: DataFrame, least: float = 0.5, across:
         known = F.broadcast(known)
     by_library = sets.select("copy", F.explode("lines").alias("line")).join(known, "line").groupBy("copy", "lib_id").agg(F.count("*").alias("shared")).join(sizes, "copy")
     by_library = by_library.groupBy("copy").agg(F.max(F.col("shared") / F.col("size")).alias("containment")).where(F.col("containment") >= least)
-    exact = _across(sets, across, held).select("copy", "containment")
+    exact = _across(places, across, held).select("copy", "containment")
     whole = sets.where(F.col("project") != F.col("last")).select("copy", F.lit(1.0).alias("containment"))
     found = by_library.unionByName(exact).unionByName(whole)
     return found.groupBy("copy").agg(F.max("containment").alias("containment"))

@@ -278,3 +278,36 @@ def test_assertions_and_jsx_exclude_each_other():
         assert [S.parses(f"a.{ext}", t) for t in asserted + elements] == [True] * 3 + [False] * 2
     assert [S.parses("a.tsx", t) for t in asserted + elements] == [False] * 3 + [True] * 2
     assert [S.parses("a.jsx", t) for t in elements] == [True] * 2 and S.implied("a.tsx") == S.implied("a.ts") == "typescript"
+
+
+def test_small_files_that_share_lines_hide_no_pair(spark):
+    base = [f"line {i} of the third-party file" for i in range(24)]
+    files = [(1, "p", "\n".join(base)), (2, "q", "\n".join(base[:22] + ["own one of it", "own two of it"]))]
+    files += [(10 + i, f"r{i}", "\n".join([base[i], *(f"small file {i} {j}" for j in range(5))])) for i in range(22)]
+    files += [(100 + i, f"a{i}", "\n".join([base[i], *(f"other file {i} {j}" for j in range(60))])) for i in range(22)]
+    assert vendored_copies(spark, files) == {1, 2}
+
+
+def test_any_number_of_projects_and_frequent_lines_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(H, "PART", 3)
+    monkeypatch.setattr(H, "HOT_PAIRS", 2)
+    monkeypatch.setattr(H, "HOT_LINES", 30)
+    base = [f"line {i} of the third-party file" for i in range(20)]
+    files = [(i + 1, f"project {i}", "\n".join([*base, f"own {i} of it", *(f"{j} {i} line" for j in range(i % 7))])) for i in range(60)]
+    sets = {c: set(t.split("\n")) for c, _, t in files}
+    want = {a for a in sets for b in sets if a != b and len({x for x in sets[a] if len(x) >= H.LINE_CHARS} & sets[b]) >= 0.8 * len({x for x in sets[a] if len(x) >= H.LINE_CHARS})}
+    assert vendored_copies(spark, files) == want
+    alone = [(c, "one project", t) for c, _, t in files]
+    assert vendored_copies(spark, alone) == set()
+
+
+@pytest.mark.parametrize(
+    "path,text,why",
+    [
+        ("a.py", "# Names of pickles generated with Python 2 must be mapped\nx = 1\n", None), ("c.toml", 'footer = """\n<!-- generated by a tool -->\n"""\n', None), ("a.js", 'const s = `\n// Code generated by x. DO NOT EDIT.\n`;\n', None),
+        ("a.go", "package a\n\n" + "\n".join(f"// remark {c}" for c in "abcdefghij" * 6) + "\n// Code generated by x. DO NOT EDIT.\n", "generated"), ("a.js", "\n" * 30 + "/*! widget v1.2.3 | (c) the widget authors */\nf()\n", "vendored"), ("a.js", "f();\n// as widget v1.2.3 by its authors has it\n", None),
+        ("a.py", '"""Doc."""\n# Generated from x.proto\n', "generated"), ("a.ts", "/*\n * This file was automatically generated by x.\n */\nf()\n", "generated"),
+    ],
+)
+def test_marks_are_read_from_comments_of_the_whole_text(path, text, why):
+    assert H.composition(text, path) == why
