@@ -43,15 +43,22 @@ def _encoder(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: Where a text may be cut for encoding without a change of its tokens: no piece of the vocabulary's pattern goes on with a blank.
+_SEAM = re.compile(r"(?<=\S)(?=[ \n])")
+STRETCH = 100_000
+
+
 def count_tokens(texts: list[str], path: str) -> list[int]:
-    """Tokens of each whole text. Very long texts are encoded in stretches that end at line ends, which no token of the vocabulary's pattern crosses."""
+    """Tokens of each whole text, as of its encoding in one piece. Long texts are encoded in stretches: they are cut only before a blank
+    behind another sign, where one piece of the vocabulary's pattern always ends and the next begins; a stretch without such a place is encoded whole."""
     enc = _encoder(path)
     out = []
     for t in texts:
         t = t.encode("utf-8", "replace").decode("utf-8")
         n = at = 0
         while at < len(t):
-            end = len(t) if len(t) - at <= 200_000 else (t.rfind("\n", at, at + 200_000) + 1 or at + 200_000)
+            seam = _SEAM.search(t, at + STRETCH) if len(t) - at > 2 * STRETCH else None
+            end = seam.start() if seam else len(t)
             n += len(enc.encode_ordinary(t[at:end]))
             at = end
         out.append(n)

@@ -18,8 +18,13 @@ def p7_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_truth(spark: SparkSession, d: str) -> DataFrame:
-    chosen, _ = S.discover_truth(S.claims(table(spark, d, "nodes")))
-    return S.build_records(chosen)
+    return S.build_records(S.discover_truth(S.claims(table(spark, d, "nodes"))).chosen)
+
+
+def p7_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """How often truth discovery chooses what the stated precedence keeps, and whether it converged."""
+    nodes = table(spark, d, "nodes")
+    return S.agreement(nodes, S.discover_truth(S.claims(nodes)))
 
 
 _IN = ", ".join(f"'{s}'" for s in S.STAND_INS)
@@ -34,7 +39,7 @@ def _trim(c: str) -> str:
     return rf"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
 
 
-QUERIES = {"p7_found": p7_found, "p7_records": p7_records, "p7_truth": p7_truth}
+QUERIES = {"p7_found": p7_found, "p7_records": p7_records, "p7_truth": p7_truth, "p7_agreement": p7_agreement}
 ORACLE = {
     "p7_found": rf"""
 WITH n AS (SELECT {canonical_id_sql("id")} AS node_id, * FROM nodes WHERE {_trim("id")} <> ''),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,37 +110,50 @@ def claims(nodes: DataFrame) -> DataFrame:
     )
 
 
-def discover_truth(votes: DataFrame, rounds: int = 20, tolerance: float = 1e-4, max_sources: int = 10_000) -> tuple[DataFrame, dict[str, float]]:
+class Truth(NamedTuple):
+    """Chosen values (entity, field, value, support), reliabilities (source, trust), and how the iteration ended."""
+
+    chosen: DataFrame
+    trust: DataFrame
+    rounds: int
+    moved: float
+    converged: bool
+
+
+def discover_truth(votes: DataFrame, tolerance: float = 1e-4, max_rounds: int = 200, broadcast_sources: int = 100_000) -> Truth:
     """Iterative truth discovery over claims (entity, field, value, source, votes).
 
     Alternately, a value's support is the sum of its sources' log-odds weights, and a source's reliability is the smoothed share of
     support that its values hold within their (entity, field); until no reliability moves by more than ``tolerance``. Ties go to the
-    smallest value. Gives (entity, field, value, support) of the chosen values, and the reliabilities. There may be at most ``max_sources``
-    sources (checked), which bounds what is collected and broadcast in a round; an empty input gives an empty result."""
-    spark = votes.sparkSession
+    smallest value. ``converged`` tells whether that was so within ``max_rounds``. Any number of sources: the reliabilities stay a table, which
+    is broadcast while it has at most ``broadcast_sources`` rows. An empty input gives an empty result, which has converged."""
     votes = cut_lineage(votes)
-    sources = [r[0] for r in votes.select("source").distinct().limit(max_sources + 1).collect()]
-    if len(sources) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    trust = dict.fromkeys(sources, 0.8)
-    supported = votes.withColumn("support", F.lit(0.0))
-    for _ in range(rounds if sources else 0):
-        table = F.broadcast(spark.createDataFrame([(s, float(t)) for s, t in trust.items()], "source string, trust double"))
-        weighted = votes.join(table, "source").withColumn("w", F.log(F.col("trust") / (1 - F.col("trust"))) + 3.0)
+    few = votes.select("source").distinct().limit(broadcast_sources + 1).count() <= broadcast_sources
+    trust = cut_lineage(votes.select("source").distinct().withColumn("trust", F.lit(0.8)))
+    moved, rounds = 0.0, 0
+    while True:
+        w = F.log(F.col("trust") / (1 - F.col("trust"))) + 3.0
+        weighted = votes.join(F.broadcast(trust) if few else trust, "source").withColumn("w", w)
         support = weighted.groupBy("entity", "field", "value").agg(F.sum(F.col("w") * F.log1p("votes")).alias("support"))
         total = support.groupBy("entity", "field").agg(F.sum("support").alias("total"))
-        supported = support.join(total, ["entity", "field"]).withColumn("share", F.col("support") / F.col("total"))
-        fresh = {
-            r.source: (r.hits + 0.8) / (r.n + 1.0)
-            for r in votes.join(supported, ["entity", "field", "value"]).groupBy("source").agg(F.sum("share").alias("hits"), F.count("*").alias("n")).collect()
-        }
-        fresh = {s: min(0.99, max(0.05, t)) for s, t in fresh.items()}
-        moved = max(abs(fresh[s] - trust[s]) for s in fresh)
-        trust = fresh
-        if moved <= tolerance:
+        supported = cut_lineage(support.join(total, ["entity", "field"]).withColumn("share", F.col("support") / F.col("total")))
+        if rounds and moved <= tolerance or rounds >= max_rounds:
             break
+        held = votes.join(supported, ["entity", "field", "value"]).groupBy("source").agg(F.sum("share").alias("hits"), F.count("*").alias("n"))
+        fresh = cut_lineage(held.select("source", F.least(F.lit(0.99), F.greatest(F.lit(0.05), (F.col("hits") + 0.8) / (F.col("n") + 1.0))).alias("trust")))
+        moved = fresh.join(trust.withColumnRenamed("trust", "before"), "source").agg(F.max(F.abs(F.col("trust") - F.col("before")))).first()[0] or 0.0
+        trust, rounds = fresh, rounds + 1
     best = supported.groupBy("entity", "field").agg(F.min(F.struct((-F.col("support")).alias("neg"), "value")).alias("b"))
-    return best.select("entity", "field", F.col("b.value").alias("value"), (-F.col("b.neg")).alias("support")), trust
+    return Truth(best.select("entity", "field", F.col("b.value").alias("value"), (-F.col("b.neg")).alias("support")), trust, rounds, moved, moved <= tolerance)
+
+
+def agreement(nodes: DataFrame, truth: Truth) -> DataFrame:
+    """(field, groups, same, rounds, converged): in how many groups of two or more rows truth discovery chooses the value that the fixed precedence keeps."""
+    text = {"summary": squeeze(F.col("summary")), "tags": F.to_json(F.array_sort(F.array_distinct("tags"))), "file_path": F.col("file_path")}
+    kept = survivors(nodes).select("node_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), text[f].alias("kept"), F.col(f"{f}_pos").alias("pos")) for f in FIELDS])).alias("x")).select(F.col("node_id").alias("entity"), "x.*").where("pos is not null")
+    both = kept.join(truth.chosen, ["entity", "field"], "left")
+    out = both.groupBy("field").agg(F.count("*").alias("groups"), F.sum(F.col("kept").eqNullSafe(F.col("value")).cast("bigint")).alias("same"))
+    return out.withColumns({"rounds": F.lit(truth.rounds), "converged": F.lit(truth.converged)})
 
 
 def build_records(chosen: DataFrame) -> DataFrame:

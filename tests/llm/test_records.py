@@ -47,11 +47,15 @@ def test_truth_discovery_prefers_what_reliable_sources_say(spark):
     for i in range(30):
         votes += [(f"e{i}", "f", "true", "good", 1), (f"e{i}", "f", "true", "fair", 1), (f"e{i}", "f", f"odd{i}", "bad", 1)]
     votes += [("z", "f", "right", "good", 1), ("z", "f", "wrong", "bad", 1), ("t", "f", "b", "fair", 1), ("t", "f", "a", "fair", 1)]
-    chosen, trust = S.discover_truth(spark.createDataFrame(votes, "entity string, field string, value string, source string, votes bigint"))
-    got = {r.entity: r.value for r in chosen.collect()}
+    table = spark.createDataFrame(votes, "entity string, field string, value string, source string, votes bigint")
+    found = S.discover_truth(table)
+    got, trust = {r.entity: r.value for r in found.chosen.collect()}, dict(found.trust.collect())
+    assert found.converged and not S.discover_truth(table, max_rounds=1).converged
+    joined = S.discover_truth(table, broadcast_sources=1)
+    assert sorted(joined.chosen.select("entity", "value").collect()) == sorted(found.chosen.select("entity", "value").collect())
     assert got["z"] == "right" and got["t"] == "a" and trust["good"] > trust["bad"]
-    empty, none = S.discover_truth(spark.createDataFrame([], "entity string, field string, value string, source string, votes bigint"))
-    assert empty.count() == 0 and none == {}
+    empty = S.discover_truth(table.limit(0))
+    assert empty.chosen.count() == 0 and empty.trust.count() == 0 and empty.converged
 
 
 VEC = "vec_id bigint, model string, embedding array<float>, v string"

@@ -108,7 +108,8 @@ def test_long_texts_have_the_tokens_of_their_parts():
     pytest.importorskip("public_tokenizers")
     text = "\n".join(prose(i, 40).replace("\n", " ") for i in range(1200))
     path = P.default_tokenizer()
-    assert abs(P.count_tokens([text], path)[0] - len(P._encoder(path).encode_ordinary(text))) <= 4
+    rows = [text, text.replace("\n", "\n\n  "), text.replace(" ", "")[:250_000], "a b" * 80_000, "word " + "x" * 3_001 + " \n\n" * 50_000]
+    assert P.count_tokens(rows, path) == [len(P._encoder(path).encode_ordinary(t)) for t in rows]
 
 
 # --- leaks ----------------------------------------------------------------------------------------------------------------------------
