@@ -169,6 +169,47 @@ def test_leaks(spark):
     assert leaks(spark, docs, []) == set() and leaks(spark, [], [(1, "a b")]) == set()
 
 
+def test_short_items_are_found_by_their_pieces_as_by_search_of_all():
+    import random
+
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(4)) for _ in range(40)]
+    items = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 19)))) for i in range(60)]
+    ix = L.build_index(items)
+    for d in range(40):
+        text = [rnd.choice(words) for _ in range(rnd.randint(0, 60))]
+        for i, t in rnd.sample(items, 3):
+            part = t.split()
+            for _ in range(rnd.randint(0, len(part) // 6)):
+                part[rnd.randrange(len(part))] = "other"
+            text[len(text) // 2 : len(text) // 2] = part
+        ids = np.array([ix.vocabulary.get(t, -1) for t in text], np.int32)
+        want = {i for (i, _), item in zip(items, ix.lists) if L.edit_distance_within(item, ids.tolist(), len(item) // 6)}
+        assert {m[0] for m in L.match(ids, ix)} == want
+
+
+def test_passages_in_scripts_without_blanks():
+    import random
+
+    rnd = random.Random(5)
+    item = "".join(chr(rnd.randrange(0x4E00, 0x5E00)) for _ in range(300))
+    cut = list(item[80:220])
+    cut[30], cut[90] = "的", "了"
+    ix = L.build_index([(1, item[:150] + "。" + item[150:])])
+    find = lambda t: L.match(np.array([ix.vocabulary.get(x, -1) for x in L.tokens(t)], np.int32), ix)
+    assert [m[0] for m in find("前" + "".join(cut) + "、後")] == [1]
+    assert find(item[80:110]) == []  # fifteen words are too few
+    assert L.tokens_and_words("ab 漢字漢 c漢d")[1] == [0, 1, 1, 2, 3, 4, 5]
+
+
+def test_several_blocks_of_items(spark, monkeypatch):
+    monkeypatch.setattr(L, "BLOCK_CHARS", 300)
+    docs = spark.createDataFrame([(i, " ".join(fresh(i, 60))) for i in range(12)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(i, " ".join(fresh(i, 60))) for i in range(0, 12, 2)], "item_id bigint, text string")
+    assert sorted((r.doc_id, r.item_id) for r in L.find_leaks(docs, items).collect()) == [(i, i) for i in range(0, 12, 2)]
+    assert L.find_leaks(docs, items.limit(0)).count() == 0
+
+
 def test_items_in_several_blocks(spark, monkeypatch):
     a, b = fresh(5, 60), fresh(6, 60)
     docs = [(1, " ".join(a[10:50])), (2, " ".join(b[5:45]))]
