@@ -18,17 +18,17 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import cut_lineage, spread
+from plumbline.session import spread
 
 #: Characters counted one by one; all others by blocks of 256, beyond the basic plane by planes.
 _SINGLE = 0x530
-_BLOCKS = [chr(0xE000 + i) for i in range(0x110)]
-#: Pairs of a smaller share of all are taken as unseen: at most 1 / LEAST_SHARE pairs are ever collected, however large the corpus.
-LEAST_SHARE = 2e-7
+#: Texts whose copies hold at least this share of all rows count once, whatever the number of copies: at most 1 / HOT_SHARE hashes are collected.
+HOT_SHARE = 1e-4
 
 # Encodings that texts are wrongly read as, and those that they were in.
 READ_AS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp1250", "cp1251", "cp850", "koi8-r", "cp866", "cp1254", "iso8859-15", "iso8859-2", "mac_cyrillic", "cp1253", "shift_jis", "gbk", "euc_jp", "big5")
@@ -45,143 +45,148 @@ _ODD = re.compile(r"[^\x00-\x7f]")
 _LOSS = re.compile("(?<![`\"'])�+|�+(?![`\"'])")
 
 
-def symbol(c: str) -> str:
-    """The symbol that stands for ``c`` in the pair table: digits and letters of ASCII fold, rare blocks share one."""
-    o = ord(c)
-    if o < 128:
-        return "0" if c.isdigit() else " " if c.isspace() else c.lower()
-    if o < _SINGLE or 0x2000 <= o < 0x2500:
-        return c
-    if 0x2500 <= o < 0x25A0:
-        return "─"
-    return _BLOCKS[o >> 8 if o < 0x10000 else 0xFF + (o >> 16)]
-
+def _numbers() -> tuple[np.ndarray, int]:
+    """The symbol of every code point, and how many there are: digits, blanks and letter cases of ASCII fold, box drawing is one, rare blocks share one."""
+    o = np.arange(0x110000, dtype=np.int64)
+    s = np.where(o < 0x10000, 0x10000 + (o >> 8), 0x10100 + (o >> 16))
+    one = (o < _SINGLE) | (o >= 0x2000) & (o < 0x2500) | (o == 0xFFFD)
+    s[one] = o[one]
+    s[0x2500:0x25A0] = 0x2500
+    s[ord("A") : ord("Z") + 1] += 32
+    s[ord("0") : ord("9") + 1] = ord("0")
+    for c in "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f":
+        s[ord(c)] = ord(" ")
+    names, numbers = np.unique(s, return_inverse=True)
+    return numbers.astype(np.int16), len(names)
 
-class _Symbols(dict):
-    """symbol() by code point, for str.translate; at most one entry for each character met."""
 
-    def __missing__(self, o: int) -> str:
-        got = self[o] = symbol(chr(o))
-        return got
+_NUMBER, SYMBOLS = _numbers()
+_LOST = int(_NUMBER[0xFFFD])
 
 
-_SYMBOLS = _Symbols()
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def symbols(text: str) -> str:
-    return text.translate(_SYMBOLS)
+def _pairs(codes: np.ndarray) -> np.ndarray:
+    """The number of each pair of adjacent symbols of which one at least is not ASCII."""
+    odd = codes >= 128
+    at = np.flatnonzero(odd[:-1] | odd[1:])
+    return _NUMBER[codes[at]].astype(np.int64) * SYMBOLS + _NUMBER[codes[at + 1]]
 
 
 def count_pairs(docs: DataFrame, text: str) -> DataFrame:
-    """(x, y, n) over all distinct texts: adjacent symbols of which at least one is not ASCII, with partial sums in every batch; x = y = '' counts all pairs."""
+    """(pair, n) over all texts: numbers of adjacent symbols of which at least one is not ASCII, with partial sums in every batch; pair -1 counts all pairs.
+
+    A text that holds a large share of the rows must not make its own garbling look normal: texts of which the copies hold HOT_SHARE of the rows count
+    once. Hashes are counted for that, texts are not moved."""
+    rows = docs.where(f"{text} is not null").select(text, F.xxhash64(text).alias("h"))
+    least = max(2, math.ceil(HOT_SHARE * rows.count()))
+    copies = {r["h"]: r["count"] for r in rows.groupBy("h").count().where(F.col("count") >= least).collect()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            counts: Counter = Counter()
-            every = 0
-            for t in pdf[text]:
-                every += max(0, len(t) - 1)
-                if t.isascii():
-                    continue
-                s = f" {symbols(t)} "
-                last = -2
-                for m in _ODD.finditer(s):
-                    i = m.start()
-                    if i - 1 != last:
-                        counts[s[i - 1 : i + 1]] += 1
-                    counts[s[i : i + 2]] += 1
-                    last = i
-            rows = [("", "", every), *((k[0], k[1], n) for k, n in counts.items())]
-            yield pd.DataFrame(rows, columns=["x", "y", "n"])
-
-    # Copies count once: a text that holds a large share of the rows must not make its own garbling look normal.
-    once = docs.where(f"{text} is not null").groupBy(F.xxhash64(text).alias("h"), F.length(text).alias("l")).agg(F.first(text).alias(text)).select(text)
-    part = once.mapInPandas(run, "x string, y string, n bigint")
-    return part.groupBy("x", "y").agg(F.sum("n").alias("n"))
+            counts: dict[float, list] = {}
+            every, held = 0.0, []
+
+            def flush() -> None:
+                for weight in {w for w, _ in held}:
+                    got = np.unique(_pairs(_codes("".join(f" {t} " for w, t in held if w == weight))), return_counts=True)
+                    counts.setdefault(weight, []).append(got)
+                held.clear()
+
+            size = 0
+            for t, h in pdf.itertuples(index=False, name=None):
+                weight = 1.0 / copies.get(h, 1)
+                every += weight * max(0, len(t) - 1)
+                if not t.isascii():
+                    held.append((weight, t))
+                    size += len(t)
+                    if size > 2_000_000:
+                        flush()
+                        size = 0
+            flush()
+            parts = [(k, n * w) for w, found in counts.items() for k, n in found]
+            pair = np.concatenate([np.array([-1], np.int64), *(k for k, _ in parts)])
+            n = np.concatenate([np.array([every]), *(n for _, n in parts)])
+            yield pd.DataFrame({"pair": pair, "n": n}).groupby("pair", as_index=False).sum()
+
+    part = spread(rows).mapInPandas(run, "pair bigint, n double")
+    return part.groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 @dataclass
 class PairTable:
-    """Log shares of mutual information by pair; ``floor`` for unseen pairs, ``cut`` below which a pair is improbable."""
+    """Log shares of mutual information of all pairs of symbols, of a size that no corpus changes; ``floor`` for unseen pairs, ``cut`` below which a pair is improbable."""
 
-    score: dict[str, float]
+    score: np.ndarray
     floor: float
     cut: float
     memo: dict = field(default_factory=dict)
 
-    def of(self, text: str) -> list[float | None]:
-        """A score per adjacent pair; None where both are ASCII."""
-        s = symbols(text)
-        get = self.score.get
-        return [None if a < "\x80" and b < "\x80" else get(a + b, self.floor) for a, b in zip(s, s[1:])]
+    def of(self, text: str) -> np.ndarray:
+        """The scores of the pairs of which one character at least is not ASCII."""
+        return self.score[_pairs(_codes(text))]
 
     def unseen(self, text: str) -> float:
         """The share of scored pairs that the corpus does not have."""
-        got = [x for x in self.of(text) if x is not None]
-        return sum(x <= self.floor for x in got) / len(got) if got else 0.0
+        got = self.of(text)
+        return float((got <= self.floor).mean()) if len(got) else 0.0
 
     def mean(self, text: str) -> float:
         """Mean score of the scored pairs; 0 for plain ASCII."""
-        got = [x for x in self.of(text) if x is not None]
-        return sum(got) / len(got) if got else 0.0
-
-
-def pair_table(counts: list[tuple[str, str, int]], rare: float = 0.15) -> PairTable:
-    """The table of count_pairs's rows. Improbable are the rarest pairs that together hold the share ``rare`` of all scored pairs."""
-    every = max(1, sum(n for x, _, n in counts if not x))
-    pairs = {x + y: n for x, y, n in counts if x}
-    left: Counter = Counter()
-    right: Counter = Counter()
-    for k, n in pairs.items():
-        left[k[0]] += n
-        right[k[1]] += n
-    floor = math.log(1e-10)
-    score = {}
-    for k, n in pairs.items():
-        # Marginals of ASCII characters are known only next to others; their share there is what a pair is held against.
-        p, px, py = n / every, left[k[0]] / every, right[k[1]] / every
-        info = p * math.log(max(p / (px * py), 1.01))
-        score[k] = max(floor, math.log(info))
-    total, seen, cut = sum(pairs.values()), 0, floor
-    for k in sorted(pairs, key=score.get):
-        seen += pairs[k]
-        if seen > rare * total:
-            break
-        cut = score[k]
-    return PairTable(score, floor, cut)
+        got = self.of(text)
+        return float(got.sum()) / len(got) if len(got) else 0.0
+
+
+def pair_table(pair: np.ndarray, n: np.ndarray, rare: float = 0.15) -> PairTable:
+    """The table of count_pairs's rows. Improbable are the rarest pairs that together hold the share ``rare`` of all scored pairs, and those with a replacement character."""
+    floor = np.float32(math.log(1e-10))
+    score = np.full(SYMBOLS * SYMBOLS, floor, np.float32)
+    every = max(1.0, float(n[pair < 0].sum()))
+    n, pair = n[pair >= 0], pair[pair >= 0]
+    x, y = pair // SYMBOLS, pair % SYMBOLS
+    # Marginals of ASCII characters are known only next to others; their share there is what a pair is held against.
+    p = n / every
+    px, py = np.bincount(x, p, SYMBOLS)[x], np.bincount(y, p, SYMBOLS)[y]
+    got = np.maximum(floor, np.log(p * np.log(np.maximum(p / (px * py), 1.01)))).astype(np.float32)
+    score[pair] = got
+    order = np.lexsort((pair, got))
+    held = np.searchsorted(np.cumsum(n[order]), rare * n.sum(), "right")
+    cut = float(got[order[held - 1]]) if held else float(floor)
+    square = score.reshape(SYMBOLS, SYMBOLS)
+    square[_LOST, :] = square[:, _LOST] = floor
+    return PairTable(score, float(floor), cut)
 
 
 def improbable_runs(text: str, table: PairTable, ascii_cost: float = 0.35) -> list[tuple[int, int]]:
     """Maximum-scoring segments of improbability as (start, end), in order: every pair below the cut counts for its segment, every other one against it."""
     if text.isascii():
         return []
-    padded = f" {text} "
-    # Ruzzo and Tompa's linear-time search for all maximal segments.
-    stack: list[list[float]] = []  # start, end, cumulative before, cumulative after
-    total = 0.0
-    for i, s in enumerate(table.of(padded)):
-        if s is None:
-            total -= ascii_cost
-            continue
-        v = 1.0 + min(3.0, table.cut - s) if s <= table.cut else -min(4.0, s - table.cut)
-        if v <= 0:
-            total += v
-            continue
-        seg = [i, i + 1, total, total + v]
-        total += v
+    codes = _codes(f" {text} ")
+    odd = codes >= 128
+    scored = odd[:-1] | odd[1:]
+    value = np.full(len(codes) - 1, -ascii_cost)
+    s = table.score[_pairs(codes)].astype(np.float64)
+    value[scored] = np.where(s <= table.cut, 1.0 + np.minimum(3.0, table.cut - s), -np.minimum(4.0, s - table.cut))
+    total = np.concatenate([[0.0], np.cumsum(value)])
+    # Ruzzo and Tompa's linear-time search for all maximal segments: start, end, cumulative before and after, and the last one with less before it.
+    stack: list[tuple[int, int, float, float, int]] = []
+    for i in np.flatnonzero(value > 0).tolist():
+        begin, low, high = i, float(total[i]), float(total[i + 1])
         while True:
             j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= seg[2]:
-                j -= 1
-            if j < 0 or stack[j][3] >= seg[3]:
-                stack.append(seg)
+            while j >= 0 and stack[j][2] >= low:
+                j = stack[j][4]
+            if j < 0 or stack[j][3] >= high:
+                stack.append((begin, i + 1, low, high, j))
                 break
-            seg = [stack[j][0], seg[1], stack[j][2], seg[3]]
+            begin, low = stack[j][0], stack[j][2]
             del stack[j:]
     # Pair i joins padded[i] and padded[i + 1], which is text[i - 1] and text[i].
     out: list[tuple[int, int]] = []
     for a, b, *_ in stack:
-        start, end = max(0, int(a) - 1), min(len(text), int(b))
+        start, end = max(0, a - 1), min(len(text), b)
         while start < end and text[start] < "\x80" and (text[start].isspace() or not _near(text, start)):
             start += 1
         if start < end:
@@ -213,18 +218,19 @@ def _sloppy(text: str, encoding: str) -> bytes | None:
 
 def _tidy(text: str) -> bool:
     """Whether a decoded text has assigned characters only and no controls beside line ends and tabs."""
-    return text.isprintable() or all(c in "\n\r\t" or unicodedata.category(c) not in ("Cc", "Cn", "Co", "Cs") for c in text)
+    return text.isprintable() or all(c.isprintable() or c in "\n\r\t" or unicodedata.category(c) not in ("Cc", "Cn", "Co", "Cs") for c in set(text))
 
 
-def _plausible(run: str, got: str) -> bool:
-    """Whether a remapped run reads as text: letters and common signs only, and letters of another script only several in a row."""
-    odd = [c for c in got if c >= "\x80"]
-    if not all(c in _SIGNS or c.isalpha() or 0x3000 <= ord(c) < 0x3040 or 0xFF00 <= ord(c) < 0xFFF0 for c in odd):
-        return False
-    if all(c in _SIGNS for c in run if c >= "\x80"):
-        return False
-    foreign = [c for c in odd if ord(c) >= 0x370 and c.isalpha()]
-    return not foreign or len(foreign) >= 3 and len(foreign) >= 0.6 * len(odd)
+def _plausible(got: str, wide: bool) -> bool:
+    """Whether a remapped run reads as text: letters and common signs only, and letters of another script only several in a row; from a double-byte encoding also box drawing alone."""
+    if wide and all("\u2500" <= c < "\u25a0" for c in set(got) if c >= "\x80"):
+        return len(_ODD.findall(got)) >= 2
+    for c in set(got):
+        if c >= "\x80" and not (c in _SIGNS or c.isalpha() or 0x3000 <= ord(c) < 0x3040 or 0xFF00 <= ord(c) < 0xFFF0):
+            return False
+    odd = _ODD.findall(got)
+    foreign = sum(c >= "\u0370" and c.isalpha() for c in odd)
+    return not foreign or foreign >= 3 and foreign >= 0.6 * len(odd)
 
 
 def _misplaced(text: str) -> bool:
@@ -248,26 +254,23 @@ def _margin(read: str, meant: str, run: str, misplaced: bool) -> float:
     return 1.0 if n >= 4 else 2.0
 
 
-def invert(run: str, table: PairTable, before: str = " ", after: str = " ", depth: int = 3) -> str | None:
-    """The most probable well-formed reading of a garbled run, or None if no inverse mapping improves it."""
-    known = table.memo.get((run, before, after, depth), run)
-    if known is not run:
-        return known
-    got = _invert(run, table, before, after, depth)
-    if len(table.memo) < 200_000:  # runs repeat; the memo only saves time
-        table.memo[run, before, after, depth] = got
-    return got
-
-
-def _invert(run: str, table: PairTable, before: str, after: str, depth: int) -> str | None:
-    best: tuple[float, str] | None = None
-    now, misplaced = table.mean(before + run + after), _misplaced(before + run + after)
+def _readings(run: str, across: bool) -> list[tuple[str, str, str]]:
+    """(read as, meant, text) of every inverse mapping of ``run`` whose result can be text, whatever stands around; mappings that agree once. ``across``: only from
+    double-byte encodings, whose trail bytes stand among ASCII."""
+    out: list[tuple[str, str, str]] = []
+    signs_only = all(c in _SIGNS for c in set(run) if c >= "\x80")
+    raws: set[tuple[bytes, bool]] = set()  # encodings differ in few characters, so most readings are the same
+    tried: set[tuple[str, bool]] = set()
     for read in READ_AS:
+        wide = read in _WIDE
+        if across and wide:
+            continue
         raw = _sloppy(run, read)
-        if raw is None or raw.isascii():
+        if raw is None or raw.isascii() or (raw, wide) in raws:
             continue
+        raws.add((raw, wide))
         for meant in MEANT:
-            if meant == read or (read in _WIDE and meant != "utf-8"):
+            if meant == read or meant != "utf-8" and (wide or signs_only) or across and meant not in _WIDE:
                 continue
             try:
                 got = raw.decode(meant)
@@ -275,32 +278,68 @@ def _invert(run: str, table: PairTable, before: str, after: str, depth: int) ->
                 continue
             if got == run or meant == "utf-8" and len(got) == len(raw):
                 continue
+            if meant != "utf-8":
+                key = got, meant in _WIDE
+                if key in tried:
+                    continue
+                tried.add(key)
+                if not _tidy(got) or not _plausible(got, meant in _WIDE):
+                    continue
+            out.append((read, meant, got))
+    return out
+
+
+def invert(run: str, table: PairTable, before: str = " ", after: str = " ", across: bool = False) -> str | None:
+    """The most probable well-formed reading of a garbled run, or None if no inverse mapping improves it. Repeated garbling is undone to its end: every reading as
+    UTF-8 is shorter than what it is read from."""
+    key = run, before, after, across
+    known = table.memo.get(key, run)
+    if known is run:
+        known = _invert(run, table, before, after, across)
+        if len(table.memo) < 400_000:  # runs repeat; the memo only saves time
+            table.memo[key] = known
+    return known
+
+
+def _invert(run: str, table: PairTable, before: str, after: str, across: bool) -> str | None:
+    readings = table.memo.get((run, across))
+    if readings is None:
+        readings = _readings(run, across)
+        if len(table.memo) < 400_000:
+            table.memo[run, across] = readings
+    if not readings:
+        return None
+    best: tuple[float, str] | None = None
+    now, misplaced = table.mean(before + run + after), _misplaced(before + run + after)
+    for read, meant, got in readings:
+        if meant == "utf-8":
             if not _tidy(got):
-                inner = invert(got, table, before, after, depth - 1) if meant == "utf-8" and depth > 1 else None
-                if inner is None:
+                got = invert(got, table, before, after)
+                if got is None:
                     continue
-                got = inner
-            elif meant == "utf-8" and depth > 1 and _ODD.search(got):
-                got = invert(got, table, before, after, depth - 1) or got
-            after_score = table.mean(before + got + after)
-            gain = after_score - now - _margin(read, meant, run, misplaced)
-            if meant != "utf-8" and not _plausible(run, got):
-                continue
-            ideographs = sum(0x3040 <= ord(c) < 0xA000 for c in got) if meant in _WIDE else 0
-            if meant != "utf-8" and ideographs < 4 and table.unseen(before + got + after) > 0.25:
-                continue
-            if gain > 0 and (best is None or gain + (2 if meant == "utf-8" else 0) > best[0]):
-                best = (gain + (2 if meant == "utf-8" else 0), got)
+            elif _ODD.search(got):
+                got = invert(got, table, before, after) or got
+        scores = table.of(before + got + after)
+        mean = float(scores.sum()) / len(scores) if len(scores) else 0.0
+        gain = mean - now - _margin(read, meant, run, misplaced)
+        if gain <= 0:
+            continue
+        if meant != "utf-8" and (scores <= table.floor).sum() > 0.25 * len(scores) and (meant not in _WIDE or len(_IDEOGRAPH.findall(got)) < 4):
+            continue
+        gain += 2 if meant == "utf-8" else 0
+        if best is None or gain > best[0]:
+            best = (gain, got)
     return best[1] if best else None
 
 
+_IDEOGRAPH = re.compile("[\u3040-\u9fff]")
 _PIECE = re.compile(r"[^\x00-\x7f]+")
 
 
-def _mends(text: str, table: PairTable) -> Iterator[tuple[int, int, str]]:
+def _mends(text: str, table: PairTable, runs: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
     """(start, end, replacement) for every garbled stretch: whole runs first, else the words and the pieces of them that invert on their own."""
     tried, mended = (0, 0), False  # the last stretch of a line that was tried whole
-    for start, end in improbable_runs(text, table):
+    for start, end in runs:
         if mended and tried[0] <= start and end <= tried[1]:
             continue
         got = invert(text[start:end], table, text[max(0, start - 1) : start] or " ", text[end : end + 1] or " ")
@@ -316,7 +355,7 @@ def _mends(text: str, table: PairTable) -> Iterator[tuple[int, int, str]]:
             b += 1
         if not known:
             tried, mended = (a, b), False
-            got = invert(text[a:b], table) if sum(c >= "\x80" for c in text[a:b]) >= 4 else None
+            got = invert(text[a:b], table, across=True) if len(_ODD.findall(text, a, b)) >= 4 else None
             mended = got is not None
             if got is not None:
                 yield a, b, got
@@ -324,6 +363,9 @@ def _mends(text: str, table: PairTable) -> Iterator[tuple[int, int, str]]:
         for m in _PIECE.finditer(text, start, end):
             a, b = m.span()
             got = invert(m[0], table, text[max(0, a - 1) : a] or " ", text[b : b + 1] or " ")
+            while got is None and a < b and (text[a] in _JOINERS or text[b - 1] in _JOINERS):  # quotes and fixed blanks around may be as they were meant
+                a, b = a + (text[a] in _JOINERS), b - (text[b - 1] in _JOINERS)
+                got = invert(text[a:b], table, text[max(0, a - 1) : a] or " ", text[b : b + 1] or " ") if a < b else None
             if got is not None:
                 yield a, b, got
 
@@ -371,10 +413,7 @@ def _utf8_in(piece: str, table: PairTable) -> list[tuple[str, list[tuple[int, in
         mends, sequences = [], []
         for a, b in spans:
             now = raw[a:b].encode("latin-1").decode("utf-8")
-            for _ in range(2):
-                again = now.translate(as_bytes)
-                if not _UTF8.fullmatch(again):
-                    break
+            while _UTF8.fullmatch(again := now.translate(as_bytes)):
                 now = again.encode("latin-1").decode("utf-8")
             mends.append((a, b, now))
             sequences += [piece[a + m.start() : a + m.end()] for m in _ONE.finditer(raw[a:b])]
@@ -474,7 +513,8 @@ def examine(text: str | None, table: PairTable) -> tuple[list[tuple[int, int]],
         return [], text
     found, parts, at = [], [], 0
     mends: list[tuple[int, int, str]] = []
-    for a, b, got in _mends(whole, table):
+    runs = improbable_runs(whole, table)
+    for a, b, got in _mends(whole, table, runs):
         if not mends or a >= mends[-1][1]:  # else in a stretch that is mended already
             mends.append((a, b, got))
     mends = sorted([*mends, *_well_formed(whole, table, [(a, b) for a, b, _ in mends])])
@@ -485,7 +525,8 @@ def examine(text: str | None, table: PairTable) -> tuple[list[tuple[int, int]],
         found.append((s, e))
         parts += [text[at:s], got]
         at = e
-    lost = [m.span() for m in _LOSS.finditer(text)]
+    # A replacement character makes its pairs improbable: every one is in a run.
+    lost = [(_back(m.start(), places, False), _back(m.end(), places, True)) for a, b in runs for m in _LOSS.finditer(whole, max(0, a - 1), min(len(whole), b + 1)) if a < m.end() and m.start() < b] if "�" in whole else []
     fixed = "".join([*parts, text[at:]])
     return sorted([*found, *lost]), None if lost or "�" in fixed else fixed
 
@@ -493,14 +534,14 @@ def examine(text: str | None, table: PairTable) -> tuple[list[tuple[int, int]],
 def find_garbled(docs: DataFrame, key: str = "doc_id", text: str = "text", rare: float = 0.15) -> DataFrame:
     """(key, stretches, restored) for every text with at least one stretch garbled by a wrong decoding; restored is null where characters are lost.
 
-    Two passes: pair counts of all texts (partial sums per batch; at most 1 / LEAST_SHARE rows are collected), then a narrow pass that
-    examines every text whole. Null and empty texts are never garbled; equal texts give equal results; other columns are ignored."""
+    Two passes: pair counts of all texts (partial sums per batch; at most SYMBOLS squared pairs, some 100 MB, are ever collected, and 32 MB sent to the executors), then a
+    narrow pass that examines every text whole. Texts of plain ASCII without notations do not reach Python. Null and empty texts are never garbled; equal texts give
+    equal results; other columns are ignored."""
     spark = docs.sparkSession
-    pairs = cut_lineage(count_pairs(docs, text))
-    every = pairs.where("x = ''").agg(F.sum("n")).first()[0] or 0
-    counts = [(r.x, r.y, r.n) for r in pairs.where(F.col("n") >= LEAST_SHARE * every).toLocalIterator()]
-    sent = spark.sparkContext.broadcast(pair_table(counts, rare))
+    counts = count_pairs(docs, text).toPandas()
+    sent = spark.sparkContext.broadcast(pair_table(counts["pair"].to_numpy(np.int64), counts["n"].to_numpy(float), rare))
     schema = docs.select(key).schema.simpleString()[len("struct<") : -1] + ",stretches:int,restored:string"
+    odd = F.col(text).rlike(r"[^\x00-\x7f]|&(?:#|[A-Za-z]{2,8};)|\\(?:u[0-9a-fA-F]{4}|x[0-9a-fA-F]{2}|[0-3][0-7]{2})|%[0-9a-fA-F]{2}|=[0-9A-F]{2}")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -511,4 +552,4 @@ def find_garbled(docs: DataFrame, key: str = "doc_id", text: str = "text", rare:
                     rows.append((k, len(found), fixed))
             yield pd.DataFrame(rows, columns=[key, "stretches", "restored"])
 
-    return spread(docs.select(key, text).where(f"{text} is not null")).mapInPandas(run, schema)
+    return spread(docs.select(key, text).where(odd)).mapInPandas(run, schema)

@@ -244,16 +244,8 @@ CASES = [
 
 @pytest.fixture(scope="module")
 def table():
-    from collections import Counter
-
-    counts, every = Counter(), 0
-    for t in corpus():
-        s = f" {X.symbols(t)} "
-        every += len(t) - 1
-        for a, b in zip(s, s[1:]):
-            if a >= "\x80" or b >= "\x80":
-                counts[a + b] += 1
-    return X.pair_table([("", "", every), *((k[0], k[1], n) for k, n in counts.items())])
+    pair, n = np.unique(np.concatenate([X._pairs(X._codes(f" {t} ")) for t in corpus()]), return_counts=True)
+    return X.pair_table(np.append(pair, -1), np.append(n, sum(len(t) - 1 for t in corpus())).astype(float))
 
 
 @pytest.mark.parametrize("want,got", CASES)
@@ -312,6 +304,32 @@ def test_well_formed_by_chance_stays(table):
 def test_long_lines_of_wide_encodings_are_restored(table, n):
     want = "".join(SENTENCES[4] + f" item {i} " for i in range(n))
     # The first lead byte is frequent here, so that the run begins within a character and does not decode by itself.
-    known = X.PairTable({**table.score, " Ï": 0.0, "ÏÈ": 0.0}, table.floor, table.cut)
+    score = table.score.copy()
+    score[X._pairs(X._codes(" ÏÈ"))] = 0.0
+    known = X.PairTable(score, table.floor, table.cut)
     found, fixed = X.examine(garble(want, "gbk", "latin-1"), known)
     assert found and fixed == want
+
+
+def test_garbling_repeated_many_times_is_undone(table):
+    text = SENTENCES[1]
+    for _ in range(5):
+        text = garble(text, "utf-8", "latin-1")
+    found, fixed = X.examine(text, table)
+    assert found and fixed == SENTENCES[1]
+
+
+def test_pairs_are_counted_as_in_plain_python(spark):
+    from collections import Counter
+
+    texts = [*corpus(), "ß", "\U0001f600 x \ud7ff", "", "ascii only"]
+    want: Counter = Counter()
+    for t in texts:
+        for a, b in zip(f" {t} ", f"{t} "):
+            if a >= "\x80" or b >= "\x80":
+                want[int(X._NUMBER[ord(a)]) * X.SYMBOLS + int(X._NUMBER[ord(b)])] += 1
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string")
+    got = {r.pair: r.n for r in X.count_pairs(df, "text").collect()}
+    distinct = len(set(texts)) == len(texts)
+    assert got.pop(-1) > 0 and set(got) == set(want) and (not distinct or all(abs(got[k] - want[k]) < 1e-6 for k in want))
+    assert X._NUMBER[ord("Q")] == X._NUMBER[ord("q")] and X._NUMBER[ord("7")] == X._NUMBER[ord("0")] and X._NUMBER[0x2501] == X._NUMBER[0x2550] and X.SYMBOLS < 3000
