@@ -10,7 +10,8 @@ from plumbline.llm.gll import Grammar
 
 _ECMA = """
 Module = NL? Item*
-Item = Stmt | Import | Export {T | ( 'export'? 'default'? Signature )+ 'export'? 'default'? 'async'? Func }
+Script = NL? ( Item | Return )*
+Item = Plain | Import | Export {T | ( 'export'? 'default'? Signature )+ 'export'? 'default'? 'async'? Func }
 Import = 'import' ( STR | Name ( ',' ( C[Specs] | '*' 'as' Name ) )? 'from' STR | ( C[Specs] | '*' 'as' Name ) 'from' STR {T | 'type' ( Name | C[Specs] | '*' 'as' Name ) 'from' STR | Name '=' Expr } ) Attributes? @T
 Attributes = ( 'with' | 'assert' ) C[Obj]
 Specs = ( Spec ( ',' Spec )* ','? )? NL?
@@ -18,7 +19,9 @@ Spec = {T 'type'? } ( @Word | STR ) ( 'as' ( @Word | STR ) )?
 Export = 'export' ( 'default' ( Func | Class | 'async' Func | AssignNB @T {T | Interface | 'abstract' Class } ) | C[Specs] ( 'from' STR Attributes? )? @T | '*' ( 'as' ( @Word | STR ) )? 'from' STR Attributes? @T | Decl {T | 'type' C[Specs] ( 'from' STR )? @T | '=' Expr @T | 'as' 'namespace' Name @T } )
 Decl = Var @T | Func | 'async' Func | Class {T | Interface | Alias | Enum | Space | 'declare' ( Decl | Signature | AmbientSpace ) | 'abstract' Class }
 Stmts = NL? Stmt*
-Stmt = ';' | NL | C[Stmts] | Decl | If | For | While | Do | Switch | Try | Decorator Class | 'return' Expr? @T | 'throw' Expr @T | ( 'break' | 'continue' ) Name? @T | 'debugger' @T | 'with' P[Expr] Stmt | Name ':' Stmt | ExprNB @T
+Stmt = Plain | Return
+Return = 'return' Expr? @T
+Plain = ';' | NL | C[Stmts] | Decl | If | For | While | Do | Switch | Try | Decorator Class | 'throw' Expr @T | ( 'break' | 'continue' ) Name? @T | 'debugger' @T | 'with' P[Expr] Stmt | Name ':' Stmt | ExprNB @T
 Var = ( 'var' | 'let' | 'const' ) Binding ( ',' Binding )*
 Binding = Target {T '!'? Ann? } ( '=' Assign )?
 Target = Name | B[ArrayPattern] | C[ObjPattern]
@@ -171,7 +174,7 @@ Vis = 'pub' P[VisIn]?
 VisIn = 'crate' | 'self' | 'super' | 'in' SimplePath
 Item = ';' | Attr | Vis? ( Use | Fn | Struct | Enum | Union | Trait | Impl | Mod | Const | Static | Alias | ExternCrate | ExternBlock | Macro )
 Use = 'use' UseTree ';'
-UseTree = '::'? ( PathWord '::' )* ( PathWord ( 'as' ID )? | '*' | C[UseList] )
+UseTree = '::'? ( PathWord '::' )* ( PathWord ( 'as' ( ID | '_' ) )? | '*' | C[UseList] )
 UseList = ( UseTree ( ',' UseTree )* ','? )?
 PathWord = ID | 'crate' | 'self' | 'super' | 'union' | 'auto' | 'raw' | 'box'
 SimplePath = '::'? PathWord ( '::' PathWord )*
@@ -199,7 +202,7 @@ Mod = 'unsafe'? 'mod' Ident ( ';' | C[Items] )
 Const = 'const' ( Ident | '_' ) ':' Type ( '=' Expr )? ';'
 Static = 'static' 'mut'? Ident ':' Type ( '=' Expr )? ';'
 Alias = 'type' Ident Generics? ( ':' Bounds? )? Where? ( '=' Type )? Where? ';'
-ExternCrate = 'extern' 'crate' PathWord ( 'as' ID )? ';'
+ExternCrate = 'extern' 'crate' PathWord ( 'as' ( ID | '_' ) )? ';'
 ExternBlock = 'unsafe'? 'extern' STR? C[Items]
 Macro = SimplePath '!' Ident? ( C[Tokens] | ( P[Tokens] | B[Tokens] ) ';' )
 Tokens = ( @Any | P[Tokens] | B[Tokens] | C[Tokens] )*
@@ -333,7 +336,7 @@ File = Stmt*
 Suite = Stmt+
 Stmt = Simple NL | Compound
 Simple = Small ( ';' Small )* ';'?
-Small = Exprs ( ( '=' ( Exprs | Yield ) )+ | @Aug ( Exprs | Yield ) | ':' Test ( '=' ( Exprs | Yield ) )? )? | Yield | 'pass' | 'break' | 'continue' | 'return' Exprs? | 'raise' ( Test ( 'from' Test )? )? | ( 'global' | 'nonlocal' ) Name ( ',' Name )* | 'del' Exprs | 'assert' Test ( ',' Test )? | 'import' Dotted ( 'as' Name )? ( ',' Dotted ( 'as' Name )? )* | 'from' ( Dots Dotted? | Dotted ) 'import' ( '*' | P[Aliases] | Alias ( ',' Alias )* ) | 'type' Name B[TypeParams]? '=' Test
+Small = Exprs | ( Targets '=' )+ ( Exprs | Yield ) | Place ( @Aug ( Exprs | Yield ) | ':' Test ( '=' ( Exprs | Yield ) )? ) | Yield | 'pass' | 'break' | 'continue' | 'return' Exprs? | 'raise' ( Test ( 'from' Test )? )? | ( 'global' | 'nonlocal' ) Name ( ',' Name )* | 'del' Exprs | 'assert' Test ( ',' Test )? | 'import' Dotted ( 'as' Name )? ( ',' Dotted ( 'as' Name )? )* | 'from' ( Dots Dotted? | Dotted ) 'import' ( '*' | P[Aliases] | Alias ( ',' Alias )* ) | 'type' Name B[TypeParams]? '=' Test
 Dots = ( '.' | '...' )+
 Aliases = Alias ( ',' Alias )* ','?
 Alias = Name ( 'as' Name )?
@@ -362,7 +365,10 @@ Yield = 'yield' ( 'from' Test | Exprs )?
 Exprs = Star ( ',' Star )* ','?
 Star = '*' Bin | Named
 Targets = Target ( ',' Target )* ','?
-Target = '*'? Atom Tail*
+Target = '*'? ( Place | B[Targets0] | P[Targets0] )
+Targets0 = Targets?
+Place = Name | Atom Tail* ( '.' Name | B[Index] ) | P[Place1]
+Place1 = Place
 Named = Test | Name ':=' Test
 Test = Or ( 'if' Or 'else' Test )? | 'lambda' LambdaParams ':' Test
 Or = Not ( ( 'or' | 'and' ) Not )*
@@ -424,7 +430,7 @@ _JOINS = ("else", "catch", "finally", "while", "instanceof", "in", "as", "satisf
 def build(language: str) -> Grammar:
     """The grammar of a language of LANGUAGES."""
     if language == "javascript":
-        return Grammar(_dialect(_ECMA, "J"), _EC_CLASSES, ("Module", "Stmts", "ClassBody"), (";", "NL"), _JOINS)
+        return Grammar(_dialect(_ECMA, "J"), _EC_CLASSES, ("Module", "Script", "Stmts", "ClassBody"), (";", "NL"), _JOINS)
     if language in ("typescript", "typescript+jsx"):  # angle-bracket assertions and JSX exclude each other
         return Grammar(_dialect(_ECMA, "TA" if language == "typescript" else "T") + _TYPES, _EC_CLASSES, ("Module", "Stmts", "ClassBody"), (";", "NL"), _JOINS)
     if language == "go":

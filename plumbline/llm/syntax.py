@@ -1,11 +1,13 @@
 """Source files that do not parse in the language that their path implies.
 
 A file is lexed, its brackets (and indented blocks) are matched, and each content is recognised by generalised LL over a graph-structured
-stack with the grammar of the dialect that its extension names (gll, grammars). A file that every dialect of its extension rejects is flagged."""
+stack (gll, grammars), for the start symbols of all dialects of its extension at once. Expressions inside templates, formatted strings and elements are
+recognised likewise. A file that every dialect of its extension rejects is flagged."""
 
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -23,7 +25,7 @@ EXTENSIONS = {
     "pyi": ("python",),
     "js": ("javascript",),
     "mjs": ("javascript",),
-    "cjs": ("javascript",),
+    "cjs": ("javascript", "javascript:Script"),
     "jsx": ("javascript",),
     "ts": ("typescript",),
     "tsx": ("typescript+jsx",),
@@ -36,6 +38,9 @@ EXTENSIONS = {
     "yaml": ("yaml",),
     "yml": ("yaml",),
     "toml": ("toml",),
+    "d.ts": ("typescript", "typescript:Ambient"),
+    "d.mts": ("typescript", "typescript:Ambient"),
+    "d.cts": ("typescript", "typescript:Ambient"),
 }
 
 _OPEN = {"(": "P", "[": "B", "{": "C"}
@@ -53,7 +58,7 @@ _ECMA = re.compile(
     + "|"
     + _SQ
     + r"|`(?:[^`\\$]|\\.|\$(?!\{)|\$\{(?:[^{}`]|\{[^{}]*\}|`[^`]*`)*\})*`"
-    + r"|(?:(?<=[(,=:\[!&|?{};\n+])|(?<=[(,=:\[!&|?{};+] )|(?<=return ))/(?![*/])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
+    + r"|(?:(?<=[(,=:\[!&|?{};\n+])|(?<=[(,=:\[!&|?{};+] )|(?<==>)|(?<==> )|(?<=return )|(?<=case )|(?<=typeof ))/(?![*/])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
     + r"|\.?\d(?:[\w.]|(?<=[eE])[+-](?=\d))*|=>|===|!==|==|!=|<<=|<<|<=|\+\+|--|\*\*=|\*\*|&&=|\|\|=|\?\?=|&&|\|\||\?\?|\?\.(?!\d)|\.\.\.|[+\-*/%&|^]=|.)",
     re.S,
 )
@@ -83,16 +88,24 @@ _PYTHON = re.compile(
     re.S,
 )
 _JSON = re.compile(r"[ \t\r\n]*+(\"(?:[^\"\\\x00-\x1f]|\\(?:[\"\\/bfnrt]|u[0-9a-fA-F]{4}))*\"|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\w.])|[a-z]+|[^ \t\r\n])")
+_FORMATTED = re.compile(r"(?<!\w)[rR]?[fFtT][rR]?[\"']")
+_PY_FIELD = re.compile(r"(?<!\w)[a-zA-Z]{0,2}(?:\"\"\"|\'\'\'|\"|')|#[^\n]*|!=|[()\[\]{}!:]")
 _TOML = re.compile(r"(?:[ \t\r]+|#[^\n]*|\ufeff)*+(\n|\"\"\"(?:[^\\]|\\.)*?\"{3,5}|'''.*?'{3,5}|\"(?:[^\"\\\n]|\\.)*\"|'[^'\n]*'|[^\s\[\]{},=#\"']+|.)", re.S)
 _TOML_VALUE = re.compile(
     r"(?:true|false|[+-]?(?:inf|nan)|0x[0-9a-fA-F_]+|0o[0-7_]+|0b[01_]+|[+-]?(?:0|[1-9](?:_?\d)*)(?:\.\d(?:_?\d)*)?(?:[eE][+-]?\d(?:_?\d)*)?"
     r"|\d{4}-\d\d-\d\d(?:[Tt ]\d\d:\d\d(?::\d\d(?:\.\d+)?)?(?:[Zz]|[+-]\d\d:\d\d)?)?|\d\d:\d\d(?::\d\d(?:\.\d+)?)?)"
 )
-_TOML_KEY = re.compile(r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)*|\.|[A-Za-z0-9_-]+\.|\.[A-Za-z0-9_-]+")
+_TOML_KEY = re.compile(r"\.?[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)*\.?|\.")
+_PY_NUMBER = re.compile(r"0[xX](?:_?[0-9a-fA-F])+|0[oO](?:_?[0-7])+|0[bB](?:_?[01])+|0(?:_?0)*|[1-9](?:_?\d)*|(?:(?:\d(?:_?\d)*)?\.\d(?:_?\d)*|\d(?:_?\d)*\.)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?|\d(?:_?\d)*(?:[eE][+-]?\d(?:_?\d)*[jJ]?|[jJ])")
+#: A pattern that begins a line, and the blanks before it: an operator hardly stands there.
+_LINE_REGEX = re.compile(r"\n[ \t]+(?=/[^/*\s][^\n]*/[a-z]*[,.;)\]\s])")
+#: What can hold a template's sign without beginning one.
+_ECMA_OPAQUE = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|(?:(?<=[(,=:\[!&|?{};\n+])|(?<=[(,=:\[!&|?{};+] )|(?<=return ))/(?![*/])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*|`", re.S)
+_PY_OPAQUE = re.compile(r"#[^\n]*|(?<!\w)([a-zA-Z]{0,2})(\"\"\"|\'\'\'|\"|')")
 
 
 def _language(dialect: str) -> str:
-    return dialect.partition("+")[0]
+    return dialect.partition("+")[0].partition(":")[0]
 
 
 class Rejected(Exception):
@@ -105,6 +118,7 @@ class Parser:
     def __init__(self, language: str) -> None:
         self.g: Grammar = grammars.build(language)
         self.language = language
+        self.known: dict[tuple[str, tuple[str, ...]], bool] = {}
         g = self.g
         self.start = g.number["Module" if "Module" in g.number else "File"]
         self.kinds = {t: i for t, i in g.terminals.items() if not (t.isupper() and len(t) > 1 and t.isalpha())}
@@ -121,12 +135,27 @@ class Parser:
         elif language == "go":
             self.ending = {self.classes[c] for c in ("ID", "NUM", "STR", "RUNE")} | {self.kinds[w] for w in ("break", "continue", "fallthrough", "return", "++", "--")}
 
-    def accepts(self, text: str) -> bool:
+    def accepts(self, text: str, starts: tuple[str, ...] = ()) -> bool:
+        """Whether ``text`` derives from one of the nonterminals ``starts``, by default the language's own; all are recognised on one stack."""
+        if 4 * len(text) + 500 > sys.getrecursionlimit():  # no nesting is deeper than its text is long
+            sys.setrecursionlimit(4 * len(text) + 2_000)
+        numbers = [self.g.number[n] for n in starts] or [self.start]
         try:
             tokens = getattr(self, f"_{_language(self.language)}")(text)
-        except (Rejected, RecursionError):
+        except Rejected:
             return False
-        return bool(self.g.content("TOP", tokens, [self.start]) >> self.start & 1)
+        mask = self.g.content("TOP" + ",".join(starts), tokens, numbers)
+        return any(mask >> x & 1 for x in numbers)
+
+    def _embedded(self, text: str, starts: tuple[str, ...]) -> None:
+        """Reject what is no expression inside a template, formatted string or element."""
+        got = self.known.get((text, starts))
+        if got is None:
+            got = self.accepts(text, starts)
+            if len(self.known) < 50_000:  # a memo only
+                self.known[text, starts] = got
+        if not got:
+            raise Rejected
 
     def _close(self, stack: list, kind: str) -> int:
         """Symbol of the group that ends here, of ``kind``."""
@@ -160,7 +189,10 @@ class Parser:
     def _javascript(self, text: str) -> list[int]:
         if text.startswith("#!"):
             text = text[text.find("\n") + 1 :] if "\n" in text else ""
-        text = _jsx(text) if self.language != "typescript" and "<" in text and re.search(r"(?:[(=?:,{}&|]|return)\s*<[A-Za-z>]", text) else text
+        text = _LINE_REGEX.sub("\n", text)
+        if "${" in text:
+            text = self._templates(text)
+        text = self._jsx(text) if self.language != "typescript" and "<" in text and re.search(r"(?:[(=?:,{}&|]|return)\s*<[A-Za-z>]", text) else text
         stack: list[tuple[str, list[int]]] = [("", [])]
         out = stack[0][1]
         known, ending, going_on, nl, base = self.kinds, self.ending, self.going_on, self.nl, self.g.base
@@ -192,6 +224,113 @@ class Parser:
 
     _typescript = _javascript
 
+    def _templates(self, text: str) -> str:
+        """Text with every template that holds expressions replaced by a plain one; the expressions, or in types the types, are recognised."""
+        out, at, pos = [], 0, 0
+        while m := _ECMA_OPAQUE.search(text, pos):
+            pos = m.end()
+            if m[0] == "`":
+                end = self._template(text, pos)
+                out += [text[at : m.start()], "`t`"]
+                at = pos = end
+        return "".join([*out, text[at:]])
+
+    def _template(self, text: str, at: int) -> int:
+        """End of the template whose contents begin at ``at``."""
+        starts = ("Expr",) if self.language == "javascript" else ("Expr", "TypeIn")
+        while m := _TEMPLATE_PART.search(text, at):
+            at = m.end()
+            if m[0] == "`":
+                return at
+            if m[0] == "${":
+                end = self._braced(text, at)
+                self._embedded(text[at : end - 1], starts)
+                at = end
+        raise Rejected
+
+    def _braced(self, text: str, at: int) -> int:
+        """End of the braces whose contents begin at ``at``."""
+        depth = 1
+        while m := _BRACED_PART.search(text, at):
+            at = m.end()
+            if m[0] == "`":
+                at = self._template(text, at)
+            elif m[0] in "{}":
+                depth += 1 if m[0] == "{" else -1
+                if not depth:
+                    return at
+        raise Rejected
+
+    def _jsx(self, text: str) -> str:
+        """Text with every JSX element replaced by one mark; what stands in its braces is recognised. Unbalanced elements stay, and are rejected."""
+        out, at = [], 0
+        for m in re.finditer(r"(?:[(=?:,{}&|>]|return)\s*(?=<[A-Za-z>])", text):
+            if m.end() < at:
+                continue
+            end = self._element(text, m.end())
+            if end is not None:
+                out += [text[at : m.end()], "\ue000"]
+                at = end
+        return "".join([*out, text[at:]])
+
+    def _held(self, text: str, at: int, attribute: bool) -> int | None:
+        """End of the braces that open at ``at`` inside an element, whose contents must be an expression, a spread, or (of children) nothing."""
+        end = _braces(text, at)
+        if end is None:
+            return None
+        inner = _ECMA_COMMENT.sub(" ", text[at + 1 : end - 1]).strip()
+        if not inner:
+            return None if attribute else end
+        try:
+            self._embedded(inner.removeprefix("..."), ("Expr",))
+        except Rejected:  # no element: what stands here may be a comparison or a type
+            return None
+        return end
+
+    def _element(self, text: str, at: int) -> int | None:
+        """End of the JSX element that begins at ``at``, or None."""
+        open_tags: list[str] = []
+        while at < len(text):
+            m = _TAG_NAME.match(text, at)
+            if m is None:
+                return None
+            name, at = m[1] or "", m.end()
+            while at < len(text) and text[at] != ">" and not text.startswith("/>", at):
+                if text[at] == "{":
+                    end = self._held(text, at, True)
+                    if end is None:
+                        return None
+                    at = end
+                elif a := _ATTRIBUTE.match(text, at):
+                    at = a.end()
+                else:
+                    return None
+            if text.startswith("/>", at):
+                at += 2
+            else:
+                at += 1
+                open_tags.append(name)
+            while True:
+                if not open_tags:
+                    return at
+                nxt = re.compile(r"[<{]").search(text, at)
+                if nxt is None:
+                    return None
+                at = nxt.start()
+                if text[at] == "{":
+                    end = self._held(text, at, False)
+                    if end is None:
+                        return None
+                    at = end
+                    continue
+                c = re.compile(r"</\s*([\w.:-]*)\s*>").match(text, at)
+                if c is None:
+                    break
+                if c[1] != open_tags.pop():
+                    return None
+                at = c.end()
+        return None
+
     def _ecma_kind(self, t: str) -> int:
         c = t[0]
         if c == "#":
@@ -279,7 +418,88 @@ class Parser:
             return self.classes["ID"]
         return self._class("NUM", c.isdigit() or c == "." and len(t) > 1)
 
+    def _formatted(self, text: str) -> str:
+        """Text with every formatted string replaced by a plain one; the expressions in it are recognised, and may hold strings of the same quotes."""
+        out, at, pos = [], 0, 0
+        while m := _PY_OPAQUE.search(text, pos):
+            pos = m.end()
+            if m[2] is None:
+                continue
+            prefix = m[1].lower()
+            if set(prefix) & set("ft") and not set(prefix) - set("ftr"):
+                end = self._fstring(text, pos, m[2], 0)
+                out += [text[at : m.start()], "''"]
+                at = pos = end
+            else:
+                pos = self._plain(text, pos, m[2])
+        return "".join([*out, text[at:]])
+
+    def _plain(self, text: str, at: int, quote: str) -> int:
+        """End of the plain string whose contents begin at ``at``; of a broken one, where it breaks off."""
+        for m in re.compile(r"\\.|" + quote + ("" if len(quote) == 3 else r"|\n"), re.S).finditer(text, at):
+            if m[0][0] != "\\":
+                return m.end() if m[0] == quote else m.start()
+        return len(text)
+
+    def _fstring(self, text: str, at: int, quote: str, inner: int) -> int:
+        """End of the formatted string whose contents begin at ``at``, or with ``inner`` of a format in it, which ends before its closing brace."""
+        parts = re.compile(r"\\N\{[^}\n]*\}|\\[^{}]|" + quote + r"|[{}]" + ("" if len(quote) == 3 else r"|\n"), re.S)
+        while m := parts.search(text, at):
+            t, at = m[0], m.end()
+            if t == quote:
+                if inner:
+                    raise Rejected
+                return at
+            if t == "\n":
+                raise Rejected
+            if t == "{":
+                if not inner and text.startswith("{", at):
+                    at += 1
+                else:
+                    at = self._field(text, at, quote, inner + 1)
+            elif t == "}":
+                if inner:
+                    return at - 1
+                if not text.startswith("}", at):
+                    raise Rejected
+                at += 1
+        raise Rejected
+
+    def _field(self, text: str, at: int, quote: str, inner: int) -> int:
+        """End of the replacement field whose contents begin at ``at``."""
+        begin, depth = at, 0
+        while m := _PY_FIELD.search(text, at):
+            t, at = m[0], m.end()
+            if t[-1] in "\"'":
+                prefix = t.rstrip("\"'").lower()
+                mark = t[len(prefix) :]
+                at = self._fstring(text, at, mark, 0) if set(prefix) & set("ft") else self._plain(text, at, mark)
+            elif t in "([{":
+                depth += 1
+            elif t in ")]" or t == "}" and depth:
+                depth -= 1
+            elif depth or t[0] == "#" or t == "!=":
+                continue
+            else:
+                inside = text[begin : m.start()].rstrip()
+                if inside.endswith("=") and inside[-2:-1] not in "=!<>":
+                    inside = inside[:-1]
+                if not inside.strip():
+                    raise Rejected
+                self._embedded("(" + inside + "\n)\n", ("File",))
+                if t == "!":
+                    c = re.compile(r"[rsa]\s*(?=[:}])").match(text, at)
+                    if c is None:
+                        raise Rejected
+                    t, at = text[c.end()], c.end() + 1
+                if t == ":":
+                    at = self._fstring(text, at, quote, inner) + 1
+                return at
+        raise Rejected
+
     def _python(self, text: str) -> list[int]:
+        if _FORMATTED.search(text):
+            text = self._formatted(text)
         nl, known, base = self.nl, self.kinds, self.g.base
         stack: list[tuple[str, list[int]]] = [("", [])]
         indents = [0]
@@ -337,7 +557,7 @@ class Parser:
             return self._class("STR", len(t) > 1)
         if c.isalpha() or c == "_":
             return self.classes["ID"]
-        return self._class("NUM", c.isdigit() or c == "." and len(t) > 1)
+        return self._class("NUM", _PY_NUMBER.fullmatch(t) is not None)
 
     def _json(self, text: str) -> list[int]:
         return self._grouped(_JSON.findall(text), self._json_kind)
@@ -606,22 +826,13 @@ class _Yaml:
         return stack[0][1]
 
 
+_TEMPLATE_PART = re.compile(r"\\.|`|\$\{", re.S)
+_BRACED_PART = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[`{}]", re.S)
+_ECMA_COMMENT = re.compile(r"(?<!:)//[^\n]*|/\*.*?\*/", re.S)
+_ATTRIBUTE = re.compile(r"\s+|[\w:.-]+|=|\"[^\"]*\"|'[^']*'")
 _TAG_NAME = re.compile(r"<([A-Za-z][\w.:-]*)?")
 
 
-def _jsx(text: str) -> str:
-    """Text with every JSX element replaced by one mark; what stands in its braces is left out. Unbalanced elements stay, and are rejected."""
-    out, at = [], 0
-    for m in re.finditer(r"(?:[(=?:,{}&|>]|return)\s*(?=<[A-Za-z>])", text):
-        if m.end() < at:
-            continue
-        end = _element(text, m.end())
-        if end is not None:
-            out += [text[at : m.end()], "\ue000"]
-            at = end
-    return "".join([*out, text[at:]])
-
-
 def _braces(text: str, at: int) -> int | None:
     """End of the braces that open at ``at``."""
     depth = 0
@@ -632,62 +843,29 @@ def _braces(text: str, at: int) -> int | None:
     return None
 
 
-def _element(text: str, at: int) -> int | None:
-    """End of the JSX element that begins at ``at``, or None."""
-    open_tags: list[str] = []
-    while at < len(text):
-        m = _TAG_NAME.match(text, at)
-        if m is None:
-            return None
-        name, at = m[1] or "", m.end()
-        while at < len(text) and text[at] != ">" and not text.startswith("/>", at):
-            if text[at] == "{":
-                end = _braces(text, at)
-                if end is None:
-                    return None
-                at = end
-            elif a := re.compile(r"\s+|[\w:.-]+|=|\"[^\"]*\"|'[^']*'").match(text, at):
-                at = a.end()
-            else:
-                return None
-        if text.startswith("/>", at):
-            at += 2
-        else:
-            at += 1
-            open_tags.append(name)
-        while True:
-            if not open_tags:
-                return at
-            nxt = re.compile(r"[<{]").search(text, at)
-            if nxt is None:
-                return None
-            at = nxt.start()
-            if text[at] == "{":
-                end = _braces(text, at)
-                if end is None:
-                    return None
-                at = end
-                continue
-            c = re.compile(r"</\s*([\w.:-]*)\s*>").match(text, at)
-            if c is None:
-                break
-            if c[1] != open_tags.pop():
-                return None
-            at = c.end()
-    return None
-
-
 @lru_cache(maxsize=None)
 def parser(language: str) -> Parser:
     return Parser(language)
 
 
 def parses(path: str, content: str | None) -> bool:
-    """Whether ``content`` is valid in a dialect of the language that the path's extension implies; True for other extensions and null contents."""
+    """Whether ``content`` is valid in a dialect of the language that the path's extension implies; True for other extensions and null contents. The dialects
+    of one grammar are recognised together."""
     if content is None:
         return True
-    dialects = EXTENSIONS.get(path.replace("\\", "/").rpartition("/")[2].rpartition(".")[2].lower())
-    return dialects is None or any(parser(d).accepts(content) for d in dialects)
+    dialects = _dialects(path)
+    if not dialects:
+        return True
+    grammar = dialects[0].partition(":")[0]
+    extra = tuple(d.partition(":")[2] for d in dialects[1:])
+    own = parser(grammar)
+    return own.accepts(content, (own.g.names[own.start], *extra) if extra else ())
+
+
+def _dialects(path: str) -> tuple[str, ...]:
+    name = path.replace("\\", "/").rpartition("/")[2].lower()
+    ext = name.rpartition(".")[2]
+    return EXTENSIONS.get(f"d.{ext}" if name.endswith(f".d.{ext}") else ext, ())
 
 
 def find_broken(files: DataFrame) -> DataFrame:
@@ -704,7 +882,7 @@ def find_broken(files: DataFrame) -> DataFrame:
 
 def implied(path: str) -> str | None:
     """The language that a path's extension implies."""
-    dialects = EXTENSIONS.get(path.replace("\\", "/").rpartition("/")[2].rpartition(".")[2].lower())
+    dialects = _dialects(path)
     return _language(dialects[0]) if dialects else None
 
 

@@ -311,3 +311,26 @@ def test_any_number_of_projects_and_frequent_lines_in_parts(spark, monkeypatch):
 )
 def test_marks_are_read_from_comments_of_the_whole_text(path, text, why):
     assert H.composition(text, path) == why
+
+
+EMBEDDED = {
+    "py": (['f"{x=}" f"{y!r:>{w}}" f"{{}}"\n', "f'{f' {x}' if x else ''}'\n", 'rf"\\{x}" f"\\N{DASH}"\n', 'f"""{\n x # c\n}"""\n', "a.b: int = 1_0\n[a, *b] = c.d[0] = e\n", "x = 0o17 + 1e5j + .5\n"], ['f"{a b}"', 'f"{}"', 'f"}"', 'f"{x!z}"', "f() = 1", "x = 08", "print(a) += 1", "for f() in x: pass", "'a' = 1"]),
+    "js": (["x = `a${`b${c({ d: '}' })}`}`;\n", "const a = [\n  b,\n  /x[/]y/g,\n];\n", "const e = <b c={d => `${d}`}>{/* none */}{...f}</b>;\n"], ["`${a b}`;", "return 1;\n", "const a = <b>{ if ( }</b>;"]),
+    "cjs": (["if (x) {}\nreturn 1;\n"], ["return 1 2;"]),
+    "tsx": (["type K = `on${Capitalize<string & P>}`;\nconst m = new Map<string, { a: b }>();\n"], ["const a = <b c={d e}/>;"]),
+    "rs": (["use x::Y as _;\n"], ["use x as 1;"]),
+    "toml": (['[profile.dev.package."*"]\na."b".c = 1\n'], ["[a..b]\n"]),
+}
+
+
+@pytest.mark.parametrize("ext", EMBEDDED)
+def test_what_templates_strings_and_elements_hold(ext):
+    good, bad = EMBEDDED[ext]
+    assert [t for t in good if not S.parses(f"a.{ext}", t)] == [] and [t for t in bad if S.parses(f"a.{ext}", t)] == []
+
+
+def test_deep_nesting_and_ambient_files():
+    deep = "\n".join("  " * i + f"k{i}:" for i in range(1500))
+    assert S.parses("a.yaml", deep + " 1\n") and not S.parses("a.yaml", deep + " }\n")
+    assert S.parses("a.json", "[" * 20_000 + "]" * 20_000) and not S.parses("a.json", "[" * 20_000)
+    assert S.parses("a.d.ts", "export function f(a: number): string\nfunction g(): void;\n") and S.implied("x/a.d.ts") == "typescript"
