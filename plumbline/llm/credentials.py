@@ -1,8 +1,8 @@
 """Credentials embedded in source code: their places, and texts with the values replaced.
 
-Method: from each credential's name on, the text is read by tokens (types, signs, wrappers, arguments, literals); other shapes are searched for
-by patterns in the raw text. A literal is flagged when it is assigned or passed to a credential-named identifier, header,
-flag or query parameter and is no placeholder, or when its own shape is that of an issued key. Only the contents of the literal
+Method: the text is read by a lexer (strings with prefixes and escapes, comments, identifiers, numbers, signs; brackets are matched over lines). A literal
+is flagged when it is assigned or passed to a credential-named identifier, key, header or setter and is no placeholder. What is no code - settings without
+quotes, addresses, headers, prose, key blocks - is found by patterns, as are issued keys by their own shape. Only the contents of the literal
 are replaced; quotes, escapes, schemes and user names stay as they are, so the surrounding code still parses."""
 
 from __future__ import annotations
@@ -31,24 +31,22 @@ ABOUT = frozenset(
 LOGIN = frozenset("login signin connectas connect authenticate setpassword setcredentials basicauth auth setsecret withpassword signinas opensession newsession createsession".split())
 
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
-_ASSIGN = re.compile(r"(?::=|=>|[=:])[ \t]*(?=[\"'`])")
 _LINE = re.compile(r"^[ \t#-]*(?:export[ \t]+|set[ \t]+)?([\w.-]+)(?:=|:[ \t]+)(?=[^\s\"'`=])", re.M)
-_NAME = re.compile(r"[\w.-]+")
-_STEM = re.compile(r"(?i)pass|pwd|secret|token|key|cred|auth")
-_IDENT = re.compile(r"[\w$-]*")
-_BLANK = r"(?:\s|\\\n|//[^\n]*\n|#[^\n]*\n|/\*(?:[^*]|\*(?!/))*\*/)*+"
-_TYPE = r"(?:[&*]|\[\d*\]|mut\b|'\w+|[ \t])*[A-Za-z_][\w.:]*(?:\[[\w\s,.\[\]|?\"']*\]|<[\w\s,.<>|?&']*>)?(?:\s*\|\s*\w+)*\??"
-#: From the end of a name over its type to the sign of an assignment; then wrappers that keep the literal's value.
-_SIGN = re.compile(r"[\"'`]?\]?(?:[?!]?:(?!=)" + _TYPE + r"[ \t]*(?==)|[ \t]+(?:[*]|\[\])?[A-Za-z_][\w.]*[ \t]*(?==))?\s*(?::=|=>|[+|?]{0,2}=(?![=~>])|:(?![:=]))" + _BLANK)
-_WRAP = re.compile(
-    r"(?:(?:[(&*]|new\b|await\b|\[\](?:byte|rune|u8)\s*\(|(?:(?:std::)?(?:string::)?String|str|bytes|bytearray|string|Some|Ok|Just|Secret\w*|Buffer|Optional|Cow|Box|Arc|Rc|OsString|Zeroizing|Sensitive\w*)(?:(?:::|\.)(?:from|new|of|valueOf|ofNullable|Owned|Borrowed))?\s*\()"
-    + _BLANK
-    + r")*+(?:[bBrRuUfFcL@$]{0,2}#*)(?=[\"'`])"
+_IDENTIFIER = re.compile(r"[A-Za-z_$][\w$]*(?:-[A-Za-z_][\w$]*)*")
+#: Comments are tokens whose contents are read in turn; quotes behind a letter are apostrophes, those of lifetimes no quotes.
+_TOKEN = re.compile(
+    r"(?P<S>(?:(?<![\w$])(?:[bBuUfFcCL@$]|[bBfFcC]?[rR]|[rR][bBfF])?(?:\"\"\"(?:[^\\]|\\.)*?\"\"\"|'\'\'(?:[^\\]|\\.)*?'\'\'|(?<![&<])'(?:[^'\\\n]|\\.)*')|(?:[bBuUfFcCL@$]|[bBfFcC]?[rR]|[rR][bBfF])?\"(?:[^\"\\\n]|\\.)*\")|b?r(?P<H>#+)\".*?\"(?P=H)|`[^`\n]*`)"
+    r"|(?P<C>(?<!:)//[^\n]*|/\*.*?\*/|(?<!\S)#(?![\[\w!])[^\n]*|<!--.*?-->)|(?P<I>[A-Za-z_$][\w$]*(?:-[A-Za-z_][\w$]*)*)|(?P<D>\d[\w.]*)"
+    r"|(?P<N>\n)|(?P<O>:=|===?|!==?|=>|<=|>=|=~|->|::|\|\|=?|\?\?=?|&&|\?:|\?=|\+=|[^\s\w])",
+    re.S,
 )
-#: What stands in for a missing value, behind the expression that may give it.
-_ELSE = re.compile(r"[^;\n\"'`]*(?:[\"'`][\w.-]*[\"'`][^;\n\"'`]*)*?(?:\n[ \t]*)?(?:\|\||\?\?|\bor\b|\?:)" + _BLANK + r"(?=[\"'`])")
-_CALLED = re.compile(r"\b([A-Za-z_]\w*)[ \t]*\(")
-_PART = re.compile(r"//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/|\"\"\"(?:[^\\]|\\.)*?\"\"\"|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`|[()\[\]{},;]", re.S)
+_ASSIGNING = frozenset(("=", ":=", "=>", ":", "+=", "||=", "??=", "?="))
+_INSTEAD = frozenset(("||", "??", "?:", "or"))
+#: Calls and conversions that keep the literal's value, by the first or last name of their path.
+_KEEPING = frozenset("String str string bytes bytearray byte rune u8 Some Ok Just Secret SecretString SecretStr Buffer Optional Cow Box Arc Rc OsString Zeroizing Sensitive new from of valueOf ofNullable Owned Borrowed to_string into".split())
+#: Keys that say nothing of their own: the key of the group that they are in names them.
+_GENERIC = frozenset("value val data raw plain plaintext content default current".split())
+_FOLDED = re.compile(r"^([ \t]*(?:-[ \t]+)?)[\"']?([\w.-]+)[\"']?:[ \t]*[|>][-+\d]*[ \t]*(?:#[^\n]*)?\n(?:[ \t]*\n)*([ \t]+)(\S+)[ \t]*$", re.M)
 _SETTERS = frozenset(("set", "with", "use"))
 _ASKING = frozenset(("get", "getenv", "env", "getproperty", "getordefault", "setdefault", "default", "lookup", "option", "envor", "getenvor", "getstring", "config"))
 _BLANKS = re.compile(r"^[ \t]*([\w.-]+)[ \t]+=[ \t]*(?=[^\s\"'`=])|^[ \t]*([\w.-]+)=[ \t]+(?=[^\s\"'`=])", re.M)
@@ -66,8 +64,6 @@ _FLAG = re.compile(r"(?<!\w)--?(?:password|passwd|pass|secret|token|api-?key|aut
 _BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _BLOCK_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _KEY_BODY = re.compile(r"[\sA-Za-z0-9+/=\\:,.-]*")
-_CALL = re.compile(r"\b([A-Za-z_]\w*)\(([^()\n]*[\"'`][^()\n]*)\)")
-_CALLEE = re.compile(r"(?i)login|sign_?in|connect|session|authenticate|auth|password|credential|secret|header|token|api_?key")
 _LITERAL = re.compile(r"\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`")
 #: Unquoted values are read only where a line is a setting, as in environment files and YAML.
 _SETTING = re.compile(r"[ \t#-]*(?:export[ \t]+|set[ \t]+)?[\w.-]+(?:=|:[ \t]+)")
@@ -75,8 +71,13 @@ _BARE = re.compile(r"[^\s\"'`,;(){}\[\]]+(?![^\s#,;])")
 _NOTE = re.compile(r"(?i)\b(?:login|log in|credentials?|creds|account|password)\b[ \t]*(?:is|are|for \w+)?[ \t]*[:=][ \t]*[\w.@-]+[ \t]*(?:/|:|\|)[ \t]*([^\s\"'`,;]+)")
 _PROSE = re.compile(r"(?i)\b(?:token|password|passwd|secret|passphrase|api[ -]?key|access[ -]?key)[ \t]+(?:was|is|are|still|now)[ \t]+(?:still |now )?[\"'`]?([^\s\"'`,;]+)")
 _PLACEHOLDER = re.compile(
-    r"(?i)^$|\$\{|\{\{|^\$[\w(]|^<[^>]*>?$|^%\(|^%[\w]+%$|^env[:.(]|^(?:file|vault|ssm|secret|secrets|op|arn)[:.]|^\.{0,2}/|^[*x•.#_?-]+$|^\*+|\*{4,}|x{6,}|change.?me|your|example|dummy|sample|placeholder|redacted|replace|insert|^todo|^tbd|^fixme|^none$|^null$|^nil$|^undefined$|^true$|^false$|^test$|^process\.env|^os\.environ|^getenv"
+    r"^$|\$\{|\{\{|^\$[\w(]|^<[^>]*>?$|^%\(|^%[\w]+%$|^(?i:env)[:.(]|^(?i:file|vault|ssm|secrets?|op|arn)[:.]|^\.{0,2}/|^[*x•.#_?-]+$|^\*+|\*{4,}|[xX]{6,}"
+    r"|^(?i:todo|tbd|fixme)|^(?i:none|null|nil|undefined|true|false|test)$|^(?:process\.env|os\.environ|getenv)|EXAMPLE(?![a-z])"
 )
+# Words by which a value says that it is none.
+_STAND = "your|example|dummy|sample|placeholder|redacted|replace|insert|change[-_. ]?me"
+_STANDS = re.compile(rf"(?i)(?:^|[^a-z0-9])(?:{_STAND})(?:$|[^a-z0-9])")
+_STANDS_IN = re.compile(rf"(?i)(?=.*(?:{_STAND}))[^\W\d]+(?:[-_. ]*[^\W\d]+)*[-_. ]*\d*!?")
 _HASHREF = re.compile(r"^(?:sha\d+|md5)[-:]")
 
 
@@ -90,13 +91,21 @@ def entropy(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) if n else 0.0
 
 
-def usable(value: str, strict: bool = False) -> bool:
+def placeholder(value: str) -> bool:
+    """Whether a value is a stand-in: a mask, a reference, or words that say so, alone or apart from the rest; not where such a word is a part of something random."""
+    return bool(_PLACEHOLDER.search(value) or _STANDS.search(value) or _STANDS_IN.fullmatch(value))
+
+
+def usable(value: str, strict: bool = False, quoted: bool = False) -> bool:
     """Whether a literal can be a credential: no placeholder, mask, reference, digest mark, number or ordinary words. strict: it must
-    look issued, for identifiers that only hint at a credential."""
+    look issued, for identifiers that only hint at a credential. quoted: eight digits or more can be one, unless they are in a row or alike."""
     v = value.strip()
-    if len(v) < 6 or _PLACEHOLDER.search(v) or _HASHREF.match(v) or any(c.isspace() for c in v):
+    if len(v) < 6 or placeholder(v) or _HASHREF.match(v) or any(c.isspace() for c in v):
         return False
     letters, digits = sum(c.isalpha() for c in v), sum(c.isdigit() for c in v)
+    if digits == len(v) and quoted and not strict:
+        steps = {ord(b) - ord(a) for a, b in zip(v, v[1:])}
+        return 8 <= digits < 20 and len(set(v)) > 3 and not steps <= {1, -9} and not steps <= {-1, 9}
     if not letters or digits == len(v):
         return False
     other = len(v) - letters - digits
@@ -122,109 +131,321 @@ def grade(identifier: str) -> int:
     return 1 if w[-1] in WEAK else 0
 
 
-def _sites(text: str) -> Iterator[tuple[int, str]]:
-    """(start of the value, name) of every assignment of a quoted literal and every setting of a bare one."""
-    for m in _ASSIGN.finditer(text):
-        lead = text[max(0, m.start() - 100) : m.start()]
-        lead = lead[lead.rfind("\n") + 1 :].rstrip().rstrip("\"'])")
-        back = _NAME.match(lead[::-1])
-        if back is None:
+class _Code:
+    """Tokens of a stretch of text, without blanks: kinds, starts, ends; brackets are matched over lines. Comments and strings that hold quotes are codes of their own.
+
+    The stretch begins at ``begin`` and ends with its statement: at the first line end, not before ``until``, at which no bracket is open and nothing goes on."""
+
+    def __init__(self, text: str, begin: int, until: int, end: int) -> None:
+        self.text = text
+        self.kind: list[str] = []
+        self.at: list[int] = []
+        self.end: list[int] = []
+        self.inner: list[tuple[int, int]] = []
+        depth, last, blocks = 0, "", []
+        self.stop = end
+        for m in _TOKEN.finditer(text, begin, end):
+            k = m.lastgroup
+            a, b = m.span()
+            if k == "N":
+                if depth <= 0 and a >= until and last not in _GOING_ON and not _GOES_ON.match(text, b):
+                    self.stop = b
+                    break
+            elif k == "O":
+                t = m[0]
+                if t in "([" or t == "{" and (last in _GOING_ON or last == ""):
+                    depth += 1
+                    blocks.append(True)
+                elif t == "{":  # a block of statements is none of a value's brackets
+                    blocks.append(False)
+                elif t in ")]}":
+                    depth -= blocks.pop() if blocks else depth > 0
+                last = t
+            elif k == "C":
+                self.inner.append((a + 1, b))
+            elif k == "I":
+                last = m[0]
+            else:
+                if k == "H":
+                    k = "S"
+                if k == "S" and b - a > 12 and _NESTED.search(text, a + 1, b - 1):
+                    self.inner.append((a + len(text[a:b]) - len(text[a:b].lstrip("bBrRuUfFcCL@$#\"'`")), b - 1))
+                last = "0"
+            self.kind.append(k)
+            self.at.append(a)
+            self.end.append(b)
+        self.n = len(self.kind)
+        self.match: dict[int, int] = {}
+        self.outer: dict[int, int] | None = None
+        stack: list[int] = []
+        for i, k in enumerate(self.kind):
+            if k == "O" and self.end[i] - self.at[i] == 1:
+                c = text[self.at[i]]
+                if c in "([{":
+                    stack.append(i)
+                elif c in ")]}" and stack:
+                    self.match[stack.pop()] = i
+
+    def of(self, i: int) -> str:
+        return self.text[self.at[i] : self.end[i]] if 0 <= i < self.n else ""
+
+    def skip(self, i: int, lines: bool = True) -> int:
+        """The next token that is no comment, line end or line continuation."""
+        while i < self.n and (self.kind[i] == "C" or self.kind[i] == "N" and lines or self.of(i) == "\\" and i + 1 < self.n and self.kind[i + 1] == "N"):
+            i += 2 if self.of(i) == "\\" else 1
+        return i
+
+    def contents(self, i: int) -> tuple[int, int]:
+        """Start and end of what a string token holds."""
+        a, b = self.at[i], self.end[i]
+        while self.text[a] not in "\"'`":
+            a += 1
+        q = self.text[a]
+        if self.text[b - 1] == "#":
+            return a + 1, self.text.rfind('"', a, b)
+        return (a + 3, b - 3) if b - a >= 6 and self.text.startswith(q * 3, a) else (a + 1, b - 1)
+
+    def name(self, i: int) -> str | None:
+        """The name that a token gives: an identifier, or a string that can be a key."""
+        if self.kind[i] == "I":
+            return self.of(i)
+        if self.kind[i] == "S" and self.end[i] - self.at[i] < 80:
+            a, b = self.contents(i)
+            got = self.text[a:b]
+            return got.rpartition(".")[2] if _KEY.fullmatch(got) else None
+        return None
+
+    def sign(self, i: int) -> int:
+        """The token behind the sign by which the name at ``i`` is assigned, over its index bracket and its type; -1 if there is none."""
+        j = i + 1
+        while j < self.n and self.of(j) in ("]", "?", "!") :
+            j += 1
+        t = self.of(j)
+        if t == ":" or t == "?:":
+            k = self._type(self.skip(j + 1, False))
+            return k + 1 if self.of(k) in ("=", ":=") and k > j + 1 else j + 1
+        if t in _ASSIGNING:
+            return j + 1
+        if j < self.n and (self.kind[j] == "I" or t in ("*", "[")) and self.kind[i] == "I":  # a type between the name and its sign
+            k = self._type(j)
+            if self.of(k) in ("=", ":=") and self.kind[j] != "N":
+                return k + 1
+            if self.of(i - 1) in ("define",) and self.kind[j] == "S":
+                return j
+        if self.of(i - 1) == "define" and j < self.n and self.kind[j] == "S":
+            return j
+        if j < self.n and self.kind[j] == "N":  # a sign may begin the next line
+            k = self.skip(j)
+            return k + 1 if self.of(k) in ("=", ":=") else -1
+        return -1
+
+    def _type(self, i: int) -> int:
+        """The token behind a type that begins at ``i``: names, paths, arguments, references, alternatives."""
+        while i < self.n:
+            t = self.of(i)
+            if t in ("[", "<", "("):
+                if t == "<":
+                    depth, j = 0, i
+                    while j < self.n and self.kind[j] != "N":
+                        depth += (self.of(j) == "<") - (self.of(j) == ">")
+                        j += 1
+                        if not depth:
+                            break
+                    i = j
+                else:
+                    i = self.match.get(i, self.n) + 1
+            elif self.kind[i] == "I" and t not in _INSTEAD or t in (".", "::", "&", "*", "|", "?", "'"):
+                i += 1
+            else:
+                return i
+        return i
+
+    def literal(self, i: int) -> int:
+        """The string token that an expression at ``i`` gives, through calls and conversions that keep its value; -1 if it gives none."""
+        i = self.skip(i)
+        while i < self.n:
+            t = self.of(i)
+            if self.kind[i] == "S":
+                return i
+            if t in ("(", "&", "*", "new", "await"):
+                i = self.skip(i + 1)
+            elif t == "[" and self.of(i + 1) == "]":
+                i += 2
+            elif self.kind[i] == "I":
+                first = last = t
+                j = i + 1
+                while self.of(j) in (".", "::") and j + 1 < self.n and self.kind[j + 1] == "I":
+                    last = self.of(j + 1)
+                    j += 2
+                if self.of(j) != "(" or not (first in _KEEPING or last in _KEEPING):
+                    return -1
+                i = self.skip(j + 1)
+            else:
+                return -1
+        return -1
+
+    def instead(self, i: int) -> int:
+        """The string token that stands in for a missing value in the expression at ``i``; -1 if none does."""
+        i = self.skip(i)
+        while i < self.n:
+            t = self.of(i)
+            if t in _INSTEAD:
+                return self.literal(i + 1)
+            if t in ("(", "[") and i in self.match:
+                i = self.match[i] + 1
+                continue
+            if self.kind[i] == "N" and self.of(self.skip(i)) not in _INSTEAD or t in (";", ",", ")", "]", "}", "{", "=", "=>", "?", ":"):
+                return -1
+            i += 1
+        return -1
+
+    def key(self, i: int) -> str | None:
+        """The key of the group of braces that token ``i`` is in."""
+        if self.outer is None:
+            self.outer = {}
+            for a, b in sorted(self.match.items()):
+                if self.of(a) == "{":
+                    for x in range(a + 1, b):
+                        self.outer[x] = a
+        a = self.outer.get(i)
+        if a is None:
+            return None
+        j = a - 1
+        while j >= 0 and (self.kind[j] in "NC" or self.of(j) in (":", "=", "=>", ":=", "]")):
+            j -= 1
+        return self.name(j) if j >= 0 and j < a - 1 else None
+
+    def arguments(self, i: int) -> list[tuple[int, int]]:
+        """First token and the one behind the last of each argument of the call whose bracket is token ``i``."""
+        end = self.match.get(i)
+        if end is None:
+            return []
+        out, begin, j = [], i + 1, i + 1
+        while j < end:
+            if self.of(j) in ("(", "[", "{") and j in self.match:
+                j = self.match[j]
+            elif self.of(j) == ",":
+                out.append((begin, j))
+                begin = j + 1
+            j += 1
+        return [*out, (begin, end)] if self.skip(begin) < end else out
+
+    def given(self, argument: tuple[int, int]) -> tuple[int, int] | None:
+        """Contents of the literal that an argument is, or None if it is something else."""
+        i = self.literal(argument[0])
+        if i < 0 or i >= argument[1]:
+            return None
+        rest = "".join(self.of(j) for j in range(i + 1, argument[1]) if self.kind[j] not in "NC")
+        return self.contents(i) if re.fullmatch(r"(?:\.\w+\(\)|\))*", rest) else None
+
+
+_KEY = re.compile(r"[\w.$-]+(?: [\w-]+){0,2}")
+#: Strings that are worth reading as code: quotes behind a sign.
+_NESTED = re.compile(r"[:=(,][ \t]*\\?[\"'`]|=>|\n")
+
+
+def _assigned(code: _Code) -> Iterator[tuple[int, int, int]]:
+    """(string token, grade, token of the name) of literals assigned to credential-named identifiers and keys."""
+    for i, k in enumerate(code.kind):
+        if k != "I" and k != "S":
+            continue
+        name = code.name(i)
+        if not name:
             continue
-        name = back[0][::-1]
-        if not grade(name.rpartition(".")[2]):
-            # The word before the sign may be the type of the name before a colon.
-            rest = lead[: -len(name)].rstrip().removesuffix("'static").rstrip(" &'<")
-            before = _NAME.match(rest[:-1].rstrip().rstrip("?!")[::-1]) if rest.endswith(":") else None
-            if before is None:
+        g = grade(name)
+        generic = not g and name.lower() in _GENERIC
+        if not g and not generic or code.of(i - 1) == "?" and code.of(i - 2) != "\n":
+            continue
+        if generic:
+            holder = code.key(i)
+            g = grade(holder) if holder else 0
+            if not g:
                 continue
-            name = before[0][::-1]
-        yield m.end(), name.rpartition(".")[2]
-    for m in _LINE.finditer(text):
-        yield m.end(), m[1].rpartition(".")[2]
+        j = code.sign(i)
+        if j < 0:
+            continue
+        lit = code.literal(j)
+        if lit < 0:
+            lit = code.instead(j)
+        if lit >= 0:
+            yield lit, g
 
 
-def _assigned(text: str) -> Iterator[tuple[int, str]]:
-    """(start of the literal, name) behind credential-named identifiers, read token by token: over types, line ends, comments, prefixes, and wrappers
-    that keep the value; also the literal that stands in for a missing value."""
-    at = 0
-    for stem in _STEM.finditer(text):
-        if stem.start() < at:
-            continue
-        at = _IDENT.match(text, stem.end()).end()
-        start = stem.start()
-        while start > 0 and (text[start - 1].isalnum() or text[start - 1] in "_$-"):
-            start -= 1
-        name = text[start:at]
-        if not grade(name):
-            continue
-        sign = _SIGN.match(text, at)
-        if sign is None:
+def _passed(code: _Code) -> Iterator[tuple[int, int]]:
+    """Contents of literals passed to a credential's setter or a login, or beside a credential's name."""
+    for i in range(code.n - 1):
+        if code.kind[i] != "I" or code.of(i + 1) != "(":
             continue
-        if m := _WRAP.match(text, sign.end()):
-            yield m.end(), name
-        elif m := _ELSE.match(text, sign.end()):
-            yield m.end(), name
-
-
-def _arguments(text: str, at: int) -> list[tuple[int, int] | None]:
-    """For each argument of the call whose bracket opens before ``at``: its literal's contents, or None where it is no literal, over lines and nested brackets."""
-    out: list[tuple[int, int] | None] = []
-    begin, depth = at, 0
-    for m in _PART.finditer(text, at):
-        c = m[0]
-        if c in "([{":
-            depth += 1
-        elif c in ")]}" and depth:
-            depth -= 1
-        elif c in ",)]}" and not depth:
-            lead = re.compile(_BLANK).match(text, begin).end()
-            w = _WRAP.match(text, lead)
-            span = _literal(text, w.end()) if w else None
-            # A literal is the argument if nothing but its quotes, closing brackets and conversions follow.
-            if span and not re.fullmatch(r"[\"'`#]*(?:\.\w+\(\)|[\s)])*", text[span[1] : m.start()]):
-                span = None
-            out.append(span)
-            begin = m.end()
-            if c != ",":
-                return out
-        elif c == ";" and not depth:
-            break
-    return []
-
-
-def _passed(text: str) -> Iterator[tuple[int, int]]:
-    """Literals passed to a credential's setter or a login, or beside a credential's name."""
-    for m in _CALLED.finditer(text):
-        callee = words(m[1])
+        name = code.of(i)
+        callee = words(name)
         if not callee:
             continue
         whole = "".join(callee)
-        setter = grade(m[1]) == 2 and (callee[0] in _SETTERS and len(callee) > 1 or whole in ("password", "passwd", "passphrase", "apikey", "accesskey", "secretkey"))
+        setter = grade(name) == 2 and (callee[0] in _SETTERS and len(callee) > 1 or whole in ("password", "passwd", "passphrase", "apikey", "accesskey", "secretkey"))
         beside = callee[-1] in ("header", "headers", "set", "put", "add", "param", "property", "config", "password", "secret", "token", "key")
         asking = whole in _ASKING or callee[-1] in ("env", "default")
         if not (setter or beside or asking or whole in LOGIN):
             continue
-        args = _arguments(text, m.end())
-        given = [a for a in args if a]
-        if setter and len(args) == 1 and given and usable(text[slice(*given[0])]):
-            yield given[0]
-        elif whole in LOGIN and len(given) >= 2 and usable(text[slice(*given[-1])]):
-            yield given[-1]
-        elif (beside or asking) and len(args) == 2 and len(given) == 2 and (g := grade(text[slice(*given[0])])) and usable(text[slice(*given[1])], strict=g < 2):
+        args = code.arguments(i + 1)
+        given = [code.given(a) for a in args]
+        last = given[-1] if given else None
+        if setter and last and usable(code.text[slice(*last)], quoted=True):
+            yield last
+        elif whole in LOGIN and len(args) >= 2 and last and usable(code.text[slice(*last)], quoted=True):
+            yield last
+        elif (beside or asking) and len(args) == 2 and all(given) and (g := grade(code.text[slice(*given[0])])) and usable(code.text[slice(*given[1])], strict=g < 2):
             yield given[1]
 
 
-def _literal(text: str, at: int) -> tuple[int, int] | None:
-    """Contents of the literal that begins at ``at``; an unquoted one ends at white space or the line's end."""
-    if at >= len(text):
-        return None
-    q = text[at]
-    if q in "\"'`":
-        if text.startswith(q * 3, at):
-            end = text.find(q * 3, at + 3)
-            return (at + 3, end if end >= 0 else len(text))
-        m = _LITERAL.match(text, at)
-        return (at + 1, m.end() - 1) if m else None
+_GOING_ON = frozenset(("=", ":=", "(", "[", ",", "+", "||", "??", "?:", "or", "=>", ":", "{", "return", "\\", "+=", "||=", "??=", "&&", "."))
+_GOES_ON = re.compile(r"\s*(?:=|:=|\|\||\?\?|\+|or\b|\?:|\.\w)")
+_OPENING = re.compile(r"[(,=][ \t]*(?://[^\n]*)?\Z")
+
+
+@lru_cache(maxsize=200_000)
+def _telling(word: str) -> bool:
+    """Whether an identifier or key can make a literal a credential."""
+    return grade(word) > 0 or "".join(words(word)) in LOGIN
+
+
+def _statements(text: str, begin: int, end: int) -> Iterator[_Code]:
+    """The statements of the text in which a credential's name stands, by tokens from the first line of each on."""
+    done = begin
+    for m in _IDENTIFIER.finditer(text, begin, end):
+        if m.start() < done or not _telling(m[0]):
+            continue
+        line = max(done, text.rfind("\n", begin, m.start()) + 1)
+        while line > done and _OPENING.search(text, max(done, text.rfind("\n", begin, line - 1) + 1), line - 1):
+            line = max(done, text.rfind("\n", begin, line - 1) + 1)
+        code = _Code(text, line, m.end(), end)
+        done = max(code.stop, m.end())
+        yield code
+
+
+def _coded(text: str, begin: int, end: int) -> Iterator[tuple[int, int]]:
+    """Contents of literals assigned or passed to credentials, by tokens; also in comments and in strings that hold code."""
+    for code in _statements(text, begin, end):
+        yield from _flagged(text, code)
+
+
+def _flagged(text: str, code: _Code) -> Iterator[tuple[int, int]]:
+    for lit, g in _assigned(code):
+        spans = [code.contents(lit)]
+        j = code.skip(lit + 1)
+        while (code.of(j) == "+" or code.kind[j : j + 1] == ["S"]) and (n := j if code.kind[j] == "S" else code.skip(j + 1)) < code.n and code.kind[n] == "S" and code.of(code.skip(n + 1)) not in (":", "="):
+            spans.append(code.contents(n))
+            j = code.skip(n + 1)
+        whole = "".join(text[a:b] for a, b in spans)
+        # Addresses and connection strings hold their secrets in a part, which has its own rules.
+        if "://" not in whole and not re.match(r"\w+=[^;]*;", whole) and usable(whole, strict=g < 2, quoted=True):
+            yield from spans
+    yield from _passed(code)
+    for a, b in code.inner:
+        yield from _coded(text, a, b)
+
+
+def _bare(text: str, at: int) -> tuple[int, int] | None:
+    """The unquoted value that begins at ``at`` on a line that is a setting; it ends at white space or the line's end."""
     line = text[text.rfind("\n", 0, at) + 1 : at]
     m = _BARE.match(text, at) if _SETTING.fullmatch(line) else None
     if m is None:
@@ -241,7 +462,7 @@ def _basic(value: str) -> bool:
     except (binascii.Error, ValueError):
         return False
     user, colon, password = raw.partition(":")
-    return bool(colon) and len(password) >= 4 and raw.isprintable() and not _PLACEHOLDER.search(password)
+    return bool(colon) and len(password) >= 4 and raw.isprintable() and not placeholder(password)
 
 
 def _spans(text: str) -> Iterator[tuple[int, int]]:
@@ -251,7 +472,7 @@ def _spans(text: str) -> Iterator[tuple[int, int]]:
             nxt = _BLOCK.search(text, m.end())
             end = e.start() if e and not (nxt and nxt.start() < e.start()) else _KEY_BODY.match(text, m.end()).end()
             body = text[m.end() : end]
-            if len(re.findall(r"[A-Za-z0-9+/=]", re.sub(r"\\n", "", body))) >= 40 and not re.search(r"\.\.\.|\$\{|\{\{|<[a-z]", body[:200]):
+            if len(re.findall(r"[A-Za-z0-9+/=]", re.sub(r"\\n", "", body))) >= 40 and not re.search(r"\.\.\.|\$\{|\{\{|<[a-z]", body):
                 yield m.start(), end
     for m in _SHAPE.finditer(text):
         if not re.search(r"(?i)example|x{8,}", m[0]):
@@ -260,10 +481,10 @@ def _spans(text: str) -> Iterator[tuple[int, int]]:
         for u in _URL.finditer(text):
             url, base = u[0], u.start()
             m = _USERINFO.search(url)
-            if m and not _PLACEHOLDER.search(m[1]) and not re.fullmatch(r"(?i)password|pass|pwd|secret|token", m[1]):
+            if m and not placeholder(m[1]) and not re.fullmatch(r"(?i)password|pass|pwd|secret|token", m[1]):
                 yield base + m.start(1), base + m.end(1)
             h = _HOOK.search(url)
-            if h and any(c.isdigit() for c in h[1]) and not _PLACEHOLDER.search(h[1]):
+            if h and any(c.isdigit() for c in h[1]) and not placeholder(h[1]):
                 yield base + h.start(1), base + h.end(1)
             for m in _QUERY.finditer(url):
                 if (g := grade(m[1])) and words(m[1])[0] not in ("page", "next", "cursor", "csrf", "sync") and usable(m[2], strict=g < 2):
@@ -284,16 +505,15 @@ def _spans(text: str) -> Iterator[tuple[int, int]]:
             rest = text[value.end() : text.find("\n", value.end()) if "\n" in text[value.end() :] else len(text)].strip()
             if not rest or rest[0] in "#;" and len(rest) > 1:
                 yield value.span()
-    yield from _passed(text)
-    for at, name in {*_sites(text), *_assigned(text)}:
-        g = grade(name)
-        if g and (span := _literal(text, at)):
-            joined = _joined(text, span[1])
-            whole = "".join(text[x:y] for x, y in (span, *joined))
-            # Addresses and connection strings hold their secrets in a part, which has its own rules.
-            if "://" not in whole and not re.match(r"\w+=[^;]*;", whole) and usable(whole, strict=g < 2):
+    yield from _coded(text, 0, len(text))
+    for m in _LINE.finditer(text):
+        if (g := grade(m[1].rpartition(".")[2])) and (span := _bare(text, m.end())):
+            value = text[slice(*span)]
+            if "://" not in value and not re.match(r"\w+=[^;]*;", value) and usable(value, strict=g < 2):
                 yield span
-                yield from joined
+    for m in _FOLDED.finditer(text):
+        if len(m[3]) > len(m[1]) and (g := grade(m[2].rpartition(".")[2])) and usable(m[4], strict=g < 2):
+            yield m.span(4)
     for m in _NOTE.finditer(text):
         if usable(m[1]):
             yield m.span(1)
@@ -304,28 +524,6 @@ def _spans(text: str) -> Iterator[tuple[int, int]]:
         for m in _FLAG.finditer(text):
             if usable(m[1]):
                 yield m.span(1)
-    for m in _CALL.finditer(text):
-        if not _CALLEE.search(m[0]):
-            continue
-        args = [(a.start() + 1 + m.start(2), a.end() - 1 + m.start(2)) for a in _LITERAL.finditer(m[2])]
-        callee = words(m[1])
-        if "".join(callee) in LOGIN and len(args) >= 2 and usable(text[slice(*args[-1])]):
-            yield args[-1]
-        elif len(args) == 2 and callee and callee[-1] in ("header", "headers", "set", "put", "add", "param", "property", "config", "password", "secret", "token", "key"):
-            if (g := grade(text[slice(*args[0])])) and usable(text[slice(*args[1])], strict=g < 2):
-                yield args[1]
-
-
-def _joined(text: str, end: int) -> list[tuple[int, int]]:
-    """Further literals of a concatenation whose first literal ends at ``end``."""
-    out = []
-    while m := re.compile(r"[\"'`]\s*\+\s*(?=[\"'`])").match(text, end):
-        span = _literal(text, m.end())
-        if span is None:
-            break
-        out.append(span)
-        end = span[1]
-    return out
 
 
 def credential_spans(text: str | None) -> list[tuple[int, int]]:
@@ -364,7 +562,11 @@ def find_credentials(df: DataFrame, key: list[str], content: str) -> DataFrame:
         for pdf in batches:
             rows = []
             for *k, text in pdf.itertuples(index=False, name=None):
-                lines = Counter(text.count("\n", 0, a) + 1 for a, _ in credential_spans(text))
+                lines: Counter = Counter()
+                line, at = 1, 0
+                for a, _ in credential_spans(text):
+                    line, at = line + text.count("\n", at, a), a
+                    lines[line] += 1
                 rows += [(*k, line, n) for line, n in lines.items()]
             yield pd.DataFrame(rows, columns=[*key, "line_no", "n"])
 
