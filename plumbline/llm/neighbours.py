@@ -170,7 +170,8 @@ def nearest(
     few = base.select("copy", "vec_id").distinct().withColumn("r", F.row_number().over(by_copy)).where(F.col("r") <= k + 1)
     groups = few.groupBy("copy").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     reps = base.groupBy("copy").agg(F.min("vec_id").alias("rep"), F.first("model").alias("model"), F.first("v").alias("v"))
-    reps = cut_lineage(reps.join(groups, "copy").select("model", "rep", "v", "copy", F.col("ids").alias("ids")))
+    reps = cut_lineage(reps.select("model", "rep", "v", "copy"))
+    copies = cut_lineage(reps.select("model", "rep", "copy").join(groups, "copy"))  # without the vectors
     sizes = cut_lineage(reps.groupBy("model").agg(F.count("*").alias("n"), F.first(F.size("v")).alias("dim")))
     large = [(r.model, r.n, r.dim) for r in sizes.where(F.col("n") > SMALL).collect()]  # fewer than the vectors by SMALL
     small = reps.join(sizes.where(F.col("n") <= SMALL).select("model"), "model", "left_semi")
@@ -178,9 +179,9 @@ def nearest(
     for name, n, dim in large:
         found = found.unionByName(_search(reps.where(F.col("model") == name), n, dim, k, min_similarity, probes, list_size, sample, seed))
     # Neighbours stand for their copies, and vectors for theirs.
-    near = found.join(reps.select(F.col("rep").alias("near"), F.col("model").alias("m2"), F.col("ids").alias("near_ids")), [F.col("near") == F.col("near_rep"), F.col("m2") == F.col("model")])
+    near = found.join(copies.select(F.col("rep").alias("near"), F.col("model").alias("m2"), F.col("ids").alias("near_ids")), [F.col("near") == F.col("near_rep"), F.col("m2") == F.col("model")])
     near = near.groupBy("model", "rep").agg(F.collect_list(F.struct("d", "near_ids")).alias("near"))
-    table = reps.join(near, ["model", "rep"], "left").select("copy", "ids", "near")
+    table = copies.join(near, ["model", "rep"], "left").select("copy", "ids", "near")
     hot = hot_keys(base, "copy", base.count())
     rows = join_unique(base.select("model", "vec_id", "copy").distinct(), table, "copy", "inner", hot)
     own = F.transform("ids", lambda x: F.struct(F.lit(0.0).alias("d"), x.alias("id")))
