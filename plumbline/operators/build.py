@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import fixed
 from plumbline.functions.ids import basename, canonical_id, is_reference, squeeze
+from plumbline.operators.search import batches
+from plumbline.operators.skew import join_ends
+from plumbline.session import cut_lineage
 from plumbline.functions.scalars import body, entry_type, first_paragraph, merge_id, slug, slugify, title_of, top_level_domain, wikilinks
 
 
@@ -67,13 +70,28 @@ def backlinks(cites: DataFrame) -> DataFrame:
     return cites.where("type = 'cites'").select(F.col("target").alias("id"), "source")
 
 
+def tour_nodes(levels: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(step, title, rank, id): the tour as a row per node. Steps are the layers in order of their first node (by level, then id; nodes on cycles last), then
+    ``Supporting Components`` for nodes of no layer, then ``Key Concepts``. Without layers, steps of three nodes each in that order. rank orders a step's nodes."""
+    order = F.struct(F.coalesce("level", F.lit(1 << 30)).alias("level"), "id")
+    concepts = nodes.where("type = 'concept'").select(F.lit("Key Concepts").alias("title"), F.lit(2).alias("part"), F.struct(F.lit(0).alias("level"), "id").alias("rank"), "id")
+    if members.isEmpty():
+        flat = batches(levels.select("id", order.alias("rank")), "rank", 3)
+        title = F.concat(F.lit("Step "), (F.col("batch") + 1).cast("string"), F.lit(": Code Walkthrough"))
+        walked = flat.select((F.col("batch") + 1).cast("int").alias("step"), title.alias("title"), "rank", "id")
+        count = walked.agg(F.coalesce(F.max("step"), F.lit(0)).alias("n")).first()["n"]
+        return walked.unionByName(concepts.select(F.lit(count + 1).alias("step"), "title", "rank", "id"))
+    placed = levels.join(members.select("id", "layer"), "id", "left")
+    rows = placed.select(F.coalesce("layer", F.lit("Supporting Components")).alias("title"), F.when(F.col("layer").isNull(), 1).otherwise(0).alias("part"), order.alias("rank"), "id")
+    rows = cut_lineage(rows.unionByName(concepts))
+    # The window runs over the titles, which are as many as the layers.
+    steps = rows.groupBy("part", "title").agg(F.min("rank").alias("first")).select("part", "title", F.row_number().over(Window.orderBy("part", "first", "title")).alias("step"))
+    return rows.join(F.broadcast(steps), ["part", "title"]).select("step", "title", "rank", "id")
+
+
 def tour(levels: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(step, title, nodes) from topological levels: a step per layer in order of its first member, then concepts."""
-    rows = levels.join(members, "id").select("layer", "id", F.coalesce("level", F.lit(1 << 30)).alias("level"))
-    by_layer = rows.groupBy("layer").agg(F.min(F.struct("level", "id")).alias("first"), F.count("*").alias("nodes")).select(F.col("layer").alias("title"), "first", "nodes")
-    concepts = nodes.where("type = 'concept'").agg(F.count("*").alias("nodes")).where("nodes > 0")
-    last = concepts.select(F.lit("Key Concepts").alias("title"), F.struct(F.lit((1 << 31) - 1).alias("level"), F.lit("").alias("id")).alias("first"), "nodes")
-    return by_layer.unionByName(last).select(F.row_number().over(Window.orderBy("first", "title")).alias("step"), "title", "nodes")
+    """(step, title, nodes): tour_nodes()'s steps with the numbers of their nodes."""
+    return tour_nodes(levels, members, nodes).groupBy("step", "title").agg(F.count("*").alias("nodes"))
 
 
 class Normalised(NamedTuple):
@@ -87,9 +105,7 @@ def normalise(nodes: DataFrame, edges: DataFrame) -> Normalised:
     raw = nodes.where(is_reference(F.col("id"))).select("pos", F.col("id").alias("raw"), canonical_id(F.col("id")).alias("id"), "type", "name", "complexity")
     kept = raw.groupBy("id").agg(F.max_by(F.struct("pos", "type", "name", "complexity"), "pos").alias("r")).select("id", "r.*")
     ends = edges.select("pos", F.col("source").alias("rs"), F.col("target").alias("rt"), canonical_id(F.col("source")).alias("source"), canonical_id(F.col("target")).alias("target"), "type")
-    a = kept.select(F.col("id").alias("source"), F.lit(1).alias("has_source"))
-    b = kept.select(F.col("id").alias("target"), F.lit(1).alias("has_target"))
-    marked = ends.join(a, "source", "left").join(b, "target", "left")
+    marked = join_ends(ends, kept.select("id", F.lit(1).alias("here")), {"here": "has_source"}, {"here": "has_target"}, "left")
     fine = marked.where("has_source = 1 and has_target = 1")
     first = fine.groupBy("source", "target", "type").agg(F.min("pos").alias("pos"))
     counts = marked.agg(
@@ -102,17 +118,21 @@ def normalise(nodes: DataFrame, edges: DataFrame) -> Normalised:
 
 
 def merge_nodes(nodes: DataFrame, order: str = "pos") -> DataFrame:
-    """Rows of one id merged field by field: the last non-blank value by ``order``, tags in order of appearance without repetition; the first type stays."""
+    """Rows of one id merged field by field: the last non-blank value by ``order``, tags in order of appearance without repetition; the first type stays.
+    Of ids that only differ in spelling the one with the longest summary (in bytes) stays whole, of equally long ones the smallest; ``rows`` counts those of all."""
 
     def last(c: str):
         return F.max_by(F.when(squeeze(F.col(c)) != "", F.col(c)), F.when(squeeze(F.col(c)) != "", F.col(order))).alias(c)
 
-    rows = nodes.where(is_reference(F.col("id"))).withColumn("id", merge_id(squeeze(F.col("id"))))
-    merged = rows.groupBy("id").agg(F.min_by("type", order).alias("type"), last("name"), last("summary"), last("file_path"), last("complexity"), F.count("*").alias("rows"))
+    rows = nodes.where(is_reference(F.col("id"))).withColumn("raw", squeeze(F.col("id")))
+    merged = rows.groupBy("raw").agg(F.min_by("type", order).alias("type"), last("name"), last("summary"), last("file_path"), last("complexity"), F.count("*").alias("rows"))
+    size = F.struct((-F.octet_length(F.coalesce("summary", F.lit("")))).alias("n"), F.col("raw").alias("r"))
+    kept = merged.withColumn("id", merge_id(F.col("raw"))).groupBy("id").agg(F.min_by(F.struct("raw", "type", "name", "summary", "file_path", "complexity"), size).alias("k"), F.sum("rows").alias("rows"))
+    kept = kept.select("id", "k.*", "rows")
     # Tags are reduced to their first place before a list is made, so a list is as long as its different tags, not as the rows.
-    tags = rows.select("id", order, F.posexplode("tags").alias("i", "tag")).where("tag is not null").groupBy("id", "tag").agg(F.min(F.struct(order, "i")).alias("at"))
-    lists = tags.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "tag"))), lambda x: x["tag"]), ",").alias("tags"))
-    return merged.join(lists, "id", "left").fillna("", ["tags"])
+    tags = rows.select("raw", order, F.posexplode("tags").alias("i", "tag")).where("tag is not null").groupBy("raw", "tag").agg(F.min(F.struct(order, "i")).alias("at"))
+    lists = tags.groupBy("raw").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "tag"))), lambda x: x["tag"]), ",").alias("tags"))
+    return kept.join(lists, "raw", "left").drop("raw").fillna("", ["tags"])
 
 
 def merge_edges(edges: DataFrame) -> DataFrame:

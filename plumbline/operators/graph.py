@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -50,32 +51,50 @@ def neighbours(nodes: DataFrame, edges: DataFrame, centers: DataFrame, depth: in
 
     Level-synchronous: each round joins the frontier with the edges and drops what was visited. Ids without a node are passed through, not returned."""
     depth = min(4, max(1, depth))
-    pairs = undirected(edges)
+    edges = cut_lineage(edges.select("source", "target", "type"))
     visited = centers.select("id", F.lit(0).alias("depth"))
     frontier, touched = visited, None
     for d in range(1, depth + 1):
         front = frontier.select("id")
         hit = edges.join(front.withColumnRenamed("id", "source"), "source", "left_semi").unionByName(edges.join(front.withColumnRenamed("id", "target"), "target", "left_semi"))
+        hit = cut_lineage(hit)
         touched = hit if touched is None else touched.unionByName(hit)
-        step = pairs.join(front.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct()
-        frontier = step.join(visited, "id", "left_anti").withColumn("depth", F.lit(d))
-        if d > 1 or depth > 2:
-            frontier = cut_lineage(frontier)
+        # What an edge at the frontier touches is in the frontier, visited, or new.
+        step = hit.select(F.explode(F.array("source", "target")).alias("id")).distinct()
+        frontier = cut_lineage(step.join(visited, "id", "left_anti").withColumn("depth", F.lit(d)))
         visited = visited.unionByName(frontier)
     found = visited.where("depth > 0").join(nodes, "id", "inner")
     return Neighbourhood(found, touched.dropDuplicates(["source", "target", "type"]))
 
 
-def reach(edges: DataFrame, roots: DataFrame, types: tuple[str, ...], max_rounds: int = 1000) -> DataFrame:
-    """(id, depth) of everything that ``roots`` (id) reach along edges of ``types``, forward. Cycles end, as visited ids are not entered again."""
+class _Rounds:
+    """Rows that rounds add, each round written once; many rounds are written together from time to time, so that a plan stays small."""
+
+    def __init__(self, first: DataFrame, every: int = 32) -> None:
+        self.parts, self.every = [first], every
+
+    def add(self, rows: DataFrame) -> None:
+        self.parts.append(rows)
+        if len(self.parts) > self.every:
+            self.parts = [cut_lineage(self.whole())]
+
+    def whole(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.parts)
+
+
+def reach(edges: DataFrame, roots: DataFrame, types: tuple[str, ...], max_rounds: int | None = None) -> DataFrame:
+    """(id, depth) of everything that ``roots`` (id) reach along edges of ``types``, forward. Cycles end, as visited ids are not entered again.
+    Ends when nothing new is met; exceeding ``max_rounds``, where it is given, raises."""
     step = cut_lineage(edges.where(F.col("type").isin(list(types))).select("source", F.col("target").alias("id")).distinct())
-    visited = frontier = cut_lineage(roots.select("id", F.lit(0).alias("depth")))
-    for d in range(1, max_rounds + 1):
-        frontier = step.join(frontier.select(F.col("id").alias("source")), "source", "left_semi").select("id").distinct().join(visited, "id", "left_anti").withColumn("depth", F.lit(d))
-        frontier = cut_lineage(frontier)
+    frontier = cut_lineage(roots.select("id", F.lit(0).alias("depth")))
+    visited, d = _Rounds(frontier), 0
+    while max_rounds is None or d < max_rounds:
+        d += 1
+        new = step.join(frontier.select(F.col("id").alias("source")), "source", "left_semi").select("id").distinct()
+        frontier = cut_lineage(new.join(visited.whole().select("id"), "id", "left_anti").withColumn("depth", F.lit(d)))
         if frontier.isEmpty():
-            return visited
-        visited = cut_lineage(visited.unionByName(frontier))
+            return visited.whole()
+        visited.add(frontier)
     raise RuntimeError(f"not ended after {max_rounds} rounds")
 
 
@@ -115,6 +134,7 @@ class Blast(NamedTuple):
 def blast_radius(nodes: DataFrame, edges: DataFrame, paths: DataFrame) -> Blast:
     """What a change of files (file_path) touches: their nodes and what these contain, the nodes one step away, the edges at the changed
     ones, and files that no node has."""
+    nodes, edges = cut_lineage(nodes.select("id", "file_path")), cut_lineage(edges.select("source", "target", "type"))
     paths = paths.select(canonical_path(F.col("file_path")).alias("file_path")).distinct()
     own = nodes.join(paths, "file_path", "left_semi").select("id")
     held = edges.where("type = 'contains'").join(own.withColumnRenamed("id", "source"), "source", "left_semi").select(F.col("target").alias("id"))
@@ -140,25 +160,27 @@ def explain(nodes: DataFrame, edges: DataFrame, target: str) -> Neighbourhood:
     return Neighbourhood(rows.select("id", role.alias("role")), hit)
 
 
-def topological_levels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def topological_levels(nodes: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(id, level): the longest distance from a root along edges between nodes; nodes on or behind cycles come last, with a null level.
 
-    Kahn's peeling, a round per level: nodes without an open incoming edge are taken out with their edges."""
-    ids = nodes.select("id")
+    Kahn's peeling, a round per level: nodes without an open incoming edge are taken out with their edges. Ends when none is left to take; exceeding
+    ``max_rounds``, where it is given, raises."""
+    ids = cut_lineage(nodes.select("id").distinct())
     open_edges = edges.where("source <> target").select("source", "target").distinct()
     open_edges = cut_lineage(open_edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi"))
-    rest = cut_lineage(ids.distinct())
-    done = None
-    for level in range(max_rounds):
+    rest, level = ids, 0
+    done = _Rounds(ids.limit(0).withColumn("level", F.lit(0)))
+    while True:
         ready = rest.join(open_edges.select(F.col("target").alias("id")).distinct(), "id", "left_anti")
         ready = cut_lineage(ready.withColumn("level", F.lit(level)))
         if ready.isEmpty():
-            break
-        done = ready if done is None else cut_lineage(done.unionByName(ready))
+            return done.whole().unionByName(rest.withColumn("level", F.lit(None).cast("int")))
+        if max_rounds is not None and level >= max_rounds:
+            raise RuntimeError(f"not ended after {max_rounds} rounds")
+        done.add(ready)
         rest = cut_lineage(rest.join(ready, "id", "left_anti"))
         open_edges = cut_lineage(open_edges.join(ready.select(F.col("id").alias("source")), "source", "left_anti"))
-    left = rest.withColumn("level", F.lit(None).cast("int"))
-    return left if done is None else done.unionByName(left)
+        level += 1
 
 
 def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import fixed
 from plumbline.functions.scalars import layer_id
+from plumbline.operators.skew import join_ends
 
 
 def pattern_table(spark: SparkSession) -> DataFrame:
@@ -45,9 +46,7 @@ def layer_table(members: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def layer_edges(members: DataFrame, edges: DataFrame) -> DataFrame:
     """(layer_a, layer_b, edges, types) between different layers, undirected: counts and the sorted types."""
-    a = members.select(F.col("id").alias("source"), F.col("layer_id").alias("la"))
-    b = members.select(F.col("id").alias("target"), F.col("layer_id").alias("lb"))
-    rows = edges.join(a, "source").join(b, "target").where("la <> lb")
+    rows = join_ends(edges.select("source", "target", "type"), members.select("id", "layer_id"), {"layer_id": "la"}, {"layer_id": "lb"}).where("la <> lb")
     keys = F.least("la", "lb").alias("layer_a"), F.greatest("la", "lb").alias("layer_b")
     return rows.groupBy(*keys).agg(F.count("*").alias("edges"), F.array_join(F.array_sort(F.collect_set("type")), ",").alias("types"))
 

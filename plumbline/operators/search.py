@@ -32,10 +32,19 @@ def token_search(nodes: DataFrame, query: str, limit: int | None = None) -> Data
     return found if limit is None else found.orderBy("id").limit(limit)
 
 
+def subsequence(token: str) -> str:
+    """A pattern of the token's characters in order with anything between; every gap ends at the first next character, so it is matched in linear time."""
+    chars = [c if c.isalnum() else "\\" + c for c in token]
+    return chars[0] + "".join(f"[^{c}]*{c}" for c in chars[1:])
+
+
 def raw_score(field: Column, token: str) -> Column:
-    """16 for each character of a token that the field holds, 8 more at its beginning, 8 more if it is the whole."""
+    """16 for each character of a token that the field holds, 8 more at its beginning, 8 more if it is the whole. Where the characters stand in order but not
+    together, 2 less and 1 less for each one between."""
     n = 16.0 * len(token)
-    return F.when(field == token, n + 16).when(field.startswith(token), n + 8).when(field.contains(token), n).otherwise(0.0)
+    held = F.length(F.regexp_extract(field, f"(?s){subsequence(token)}", 0))
+    apart = F.when(held > 0, F.greatest(F.lit(0.0), F.lit(n - 2 + len(token)) - held)).otherwise(0.0)
+    return F.when(field == token, n + 16).when(field.startswith(token), n + 8).when(field.contains(token), n).otherwise(apart)
 
 
 def ranked_search(nodes: DataFrame, query: str, limit: int = fixed.RANKED_LIMIT, node_type: str | None = None, cutoff: float = fixed.SEARCH_CUTOFF) -> DataFrame:
@@ -77,10 +86,10 @@ def expand_hits(hits: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFram
     return ids.unionByName(out).unionByName(back).distinct().join(nodes.select("id"), "id", "left_semi")
 
 
-def batches(df: DataFrame, order: str, size: int, partitions: int = 32) -> DataFrame:
+def batches(df: DataFrame, order: str, size: int, partitions: int | None = None) -> DataFrame:
     """Rows in batches of ``size`` by ``order``: each range is numbered on its own and shifted by the rows of the ranges before it, of which only
     the counts are collected."""
-    ranged = df.repartitionByRange(partitions, order).sortWithinPartitions(order)
+    ranged = (df.repartitionByRange(order) if partitions is None else df.repartitionByRange(partitions, order)).sortWithinPartitions(order)
     ranged = cut_lineage(ranged.withColumn("_range", F.spark_partition_id()).withColumn("_n", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
     counts = {r["_range"]: r["count"] for r in ranged.groupBy("_range").count().collect()}
     before, total = [], 0

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.session import cut_lineage
+
 #: At most this many keys are ever treated as hot, whatever the size of the data: a hot key holds at least 1/HOT_KEYS of the rows.
 HOT_KEYS = 1000
 
@@ -27,3 +29,14 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "left",
     cold = left.where(~is_hot).join(right.where(~is_hot), key, how)
     warm = left.where(is_hot).join(F.broadcast(right.where(is_hot)), key, how)
     return cold.unionByName(warm)
+
+
+def join_ends(edges: DataFrame, table: DataFrame, source: dict[str, str], target: dict[str, str], how: str = "inner") -> DataFrame:
+    """``edges`` with columns of ``table`` (one row per ``id``) for both ends: ``source`` and ``target`` map columns of the table to their new names.
+    Ends that hold a large share of the edges meet a broadcast of their few rows, all others a shuffle. Both inputs are computed once."""
+    edges, table = cut_lineage(edges), cut_lineage(table)
+    rows = edges.count()
+    for end, names in (("source", source), ("target", target)):
+        hot = hot_keys(edges, end, rows)
+        edges = join_unique(edges, table.select(F.col("id").alias(end), *[F.col(a).alias(b) for a, b in names.items()]), end, how, hot)
+    return edges

@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType, FloatType
 from plumbline.functions import fixed, scalars
 from plumbline.functions.ids import basename, canonical_id_sql, canonical_path, is_reference
 from plumbline.operators import build, graph, search
+from plumbline.operators.skew import join_ends
 from plumbline.plans.common import EDGES, MEMBERS, NODES, QUERY, edges_of, members_of, nodes_of, sql, trim_sql
 from plumbline.plans.data_queries import _ALL, _DOMAIN, _SCORED
 from plumbline.plans.graph_queries import _CHANGED, HUB, _rescanned, hub
@@ -114,8 +115,8 @@ _GROUPS = "g AS (SELECT id, CASE WHEN contains(file_path, '/') THEN regexp_repla
 
 def _matrix(spark, d):
     g = nodes_of(spark, d).where("type = 'file' and file_path is not null").select("id", F.when(F.col("file_path").contains("/"), F.regexp_replace("file_path", "/[^/]*$", "")).otherwise("root").alias("grp"))
-    a, b = g.select(F.col("id").alias("source"), F.col("grp").alias("from_group")), g.select(F.col("id").alias("target"), F.col("grp").alias("to_group"))
-    return edges_of(spark, d).where("type = 'imports'").join(a, "source").join(b, "target").groupBy("from_group", "to_group").agg(F.count("*").alias("imports"))
+    j = join_ends(edges_of(spark, d).where("type = 'imports'").select("source", "target"), g, {"grp": "from_group"}, {"grp": "to_group"})
+    return j.groupBy("from_group", "to_group").agg(F.count("*").alias("imports"))
 
 
 @query("SELECT x.from_group, x.to_group, x.imports, coalesce(y.imports, 0) AS back FROM im x LEFT JOIN im y ON y.from_group = x.to_group AND y.to_group = x.from_group WHERE x.from_group <> x.to_group", NODES, EDGES, _GROUPS)
@@ -171,9 +172,8 @@ def import_gaps(spark, d):
     n = nodes_of(spark, d).where("file_path is not null")
     files = n.where("type = 'file'").groupBy("project", "file_path").agg(F.min("id").alias("fid"))
     own = n.join(files, ["project", "file_path"]).select("id", "fid")
-    a, b = own.select(F.col("id").alias("source"), F.col("fid").alias("a")), own.select(F.col("id").alias("target"), F.col("fid").alias("b"))
     e = edges_of(spark, d)
-    pairs = e.where("type = 'calls'").join(a, "source").join(b, "target").where("a <> b").select(F.col("a").alias("source"), F.col("b").alias("target")).distinct()
+    pairs = join_ends(e.where("type = 'calls'").select("source", "target"), own, {"fid": "a"}, {"fid": "b"}).where("a <> b").select(F.col("a").alias("source"), F.col("b").alias("target")).distinct()
     return pairs.join(e.where("type = 'imports'").select("source", "target"), ["source", "target"], "left_anti").select("source", "target", F.lit("imports").alias("type"), F.lit(0.7).alias("weight"))
 
 
@@ -364,8 +364,7 @@ def guide_rows(spark, d):
 
 @query("SELECT DISTINCT CASE WHEN a.type = 'article' THEN e.source ELSE e.target END AS article, CASE WHEN a.type = 'article' THEN e.target ELSE e.source END AS related, e.type FROM e JOIN n a ON a.id = e.source JOIN n b ON b.id = e.target WHERE 'article' IN (a.type, b.type)", NODES, EDGES)
 def related_articles(spark, d):
-    t = nodes_of(spark, d).select("id", "type")
-    j = edges_of(spark, d).select("source", "target", "type").join(t.select(F.col("id").alias("source"), F.col("type").alias("ta")), "source").join(t.select(F.col("id").alias("target"), F.col("type").alias("tb")), "target")
+    j = join_ends(edges_of(spark, d).select("source", "target", "type"), nodes_of(spark, d).select("id", "type"), {"type": "ta"}, {"type": "tb"})
     own = F.col("ta") == "article"
     return j.where(own | (F.col("tb") == "article")).select(F.when(own, F.col("source")).otherwise(F.col("target")).alias("article"), F.when(own, F.col("target")).otherwise(F.col("source")).alias("related"), "type").distinct()
 

@@ -102,16 +102,15 @@ def _last(c: str) -> str:
     return f"arg_max({c}, pos) FILTER ({trim_sql(c)} <> '') AS {c}"
 
 
-@query(
-    f"SELECT {_mid('id')} AS id, arg_min(type, pos) AS type, {_last('name')}, {_last('summary')}, {_last('file_path')}, {_last('complexity')}, count(*) AS rows FROM nodes WHERE {trim_sql('id')} <> '' GROUP BY 1"
-)
+_MERGED = f"mr AS (SELECT {trim_sql('id')} AS raw, any_value({_mid('id')}) AS id, arg_min(type, pos) AS type, {_last('name')}, {_last('summary')}, {_last('file_path')}, {_last('complexity')}, count(*) AS rows, flatten(list(coalesce(tags, []) ORDER BY pos)) AS l FROM nodes WHERE {trim_sql('id')} <> '' GROUP BY 1), mm AS (SELECT *, sum(rows) OVER (PARTITION BY id)::BIGINT AS every FROM mr QUALIFY row_number() OVER (PARTITION BY id ORDER BY strlen(coalesce(summary, '')) DESC, raw) = 1)"
+
+
+@query("SELECT id, type, name, summary, file_path, complexity, every AS rows FROM mm", _MERGED)
 def merge_nodes(spark, d):
     return build.merge_nodes(table(spark, d, "nodes")).drop("tags")
 
 
-@query(
-    f"SELECT id, array_to_string(list_filter(l, lambda t, i: t IS NOT NULL AND list_position(l, t) = i), ',') AS tags FROM (SELECT {_mid('id')} AS id, flatten(list(coalesce(tags, []) ORDER BY pos)) AS l FROM nodes WHERE {trim_sql('id')} <> '' GROUP BY 1)"
-)
+@query("SELECT id, array_to_string(list_filter(l, lambda t, i: t IS NOT NULL AND list_position(l, t) = i), ',') AS tags FROM mm", _MERGED)
 def merge_tags(spark, d):
     return build.merge_nodes(table(spark, d, "nodes")).select("id", "tags")
 
@@ -194,7 +193,9 @@ def _score(token: str) -> str:
     n = 16.0 * len(token)
     parts = []
     for f, w in fixed.SEARCH_WEIGHTS.items():
-        raw = f"(CASE WHEN {_FIELD[f]} = '{token}' THEN {n + 16} WHEN starts_with({_FIELD[f]}, '{token}') THEN {n + 8} WHEN contains({_FIELD[f]}, '{token}') THEN {n} ELSE 0.0 END)::DOUBLE"
+        held = f"length(regexp_extract({_FIELD[f]}, '(?s){search.subsequence(token)}', 0))"
+        apart = f"CASE WHEN {held} > 0 THEN greatest(0.0, {n - 2 + len(token)} - {held}) ELSE 0.0 END"
+        raw = f"(CASE WHEN {_FIELD[f]} = '{token}' THEN {n + 16} WHEN starts_with({_FIELD[f]}, '{token}') THEN {n + 8} WHEN contains({_FIELD[f]}, '{token}') THEN {n} ELSE {apart} END)::DOUBLE"
         parts.append(f"{w}::DOUBLE * (CASE WHEN {raw} <= 0 THEN 0.0 ELSE {raw} / ({raw} + 64.0::DOUBLE) END)")
     return "(" + " + ".join(parts) + ")"
 

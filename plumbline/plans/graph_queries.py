@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import fixed
 from plumbline.functions.scalars import one_of
 from plumbline.operators import graph, layers
+from plumbline.operators.skew import join_ends
 from plumbline.plans.common import EDGES, LAYER_A, LAYER_B, MEMBERS, NODES, case_sql, edges_of, members_of, nodes_of, sql
 
 Q: dict = {}
@@ -110,16 +111,14 @@ def persona_nontechnical(spark, d):
 
 @query("SELECT e.source, e.target, e.type, CASE WHEN s.id IS NULL THEN 'missing_source' ELSE 'missing_target' END AS reason FROM e LEFT JOIN n s ON s.id = e.source LEFT JOIN n t ON t.id = e.target WHERE s.id IS NULL OR t.id IS NULL", NODES, EDGES)
 def dangling_reasons(spark, d):
-    ids = nodes_of(spark, d).select("id")
-    j = edges_of(spark, d).join(ids.select(F.col("id").alias("source"), F.lit(1).alias("s")), "source", "left").join(ids.select(F.col("id").alias("target"), F.lit(1).alias("t")), "target", "left")
+    j = join_ends(edges_of(spark, d).select(*EDGE), nodes_of(spark, d).select("id", F.lit(1).alias("here")), {"here": "s"}, {"here": "t"}, "left")
     return j.where("s is null or t is null").select(*EDGE, F.when(F.col("s").isNull(), "missing_source").otherwise("missing_target").alias("reason"))
 
 
 @query("SELECT e.source, e.target, e.type, coalesce(s.name, e.source) AS source_name, coalesce(t.name, e.target) AS target_name FROM e LEFT JOIN n s ON s.id = e.source LEFT JOIN n t ON t.id = e.target", NODES, EDGES)
 def edge_names(spark, d):
-    names = nodes_of(spark, d).select("id", "name")
-    a, b = names.select(F.col("id").alias("source"), F.col("name").alias("sn")), names.select(F.col("id").alias("target"), F.col("name").alias("tn"))
-    return edges_of(spark, d).join(a, "source", "left").join(b, "target", "left").select(*EDGE, F.coalesce("sn", "source").alias("source_name"), F.coalesce("tn", "target").alias("target_name"))
+    j = join_ends(edges_of(spark, d).select(*EDGE), nodes_of(spark, d).select("id", "name"), {"name": "sn"}, {"name": "tn"}, "left")
+    return j.select(*EDGE, F.coalesce("sn", "source").alias("source_name"), F.coalesce("tn", "target").alias("target_name"))
 
 
 @query("SELECT type, count(*) AS nodes FROM n GROUP BY type", NODES)
@@ -171,8 +170,8 @@ def fan_in_out_top(spark, d):
 
 @query("SELECT a.type AS from_type, b.type AS to_type, e.type AS edge_type, count(*) AS edges FROM e JOIN n a ON a.id = e.source JOIN n b ON b.id = e.target GROUP BY ALL", NODES, EDGES)
 def type_matrix(spark, d):
-    t = nodes_of(spark, d).select("id", "type")
-    j = edges_of(spark, d).withColumnRenamed("type", "edge_type").join(t.select(F.col("id").alias("source"), F.col("type").alias("from_type")), "source").join(t.select(F.col("id").alias("target"), F.col("type").alias("to_type")), "target")
+    e = edges_of(spark, d).select("source", "target", F.col("type").alias("edge_type"))
+    j = join_ends(e, nodes_of(spark, d).select("id", "type"), {"type": "from_type"}, {"type": "to_type"})
     return j.groupBy("from_type", "to_type", "edge_type").agg(F.count("*").alias("edges"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import parsers
 from plumbline.functions.ids import canonical_path
 from plumbline.functions.scalars import language_of
-from plumbline.operators import build, graph
+from plumbline.operators import build, builder, graph
 from plumbline.plans.common import edges_of, members_of, nodes_of
 from plumbline.sources.tables import table
 
@@ -37,11 +37,35 @@ def import_frameworks(spark, d):
     return parsers.frameworks_in_imports(_items(spark, d).where("`group` = 'import'"))
 
 
-def tour_steps(spark, d):
+def tour_nodes(spark, d):
     n = nodes_of(spark, d)
     levels = graph.topological_levels(n.where("type = 'file'"), edges_of(spark, d).where("type = 'imports'"))
-    return build.tour(levels, members_of(spark, d), n)
+    return build.tour_nodes(levels, members_of(spark, d), n).select("step", "title", "id")
+
+
+def tour_steps(spark, d):
+    return tour_nodes(spark, d).groupBy("step", "title").agg(F.count("*").alias("nodes"))
+
+
+def _files(spark, d):
+    return table(spark, d, "source_files").select("file_id", "project", "path", language_of(F.col("path")).alias("language"))
+
+
+def built_nodes(spark, d):
+    return builder.build(_files(spark, d), _items(spark, d)).nodes
+
+
+def built_edges(spark, d):
+    return builder.build(_files(spark, d), _items(spark, d)).edges
+
+
+def call_sites(spark, d):
+    return builder.call_sites(table(spark, d, "source_files"), "file_id", language_of(F.col("path")), "content")
+
+
+def call_edges(spark, d):
+    return builder.call_edges(builder.build(_files(spark, d), _items(spark, d)), call_sites(spark, d), table(spark, d, "source_files"))
 
 
-QUERIES = {"structure_items": structure_items, "structure_hashes": structure_hashes, "change_classes": change_classes, "import_frameworks": import_frameworks, "tour_steps": tour_steps}
+QUERIES = {"built_nodes": built_nodes, "built_edges": built_edges, "call_sites": call_sites, "call_edges": call_edges, "structure_items": structure_items, "structure_hashes": structure_hashes, "change_classes": change_classes, "import_frameworks": import_frameworks, "tour_steps": tour_steps, "tour_nodes": tour_nodes}
 ORACLE: dict[str, str] = {}

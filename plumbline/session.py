@@ -28,12 +28,14 @@ def build_session(master: str = "local[8]", partitions: int = 8, **conf: str) ->
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the cluster's ``spark.checkpoint.dir`` where it is set, else (tests) a temporary one."""
+    """The shared folder for checkpoints: the cluster's ``spark.checkpoint.dir``. Only a local master, as in tests, may do without: it gets a temporary one."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: checkpoints need a folder that all executors share")
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="plumbline-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

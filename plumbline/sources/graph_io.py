@@ -5,8 +5,10 @@ from __future__ import annotations
 import fnmatch
 import json
 import os
+import re
 from dataclasses import dataclass, fields
 from pathlib import Path
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,50 +24,102 @@ NODE_SCHEMA = "pos bigint, kind string, id string, type string, name string, fil
 EDGE_SCHEMA = "pos bigint, kind string, source string, target string, type string, direction string, description string, weight double"
 
 
-def save_graph(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
-    """Replace a graph: edges without both their nodes are left out; a table per folder, partitioned by kind, so a kind is read alone."""
-    ids = nodes.select("id").distinct()
-    kept = edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
-    nodes.write.mode("overwrite").partitionBy("kind").parquet(f"{folder}/nodes")
-    kept.write.mode("overwrite").partitionBy("kind").parquet(f"{folder}/edges")
-    spark = nodes.sparkSession
-    spark.createDataFrame([(SCHEMA_VERSION,)], "version int").coalesce(1).write.mode("overwrite").json(f"{folder}/meta")
+LAYER_SCHEMA = "kind string, layer_id string, name string, description string, rank bigint, node_id string"
+TOUR_SCHEMA = "kind string, step int, title string, description string, rank bigint, node_id string"
+PROJECT_SCHEMA = "kind string, name string, languages array<string>, frameworks array<string>, description string, analyzed_at string, git_commit_hash string"
+
+
+class SavedGraph(NamedTuple):
+    """All parts of a graph. layers and tour have a row per member, in the order of ``rank``; project has a row per kind."""
+
+    nodes: DataFrame
+    edges: DataFrame
+    layers: DataFrame
+    tour: DataFrame
+    project: DataFrame
 
 
-def load_graph(spark: SparkSession, folder: str, kind: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """A saved graph, or one kind of it, with defaults for what is unknown: file, related, forward, 1.0, moderate."""
-    version = spark.read.schema("version int").json(f"{folder}/meta").first()
-    if version is None or version[0] != SCHEMA_VERSION:
+_PARTS = {"layers": LAYER_SCHEMA, "tour": TOUR_SCHEMA, "project": PROJECT_SCHEMA}
+
+
+def _versions(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the finished versions below ``folder``: those whose meta was written."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    names = [x.getPath().getName() for x in fs.listStatus(path)]
+    return sorted(int(n[1:]) for n in names if re.fullmatch(r"v\d+", n) and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/meta/_SUCCESS")))
+
+
+def save_graph(nodes: DataFrame, edges: DataFrame, folder: str, layers: DataFrame | None = None, tour: DataFrame | None = None, project: DataFrame | None = None) -> int:
+    """Write a graph as a new version of ``folder`` and give its number. Readers see it when its meta, which is written last, is there; a failure leaves the
+    version before in place, and a second writer of the same number fails. Edges without both their nodes are left out. A table per part, partitioned by kind, so a kind is
+    read alone; members of layers and steps of tours are rows."""
+    spark = nodes.sparkSession
+    version = max(_versions(spark, folder), default=0) + 1
+    base = f"{folder}/v{version}"
+    ids = nodes.select("id").distinct()
+    kept = edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+    nodes.write.partitionBy("kind").parquet(f"{base}/nodes")
+    kept.write.partitionBy("kind").parquet(f"{base}/edges")
+    for name, part in (("layers", layers), ("tour", tour), ("project", project)):
+        rows = spark.createDataFrame([], _PARTS[name]) if part is None else part
+        rows.write.parquet(f"{base}/{name}")
+    spark.createDataFrame([(SCHEMA_VERSION,)], "version int").coalesce(1).write.json(f"{base}/meta")
+    return version
+
+
+def load_graph(spark: SparkSession, folder: str, kind: str | None = None, version: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of load_saved()."""
+    return load_saved(spark, folder, kind, version)[:2]
+
+
+def load_saved(spark: SparkSession, folder: str, kind: str | None = None, version: int | None = None) -> SavedGraph:
+    """The last finished version of a saved graph, or the given one, whole or one kind of it, with defaults for what is unknown: file, related, forward, 1.0, moderate."""
+    found = _versions(spark, folder)
+    version = (found[-1] if found else None) if version is None else version
+    if version not in found:
+        raise ValueError(f"no saved graph: {folder}")
+    base = f"{folder}/v{version}"
+    schema = spark.read.schema("version int").json(f"{base}/meta").first()
+    if schema is None or schema[0] != SCHEMA_VERSION:
         raise ValueError(f"not a graph of version {SCHEMA_VERSION}: {folder}")
-    nodes, edges = spark.read.parquet(f"{folder}/nodes"), spark.read.parquet(f"{folder}/edges")
-    if kind is not None:
-        if kind not in KINDS:
-            raise ValueError(f"no such kind: {kind}")
-        nodes, edges = nodes.where(F.col("kind") == kind), edges.where(F.col("kind") == kind)
-    nodes = nodes.withColumns(
+    if kind is not None and kind not in KINDS:
+        raise ValueError(f"no such kind: {kind}")
+    read = lambda name: spark.read.parquet(f"{base}/{name}") if kind is None else spark.read.parquet(f"{base}/{name}").where(F.col("kind") == kind)
+    nodes = read("nodes").withColumns(
         {"type": F.when(F.col("type").isin(list(fixed.NODE_TYPES)), F.col("type")).otherwise("file"), "complexity": F.when(F.col("complexity").isin("simple", "moderate", "complex"), F.col("complexity")).otherwise("moderate")}
     )
-    edges = edges.withColumns(
+    edges = read("edges").withColumns(
         {
             "type": F.when(F.col("type").isin(list(fixed.EDGE_TYPES)), F.col("type")).otherwise("related"),
             "direction": F.when(F.col("direction").isin("forward", "backward", "bidirectional"), F.col("direction")).otherwise("forward"),
             "weight": F.coalesce("weight", F.lit(1.0)),
         }
     )
-    return nodes, edges
+    return SavedGraph(nodes, edges, read("layers"), read("tour"), read("project"))
 
 
-def export_json(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
-    """Both tables as JSON lines, so that no document has to fit a task."""
-    nodes.write.mode("overwrite").json(f"{folder}/nodes")
-    edges.write.mode("overwrite").json(f"{folder}/edges")
+def export_json(nodes: DataFrame, edges: DataFrame, folder: str, layers: DataFrame | None = None, tour: DataFrame | None = None, project: DataFrame | None = None) -> None:
+    """All parts as JSON lines, so that no document has to fit a task; parts that are not given are written empty."""
+    spark = nodes.sparkSession
+    given = {"nodes": nodes, "edges": edges, "layers": layers, "tour": tour, "project": project}
+    for name, part in given.items():
+        (spark.createDataFrame([], _PARTS[name]) if part is None else part).write.mode("overwrite").json(f"{folder}/{name}")
 
 
-def import_json(spark: SparkSession, folder: str, kind: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Tables of export_json; the kind is the given one, else the rows' own, else codebase."""
+def import_saved(spark: SparkSession, folder: str, kind: str | None = None) -> SavedGraph:
+    """Parts of export_json; the kind is the given one, else the rows' own, else codebase."""
     chosen = F.lit(kind) if kind else F.coalesce("kind", F.lit("codebase"))
     read = lambda name, schema: spark.read.schema(schema).json(f"{folder}/{name}").withColumn("kind", chosen)
-    return read("nodes", NODE_SCHEMA), read("edges", EDGE_SCHEMA)
+    return SavedGraph(read("nodes", NODE_SCHEMA), read("edges", EDGE_SCHEMA), *(read(name, schema) for name, schema in _PARTS.items()))
+
+
+def import_json(spark: SparkSession, folder: str, kind: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of import_saved()."""
+    return import_saved(spark, folder, kind)[:2]
 
 
 def import_document(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -134,6 +188,11 @@ def write_overlay(changed: DataFrame, affected: DataFrame, folder: str) -> None:
     changed.select("id", F.lit("changed").alias("state")).unionByName(affected.select("id", F.lit("affected").alias("state"))).write.mode("overwrite").json(folder)
 
 
+def read_overlay(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, state) of a written overlay."""
+    return spark.read.schema("id string, state string").json(folder)
+
+
 def git_changes(porcelain: str) -> list[str]:
     """New paths of ``git status --porcelain=v2 -z``; of a rename the new name, headers and ignored files are skipped."""
     out, parts = [], iter(porcelain.split("\0"))

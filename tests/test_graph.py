@@ -91,9 +91,13 @@ def test_layer_patterns_first_match_wins(spark):
 
 
 def test_merge_rules(spark):
-    rows = [node(1, "file:a", name="old-name", summary="old summary", tags=["alpha", "beta"]), node(2, "FILE:a", name="new-name", summary=" ", tags=["beta", "gamma"])]
+    rows = [node(1, "file:a", name="old-name", summary="old summary", tags=["alpha", "beta"]), node(2, "file:a", name="new-name", summary=" ", tags=["beta", "gamma"])]
     got = build.merge_nodes(spark.createDataFrame(rows, N)).first()
     assert (got["name"], got["summary"], got["tags"], got["rows"]) == ("new-name", "old summary", "alpha,beta,gamma", 2)
+    # Of spellings of one id the one with the longer summary stays whole.
+    spelled = [*rows, node(3, "FILE:a", name="other", summary="a much longer summary", tags=["delta"])]
+    got = build.merge_nodes(spark.createDataFrame(spelled, N)).collect()
+    assert [(r["id"], r["name"], r["summary"], r["tags"], r["rows"]) for r in got] == [("file:a", "other", "a much longer summary", "delta", 3)]
     es = [edge(1, "file:a", "file:b", w=0.3), edge(2, "file:a", "file:b", w=0.9), edge(3, "file:a", "file:b", w=float("nan"))]
     best = build.merge_edges(spark.createDataFrame(es, E)).first()
     assert (round(best["weight"], 3), best["pos"], best["rows"]) == (0.9, 2, 3)
@@ -162,6 +166,21 @@ def test_save_and_load(spark, tmp_path):
     assert [(r.source, r.target, r.direction, r.weight) for r in e.collect()] == [("file:0", "file:1", "forward", 1.0)]
     with pytest.raises(ValueError):
         graph_io.load_graph(spark, str(tmp_path / "g"), "other")
+    layers_ = spark.createDataFrame([("codebase", "layer:api", "API", "d", 0, "file:1"), ("domain", "layer:x", "X", None, 0, "file:2")], graph_io.LAYER_SCHEMA)
+    steps = spark.createDataFrame([("codebase", 1, "API", "first", i, f"file:{i}") for i in range(3)], graph_io.TOUR_SCHEMA)
+    project = spark.createDataFrame([("codebase", "p", ["go"], [], None, "2024", "abc")], graph_io.PROJECT_SCHEMA)
+    assert graph_io.save_graph(ns, es, str(tmp_path / "g"), layers_, steps, project) == 2
+    saved = graph_io.load_saved(spark, str(tmp_path / "g"), "codebase")
+    assert saved.layers.collect() == layers_.where("kind = 'codebase'").collect() and sorted(saved.tour.collect()) == sorted(steps.collect()) and saved.project.collect() == project.collect()
+    assert graph_io.load_saved(spark, str(tmp_path / "g"), version=1).tour.count() == 0
+    # A version that was not finished is not seen.
+    (tmp_path / "g" / "v3" / "nodes").mkdir(parents=True)
+    assert graph_io.load_saved(spark, str(tmp_path / "g")).layers.count() == 2
+    with pytest.raises(ValueError):
+        graph_io.load_graph(spark, str(tmp_path / "none"))
+    graph_io.export_json(ns, es, str(tmp_path / "k"), layers_, steps, project)
+    back = graph_io.import_saved(spark, str(tmp_path / "k"))
+    assert sorted(back.layers.collect()) == sorted(layers_.collect()) and sorted(back.tour.collect()) == sorted(steps.collect()) and back.project.collect() == project.collect()
     graph_io.export_json(ns, es, str(tmp_path / "j"))
     assert graph_io.import_json(spark, str(tmp_path / "j"), "domain")[0].first().kind == "domain"
 
@@ -193,3 +212,45 @@ def test_shortest_path_never_ends_early_in_silence(spark):
     with pytest.raises(RuntimeError):
         graph.shortest_path(e, "n0", "n5", max_rounds=2)
     assert len(graph.shortest_path(e, "n0", "n5")) == 6
+
+
+def test_fuzzy_search(spark):
+    rows = [node(1, "function:a.rs:login", name="login", summary="logs the user in", tags=["auth"]), node(2, "function:b.rs:handler", name="handler", summary="", tags=["ui"]), node(3, "function:c.rs:h", name="h-a-n-d-l-e-r-x", summary="", tags=[])]
+    n = spark.createDataFrame(rows, N)
+    find = lambda q, **k: [r.id.rsplit(":", 1)[1] for r in search.ranked_search(n, q, **k).collect()]
+    assert find("login")[0] == "login" and find("auth")[0] == "login" and find("hndlr") == ["handler", "h"] and find("rldnh") == [] and find(" ") == []
+    assert find("handler")[0] == "handler" and find("h.*r") == [] and find("login", node_type="class") == []
+
+
+def test_tour_gives_nodes(spark):
+    ns = [node(i, f"file:{x}") for i, x in enumerate("abcde")] + [node(9, "concept:k", "concept")]
+    n, e = spark.createDataFrame(ns, N), spark.createDataFrame([edge(1, "file:a", "file:b", "imports"), edge(2, "file:b", "file:c", "imports")], E)
+    levels = graph.topological_levels(n.where("type = 'file'"), e)
+    members = spark.createDataFrame([("file:c", "layer:x", "X"), ("file:a", "layer:y", "Y"), ("file:b", "layer:y", "Y")], "id string, layer_id string, layer string")
+    show = lambda df: [(r.step, r.title, r.id) for r in df.orderBy("step", "rank").collect()]
+    got = show(build.tour_nodes(levels, members, n))
+    assert got == [(1, "Y", "file:a"), (1, "Y", "file:b"), (2, "X", "file:c"), (3, "Supporting Components", "file:d"), (3, "Supporting Components", "file:e"), (4, "Key Concepts", "concept:k")]
+    flat = show(build.tour_nodes(levels, members.limit(0), n))
+    assert [(s, i[-1]) for s, _, i in flat] == [(1, "a"), (1, "d"), (1, "e"), (2, "b"), (2, "c"), (3, "k")] and flat[3][1] == "Step 2: Code Walkthrough"
+
+
+def test_long_chains_end_or_raise(spark):
+    size = 70
+    n = spark.createDataFrame([node(i, f"file:{i:03}") for i in range(size)], N)
+    e = spark.createDataFrame([edge(i, f"file:{i:03}", f"file:{i + 1:03}", "imports") for i in range(size - 1)], E)
+    far = graph.reach(e, spark.createDataFrame([("file:000",)], "id string"), ("imports",))
+    assert {r.id: r.depth for r in far.collect()} == {f"file:{i:03}": i for i in range(size)}
+    with pytest.raises(RuntimeError):
+        graph.topological_levels(n, e, max_rounds=3)
+
+
+def test_join_ends_with_a_hot_target(spark, monkeypatch):
+    from plumbline.operators import skew
+
+    edges = spark.createDataFrame([(f"s{i}", "hub" if i % 3 else f"t{i}", i) for i in range(300)] + [(None, "hub", 300)], "source string, target string, n int")
+    nodes = spark.createDataFrame([("hub", "H"), *((f"s{i}", f"S{i}") for i in range(0, 300, 2))], "id string, name string")
+    real = skew.hot_keys
+    monkeypatch.setattr(skew, "hot_keys", lambda df, key, rows: real(df, key, rows, least=50))
+    got = {r.n: (r.a, r.b) for r in skew.join_ends(edges, nodes, {"name": "a"}, {"name": "b"}, "left").collect()}
+    assert len(got) == 301 and got[1] == (None, "H") and got[2] == ("S2", "H") and got[3] == (None, None) and got[300] == (None, "H")
+    assert skew.join_ends(edges, nodes, {"name": "a"}, {"name": "b"}).count() == sum(1 for i in range(0, 300, 2) if i % 3)
