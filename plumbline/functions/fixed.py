@@ -3,8 +3,28 @@
 from __future__ import annotations
 
 # Node types by group.
-NODE_TYPES = tuple(
-    "file function class module concept config document service table endpoint pipeline schema resource domain flow step article entity topic claim source".split()
+NODE_TYPES = (
+    "file",
+    "function",
+    "class",
+    "module",
+    "concept",
+    "config",
+    "document",
+    "service",
+    "table",
+    "endpoint",
+    "pipeline",
+    "schema",
+    "resource",
+    "domain",
+    "flow",
+    "step",
+    "article",
+    "entity",
+    "topic",
+    "claim",
+    "source",
 )
 FILE_LEVEL_TYPES = ("file", "config", "document", "service", "pipeline", "table", "schema", "resource", "endpoint")
 NODE_CATEGORY = {

@@ -5,31 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The type prefixes of node ids, in the order in which the id scheme lists them.
-TYPE_PREFIXES = (
-    "file",
-    "function",
-    "func",
-    "class",
-    "module",
-    "concept",
-    "config",
-    "document",
-    "service",
-    "table",
-    "endpoint",
-    "pipeline",
-    "schema",
-    "resource",
-    "domain",
-    "flow",
-    "step",
-    "article",
-    "entity",
-    "topic",
-    "claim",
-    "source",
-)
+from plumbline.functions.fixed import NODE_TYPES
+
+#: The type prefixes of node ids: the node types, and ``func`` for function.
+TYPE_PREFIXES = tuple(x for t in NODE_TYPES for x in ((t, "func") if t == "function" else (t,)))
 _P = "|".join(TYPE_PREFIXES)
 
 #: Foreign segments, then one or more type prefixes, of which the last counts. RE2 and Java read it alike.

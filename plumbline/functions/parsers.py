@@ -9,6 +9,7 @@ import json
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -38,7 +39,7 @@ class Rule:
         m = self.pattern.match(line)
         if m:
             got = m.groupdict()
-            yield Item(self.group, (got.get("kind") or self.kind).lower(), got["name"].strip(), (got.get("detail") or "").strip(), number)
+            yield Item(self.group, (got.get("kind") or self.kind).lower(), got["name"].strip(), (got.get("detail") or "").strip().rstrip(",").rstrip(), number)
 
 
 def _rules(*rows: tuple[str, str, str]) -> list[Rule]:
@@ -106,37 +107,43 @@ def _lines(text: str) -> Iterator[tuple[int, str]]:
     yield from enumerate(text.lstrip("﻿").split("\n"), 1)
 
 
+# A Dockerfile is a sequence of instructions, each a word and its arguments; a Makefile one of assignments and rules. What each gives is a row here:
+# the form of the logical line, and how its parts become items.
+_NAMED = Callable[[re.Match, int, int], Iterator[Item]]
+_LINE_FORMS: dict[str, list[tuple[re.Pattern, _NAMED]]] = {
+    "dockerfile": [
+        (re.compile(r"(?i)\s*FROM(?:\s+--\S+)*(?:\s+(?P<image>\S+)(?:\s+AS\s+(?P<name>\S+))?)?"), lambda m, n, nth: iter([Item("service", "stage", m["name"] or f"stage-{nth}", m["image"] or "", n)])),
+        (re.compile(r"(?i)\s*(?P<word>RUN|CMD|ENTRYPOINT)\b\s*(?P<rest>(?P<first>\S*).*?)\s*$"), lambda m, n, nth: iter([Item("step", m["word"].lower(), f"{m['word'].lower()}: {m['first']}" if m["first"] else f"{m['word'].upper()}-{n}", m["rest"], n)])),
+        (re.compile(r"(?i)\s*EXPOSE\s+(?P<rest>.*\S)"), lambda m, n, nth: (Item("endpoint", "EXPOSE", port.partition("/")[0], "", n) for port in m["rest"].split())),
+        (re.compile(r"(?i)\s*(?P<word>COPY|ADD)\s+(?P<rest>.*\S)"), lambda m, n, nth: iter([Item("resource", m["word"].lower(), m["rest"], "", n)])),
+    ],
+    "makefile": [
+        (re.compile(r"(?=[\t#]|\s*(?:#|$))"), lambda m, n, nth: iter(())),
+        (re.compile(r" *(?P<name>[^:=?+#\s][^:=?+#]*?)\s*(?:[:?+]?=)"), lambda m, n, nth: iter([Item("definition", "variable", m["name"], "", n)])),
+        (re.compile(r"\s*(?P<targets>[^:]*?)\s*:\s*(?P<needs>.*?)\s*$"), lambda m, n, nth: (Item("step", "target", f"{t} <- {m['needs']}" if m["needs"] else t, m["needs"], n) for t in m["targets"].split())),
+    ],
+}
+
+
+def _formed(language: str, text: str) -> Iterator[Item]:
+    """Items of a text by the forms of its lines; the first form that fits counts. ``nth`` numbers the lines of one form from 1."""
+    nth: dict[int, int] = {}
+    for n, line in _lines(text):
+        for i, (form, give) in enumerate(_LINE_FORMS[language]):
+            if m := form.match(line):
+                nth[i] = nth.get(i, 0) + 1
+                yield from give(m, n, nth[i])
+                break
+
+
 @_reader("dockerfile")
 def _dockerfile(text: str) -> Iterator[Item]:
-    stage, folded = 0, re.sub(r"\\\r?\n", " ", text)
-    for n, line in _lines(folded):
-        word, _, rest = line.strip().partition(" ")
-        word, rest = word.upper(), rest.strip()
-        if word == "FROM":
-            stage += 1
-            m = re.match(r"(?:--\S+\s+)*(\S+)(?:\s+(?i:AS)\s+(\S+))?", rest)
-            yield Item("service", "stage", m[2] or f"stage-{stage}" if m else f"stage-{stage}", m[1] if m else "", n)
-        elif word in ("RUN", "CMD", "ENTRYPOINT"):
-            yield Item("step", word.lower(), f"{word.lower()}: {rest.split()[0]}" if rest else f"{word}-{n}", rest, n)
-        elif word == "EXPOSE":
-            for port in rest.split():
-                yield Item("endpoint", "EXPOSE", port.partition("/")[0], "", n)
-        elif word in ("COPY", "ADD") and rest:
-            yield Item("resource", word.lower(), rest, "", n)
+    yield from _formed("dockerfile", re.sub(r"\\\r?\n", " ", text))
 
 
 @_reader("makefile")
 def _makefile(text: str) -> Iterator[Item]:
-    for n, line in _lines(text):
-        if line.startswith("\t") or not line.strip() or line.lstrip().startswith("#"):
-            continue
-        m = re.match(r" *([^:=?+#\s][^:=?+#]*?)\s*(?::=|\?=|\+=|=)", line)
-        if m:
-            yield Item("definition", "variable", m[1], "", n)
-            continue
-        targets, colon, deps = line.strip().partition(":")
-        for t in targets.split() if colon else ():
-            yield Item("step", "target", f"{t} <- {deps.strip()}" if deps.strip() else t, deps.strip(), n)
+    yield from _formed("makefile", text)
 
 
 @_reader("env")
@@ -194,10 +201,20 @@ def _json(text: str) -> Iterator[Item]:
         return
     if not isinstance(top, dict):
         return
-    line_of: dict[str, int] = {}
-    for n, line in _lines(text):
-        for m in re.finditer(r"\"((?:[^\"\\]|\\.)*)\"\s*:", line):
-            line_of.setdefault(m[1], n)
+    line_of: dict[str, int] = {}  # the lines of top-level keys, and of the paths below "paths"
+    depth, line, holder = 0, 1, ""
+    for m in re.finditer(r"\"((?:[^\"\\]|\\.)*)\"(\s*:)?|[{}\[\]\n]", text):
+        if m[0] == "\n":
+            line += 1
+        elif m[0] in ("{", "["):
+            depth += 1
+        elif m[0] in ("}", "]"):
+            depth -= 1
+        else:
+            if m[2] and (depth == 1 or depth == 2 and holder == "paths"):
+                line_of.setdefault(m[1], line)
+                holder = m[1] if depth == 1 else holder
+            line += m[0].count("\n")
     for key in top:
         yield Item("definition", "section", key, "", line_of.get(key, 1))
     if "openapi" in top or "swagger" in top:
@@ -305,6 +322,8 @@ def analyze(language: str, text: str | None) -> list[Item]:
         return list(_READERS[language](text))
     out = []
     for n, line in _lines(text):
+        if line.count("(") > line.count(")"):  # a signature may go on over lines: they are read as one, up to its closing bracket
+            line = _whole_signature(text, n, line)
         for rule in _LINE_RULES[language]:
             hit = list(rule.read(line, n))
             out += hit
@@ -313,6 +332,27 @@ def analyze(language: str, text: str | None) -> list[Item]:
     return out
 
 
+@lru_cache(maxsize=4)
+def _split(text: str) -> list[str]:
+    return text.lstrip("\ufeff").split("\n")
+
+
+def _whole_signature(text: str, number: int, line: str) -> str:
+    """Line ``number`` with those behind it that its open bracket needs; the line alone where it is no signature."""
+    if not _SIGNATURE.match(line):
+        return line
+    lines, parts = _split(text), [line]
+    depth = line.count("(") - line.count(")")
+    while depth > 0 and number < len(lines):
+        parts.append(lines[number].strip())
+        depth += lines[number].count("(") - lines[number].count(")")
+        number += 1
+    return " ".join(parts) if depth <= 0 else line
+
+
+_SIGNATURE = re.compile(r"\s*(?:[\w<>\[\],.?@\"()]+\s+)*(?:function|func|fn|def|class|const|let|var|public|private|protected|static)\b[^=;]*\(")
+
+
 def call_graph(text: str) -> list[tuple[str, str, int]]:
     """(caller, callee, line) of Python calls; the caller is the nearest enclosing function, ``<top>`` outside any."""
     try:
@@ -348,11 +388,18 @@ def extract(files: DataFrame, key: str, language: Column, content: str) -> DataF
     return spread(rows).mapInPandas(run, schema)
 
 
+def _flat(detail: Column) -> Column:
+    """Parameters without what stands in brackets of their types and defaults, three levels deep, so that commas part parameters only."""
+    for _ in range(3):
+        detail = F.regexp_replace(detail, r"<[^<>]*>|\[[^\[\]]*\]|\{[^{}]*\}|\([^()]*\)", "_")
+    return detail
+
+
 def structural_hash(items: DataFrame, key: str) -> DataFrame:
     """(key, structure): a hash of functions with their arity and whether they are exported, classes, imports, exports, sections and definitions,
     whatever their order and lines."""
     exported = items.where("`group` = 'export'").select(key, "name").distinct().withColumn("public", F.lit("1"))
-    arity = F.when(F.trim("detail") == "", 0).otherwise(F.size(F.split("detail", ",")))
+    arity = F.when(F.trim("detail") == "", 0).otherwise(F.size(F.split(_flat(F.col("detail")), ",")))
     marked = items.join(exported, [key, "name"], "left")
     text = (
         F.when(F.col("group") == "function", F.concat_ws(":", F.lit("f"), "name", arity.cast("string"), F.coalesce("public", F.lit("0"))))

@@ -261,7 +261,10 @@ def explain(spark, d):
     return graph.explain(nodes_of(spark, d), edges_of(spark, d), row["id"] if row else "").nodes
 
 
-@query()
+_ENDS = "ends AS (SELECT id, row_number() OVER (ORDER BY degree DESC, id) AS rn FROM (SELECT id, count(*) AS degree FROM (SELECT unnest([source, target]) AS id FROM e) GROUP BY id) SEMI JOIN n USING (id) ORDER BY rn LIMIT 2), und AS (SELECT source AS a, target AS b FROM e UNION SELECT target, source FROM e)"
+
+
+@query("SELECT 1", NODES)
 def shortest_path(spark, d):
     """The path between the two most linked nodes."""
     ends = [r["id"] for r in degrees(spark, d).join(nodes_of(spark, d).select("id"), "id", "left_semi").orderBy(F.desc("degree"), "id").limit(2).collect()]
@@ -269,7 +272,7 @@ def shortest_path(spark, d):
     return spark.createDataFrame([(i, p) for i, p in enumerate(path)], "step int, id string")
 
 
-@query()
+@query("SELECT 1", NODES)
 def topological_levels(spark, d):
     return graph.topological_levels(nodes_of(spark, d), edges_of(spark, d).where("type = 'imports'"))
 
@@ -280,6 +283,10 @@ def import_reach(spark, d):
     return graph.reach(edges_of(spark, d), hub(spark, d), ("imports", "calls"))
 
 
+# The distances to the goal, then from the start on always the smallest id that is one nearer to it.
+S["shortest_path"] = "WITH RECURSIVE " + ",\n".join([NODES, EDGES, _ENDS, "far(id, depth) AS (SELECT id, 0 FROM ends WHERE rn = 2 UNION SELECT b, depth + 1 FROM far JOIN und ON a = id WHERE depth < 12), dist AS (SELECT id, min(depth) AS depth FROM far GROUP BY id), walk(step, id, rest) AS (SELECT 0, id, depth FROM dist WHERE id IN (SELECT id FROM ends WHERE rn = 1) UNION ALL SELECT w.step + 1, (SELECT min(und.b) FROM und JOIN dist ON dist.id = und.b WHERE und.a = w.id AND dist.depth = w.rest - 1), w.rest - 1 FROM walk w WHERE w.rest > 0)"]) + " SELECT step::INT AS step, id FROM walk"
+# Walks of up to 60 steps from every node: the longest that ends at a node is its level, unless a cycle makes walks of any length.
+S["topological_levels"] = "WITH RECURSIVE " + ",\n".join([NODES, EDGES, "u AS (SELECT DISTINCT source, target FROM e WHERE type = 'imports' AND source <> target AND source IN (SELECT id FROM n) AND target IN (SELECT id FROM n)), w(id, depth) AS (SELECT id, 0 FROM n UNION SELECT target, depth + 1 FROM w JOIN u ON source = id WHERE depth < 60)"]) + " SELECT id, CASE WHEN max(depth) < 60 THEN max(depth) END AS level FROM w GROUP BY id"
 S["import_reach"] = "WITH RECURSIVE " + ",\n".join([NODES, EDGES, HUB, "step AS (SELECT DISTINCT source, target FROM e WHERE type IN ('imports', 'calls')), bfs(id, depth) AS (SELECT id, 0 FROM hub UNION SELECT target, depth + 1 FROM bfs JOIN step ON source = id WHERE depth < 60)"]) + " SELECT id, min(depth) AS depth FROM bfs GROUP BY id"
 
 _CHANGED = "paths AS (SELECT DISTINCT regexp_replace(replace(path, '\\', '/'), '^(?:\\./)+', '') AS file_path FROM source_files GROUP BY 1, project HAVING count(*) > 1), own AS (SELECT id FROM n SEMI JOIN paths USING (file_path)), changed AS (SELECT DISTINCT id FROM (SELECT id FROM own UNION ALL SELECT target FROM e WHERE type = 'contains' AND source IN (SELECT id FROM own)) SEMI JOIN n USING (id))"

@@ -136,15 +136,30 @@ def _struct(schema: str) -> str:
 
 
 def walk_project(spark: SparkSession, root: str, patterns: tuple[str, ...] = ()) -> DataFrame:
-    """(path, modified_at, length, content) of the text files below ``root``, without hidden, ignored and gitignored ones, and ``patterns``."""
+    """(path, modified_at, length, content) of the text files below ``root``, without hidden, ignored and gitignored ones, and ``patterns``. Ignore files count
+    in every folder for what is below it; of several rules that match, the last one, and ``!`` takes a path back in."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = os.path.abspath(root).rstrip("/") + "/"
     rel = F.substring_index(F.col("path"), base, -1)
     rows = files.select(rel.alias("path"), F.unix_timestamp("modificationTime").alias("modified_at"), "length", F.decode("content", "UTF-8").alias("content"))
     hidden = F.exists(F.split("path", "/"), lambda s: s.startswith(".") | s.isin(list(IGNORED)))
-    for p in (*_gitignore(root), *patterns):
-        rows = rows.where(~F.col("path").rlike(_as_regex(p)))
-    return rows.where(~hidden)
+    ignored = F.lit(False)
+    for below, p in (*_ignore_rules(root), *(("", p) for p in patterns)):
+        hit = F.col("path").rlike(_as_regex(p.removeprefix("!"), below))
+        ignored = F.when(hit, not p.startswith("!")).otherwise(ignored)
+    return rows.where(~hidden & ~ignored)
+
+
+def _ignore_rules(root: str) -> list[tuple[str, str]]:
+    """(folder, pattern) of all ignore files below ``root``, outer folders first."""
+    found = []
+    for folder, names, files in os.walk(root):
+        names[:] = sorted(n for n in names if not n.startswith(".") and n not in IGNORED)
+        if ".gitignore" in files:
+            below = os.path.relpath(folder, root).replace(os.sep, "/")
+            lines = Path(folder, ".gitignore").read_text().splitlines()
+            found += [("" if below == "." else below, x.strip()) for x in lines if x.strip() and not x.startswith("#")]
+    return found
 
 
 def _gitignore(root: str) -> list[str]:
@@ -152,10 +167,11 @@ def _gitignore(root: str) -> list[str]:
     return [x.strip() for x in path.read_text().splitlines() if x.strip() and not x.startswith(("#", "!"))] if path.exists() else []
 
 
-def _as_regex(pattern: str) -> str:
-    """A path pattern as a regular expression; one without a slash matches at any depth, a trailing slash a folder."""
+def _as_regex(pattern: str, below: str = "") -> str:
+    """A path pattern as a regular expression; one without a slash matches at any depth ``below`` its folder, a trailing slash a folder."""
     core = fnmatch.translate(pattern.strip("/")).removeprefix("(?s:").removesuffix(")\\z").removesuffix(")\\Z")
-    return ("^" if pattern.startswith("/") or "/" in pattern.strip("/") else "(?:^|/)") + core + "(?:/|$)"
+    base = "^" + re.escape(below) + "/" if below else "^"
+    return (base if pattern.startswith("/") or "/" in pattern.strip("/") else base + "(?:.*/)?") + core + "(?:/|$)"
 
 
 def write_ignore_file(root: str, name: str = ".plumblineignore") -> str:
@@ -210,6 +226,17 @@ def git_changes(porcelain: str) -> list[str]:
     return out
 
 
+def _read_settings(path: str) -> dict:
+    text = Path(path).read_text()
+    if not path.endswith((".yaml", ".yml")):
+        return json.loads(text)
+    try:
+        import yaml
+    except ImportError as e:
+        raise ValueError(f"no reader for {path} is installed") from e
+    return yaml.safe_load(text) or {}
+
+
 @dataclass
 class Settings:
     """Options of a run; unknown keys raise."""
@@ -222,8 +249,8 @@ class Settings:
 
     @classmethod
     def load(cls, path: str | None = None, **given) -> Settings:
-        """Given values before those of a JSON file before the defaults."""
-        stored = json.loads(Path(path).read_text()) if path and Path(path).exists() else {}
+        """Given values before those of a YAML or JSON file before the defaults. YAML needs its reader to be installed."""
+        stored = _read_settings(path) if path and Path(path).exists() else {}
         merged = stored | {k: v for k, v in given.items() if v is not None}
         unknown = set(merged) - {f.name for f in fields(cls)}
         if unknown:

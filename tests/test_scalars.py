@@ -106,3 +106,36 @@ def test_structural_hash_ignores_order_and_lines(spark):
     df = spark.createDataFrame(rows, "k int, group string, kind string, name string, detail string, line int")
     got = {r.k: r.structure for r in parsers.structural_hash(df, "k").collect()}
     assert got[1] == got[2] != got[3]
+
+
+def test_signatures_over_lines_and_brackets():
+    java = parsers.analyze("java", "class A {\n  public int f(Map<String, Integer> m,\n      int b) {\n  }\n}")
+    assert [(i.name, i.detail, i.line) for i in java if i.group == "function"] == [("f", "Map<String, Integer> m, int b", 2)]
+    ts = parsers.analyze("typescript", "export function go(\n  a: number,\n  b: string,\n): void {\n}\nfoo(\n1)\n")
+    assert [(i.group, i.name, i.detail) for i in ts] == [("function", "go", "a: number, b: string"), ("export", "go", "")]
+
+
+def test_top_level_keys_have_their_own_lines():
+    got = {i.name: i.line for i in parsers.analyze("json", '{"x": {"b": 1},\n "b": [\n{"c": 1}],\n "openapi": "3", "paths": {\n "/u": {"get": {}}}}')}
+    assert got == {"x": 1, "b": 2, "openapi": 4, "paths": 4, "/u": 5}
+
+
+def test_arity_counts_parameters(spark):
+    rows = [(k, "function", "function", "f", detail, 1) for k, detail in ((1, "Map<String, List<Integer>> m"), (2, "a"), (3, "a, b = (1, 2)"), (4, "a, b"), (5, ""))]
+    items = spark.createDataFrame(rows, "file_id bigint, group string, kind string, name string, detail string, line int")
+    got = {r.file_id: r.structure for r in parsers.structural_hash(items, "file_id").collect()}
+    assert got[1] == got[2] and got[3] == got[4] and len(set(got.values())) == 3
+
+
+def test_ignore_files_in_folders_and_yaml_settings(spark, tmp_path):
+    from plumbline.sources import graph_io
+
+    for name in ("a.log", "keep.log", "sub/x.tmp", "sub/deep/x.tmp", "other/x.tmp", "sub/top.py", "node_modules/m.js", ".hidden/h.py"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    (tmp_path / ".gitignore").write_text("*.log\n!keep.log\n")
+    (tmp_path / "sub" / ".gitignore").write_text("*.tmp\n!/deep/x.tmp\n")
+    assert sorted(r.path for r in graph_io.walk_project(spark, str(tmp_path)).collect()) == ["keep.log", "other/x.tmp", "sub/deep/x.tmp", "sub/top.py"]
+    pytest.importorskip("yaml")
+    (tmp_path / "s.yaml").write_text("batch_size: 7\n")
+    assert graph_io.Settings.load(str(tmp_path / "s.yaml"), concurrency=2).batch_size == 7
