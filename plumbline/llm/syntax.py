@@ -470,6 +470,8 @@ class Parser:
         begin, depth = at, 0
         while m := _PY_FIELD.search(text, at):
             t, at = m[0], m.end()
+            if t[0] == "#":
+                continue
             if t[-1] in "\"'":
                 prefix = t.rstrip("\"'").lower()
                 mark = t[len(prefix) :]
@@ -478,7 +480,7 @@ class Parser:
                 depth += 1
             elif t in ")]" or t == "}" and depth:
                 depth -= 1
-            elif depth or t[0] == "#" or t == "!=":
+            elif depth or t == "!=":
                 continue
             else:
                 inside = text[begin : m.start()].rstrip()
