@@ -467,10 +467,11 @@ class Parser:
 
     def _field(self, text: str, at: int, quote: str, inner: int) -> int:
         """End of the replacement field whose contents begin at ``at``."""
-        begin, depth = at, 0
+        begin, depth, remark = at, 0, None
         while m := _PY_FIELD.search(text, at):
             t, at = m[0], m.end()
             if t[0] == "#":
+                remark = m
                 continue
             if t[-1] in "\"'":
                 prefix = t.rstrip("\"'").lower()
@@ -483,7 +484,8 @@ class Parser:
             elif depth or t == "!=":
                 continue
             else:
-                inside = text[begin : m.start()].rstrip()
+                last = remark is not None and not text[remark.end() : m.start()].strip()
+                inside = text[begin : remark.start() if last else m.start()].rstrip()
                 if inside.endswith("=") and inside[-2:-1] not in "=!<>":
                     inside = inside[:-1]
                 if not inside.strip():

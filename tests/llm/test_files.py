@@ -314,7 +314,7 @@ def test_marks_are_read_from_comments_of_the_whole_text(path, text, why):
 
 
 EMBEDDED = {
-    "py": (['f"{x=}" f"{y!r:>{w}}" f"{{}}"\n', "f'{f' {x}' if x else ''}'\n", 'rf"\\{x}" f"\\N{DASH}"\n', 'f"""{\n x # c\n}"""\n', "f'''{# f'a {b}'\n86 # c\n}'''\n", "a.b: int = 1_0\n[a, *b] = c.d[0] = e\n", "x = 0o17 + 1e5j + .5\n"], ['f"{a b}"', 'f"{}"', 'f"}"', 'f"{x!z}"', "f() = 1", "x = 08", "print(a) += 1", "for f() in x: pass", "'a' = 1"]),
+    "py": (['f"{x=}" f"{y!r:>{w}}" f"{{}}"\n', "f'{f' {x}' if x else ''}'\n", 'rf"\\{x}" f"\\N{DASH}"\n', 'f"""{\n x # c\n}"""\n', "f'''{# f'a {b}'\n86 # c\n}'''\n", "f'{1+2 = # c\n  }'\n", "a.b: int = 1_0\n[a, *b] = c.d[0] = e\n", "x = 0o17 + 1e5j + .5\n"], ['f"{a b}"', 'f"{}"', 'f"}"', 'f"{x!z}"', "f() = 1", "x = 08", "print(a) += 1", "for f() in x: pass", "'a' = 1"]),
     "js": (["x = `a${`b${c({ d: '}' })}`}`;\n", "const a = [\n  b,\n  /x[/]y/g,\n];\n", "const e = <b c={d => `${d}`}>{/* none */}{...f}</b>;\n"], ["`${a b}`;", "return 1;\n", "const a = <b>{ if ( }</b>;"]),
     "cjs": (["if (x) {}\nreturn 1;\n"], ["return 1 2;"]),
     "tsx": (["type K = `on${Capitalize<string & P>}`;\nconst m = new Map<string, { a: b }>();\n"], ["const a = <b c={d e}/>;"]),
