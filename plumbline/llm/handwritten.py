@@ -28,6 +28,11 @@ _GENERATED = re.compile(
 _HAND = re.compile(r"(?i)\bedited by hand\b|\bhand-?written\b|\bwrites? the\b|\bthat generated\b")
 #: Words of which a mark or banner holds at least one; only texts with one are read by tokens for their comments.
 _MARKED = re.compile(r"(?i)generated|automatically|machine[- ]written|auto[- ]written|changes will be|(?:do not|don't) (?:edit|modify)|@licen[cs]e|@preserve|\blicen[cs]ed?\b|\(c\)|©|\bcopyright\b|\btoolkit\b|\bauthors\b|\bcontributors\b|released under|\bcopy\b|\bcopied\b|\bupstream\b")
+#: The words of ``_MARKED`` in lower case, to be sought as plain text, which costs a fraction of a pattern without case: those that count wherever they stand,
+#: and the beginnings of those that count as whole words, which are then read by their pattern.
+_ANYWHERE = ("generated", "automatically", "machine-written", "machine written", "auto-written", "auto written", "changes will be", "do not edit", "do not modify", "don't edit", "don't modify", "@license", "@licence", "@preserve", "(c)", "©", "released under")
+_BEGINNINGS = ("licen", "copy", "copied", "toolkit", "authors", "contributors", "upstream")
+_WHOLE = re.compile(r"\b(?:licen[cs]ed?|copyright|toolkit|authors|contributors|copy|copied|upstream)\b")
 _QUOTED = r"\"\"\".*?(?:\"\"\"|\Z)|\'\'\'.*?(?:\'\'\'|\Z)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'"
 _SLASHED = re.compile(r"(//[^\n]*|/\*.*?(?:\*/|\Z)|<!--.*?(?:-->|\Z))|" + _QUOTED + r"|`(?:[^`\\]|\\.)*`", re.S)
 _HASHED = re.compile(r"(#[^\n]*)|" + _QUOTED, re.S)
@@ -38,10 +43,11 @@ _LICENCE_TAG = re.compile(r"(?i)@(?:license|licence|preserve)\s+\S+")
 _RELEASE = re.compile(r"(?i)(?=.*\bv?\d+\.\d+\.\d+\b)(?=.*(?:\blicen[cs]ed?\b|\(c\)|©|\bcopyright\b|\btoolkit\b|\bauthors\b|\bcontributors\b|\breleased under\b))")
 _LOCAL_COPY = re.compile(r"(?i)\b(?:local|vendored|verbatim) copy\b|\bcopied (?:verbatim )?from\b|\bin step with upstream\b|\bupstream (?:version|source)\b")
 _TRANSPILED = re.compile(r"\"__esModule\"|'__esModule'|\bvar __\w+ = \(this && this\.__\w+\)|\b_interopRequire\w+\(|\b__webpack_require__\b|\bexports\.\w+ = void 0;|\(0, \w+\.\w+\)\(")
+_TRANSPILED_WORDS = ("__esModule", "var __", "_interopRequire", "__webpack_require__", "exports.", "(0, ")
 _STRING = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'")
 _NAME = re.compile(r"[A-Za-z_$][\w$]*")
 _NUMBER = re.compile(r"(?<![\w.])[-+]?(?:0[xX][0-9a-fA-F_]+|\d[\d_.]*(?:[eE][-+]?\d+)?)[a-zA-Z0-9]{0,3}")
-_SERIAL = re.compile(r"[A-Za-z_](\d{1,5})_?\b")
+_SERIAL = re.compile(r"(\d(?<=[A-Za-z_]\d)\d{0,4})_?\b")
 _LOCKED = re.compile(r"^\s*[\"']?(?:version|resolved|integrity|checksum|sha\d+|hash|resolution|dependencies|requires|lockVersion|lockfileVersion|source)[\"']?\s*[:= ]", re.M)
 _LOCK_NAME = re.compile(r"(?i)(?:^|/)[\w.-]*(?:lock|shrinkwrap|\.sum)[\w.-]*$")
 CONFIG = frozenset(("json", "yaml", "yml", "toml", "env", "ini"))
@@ -69,9 +75,17 @@ def comments(text: str, ext: str) -> Iterator[tuple[str, bool]]:
                 yield line[_SIGN.match(line).end() :], leading
 
 
+def marked(text: str) -> bool:
+    """Whether ``_MARKED`` is found in the text, by its words as plain text."""
+    if not text.isascii() and any(c in text for c in "İıſ"):  # a pattern without case takes these as i and s, lower() does not
+        return _MARKED.search(text) is not None
+    low = text.lower()
+    return any(w in low for w in _ANYWHERE) or any(w in low for w in _BEGINNINGS) and _WHOLE.search(low) is not None
+
+
 def stated(text: str, ext: str) -> str | None:
     """``generated`` or ``vendored`` by what a comment of the text says; None if none does."""
-    if not _MARKED.search(text):
+    if not marked(text):
         return None
     for line, leading in comments(text, ext):
         if _GENERATED.search(line) and not _HAND.search(line):
@@ -92,7 +106,7 @@ def composition(text: str, path: str) -> str | None:
         if marks >= 4 and marks >= (0.3 if _LOCK_NAME.search(path) else 0.4) * (lines - text.count("}")):
             return "generated"
         return None
-    if ext in ("js", "mjs", "cjs", "jsx", "ts") and _TRANSPILED.search(text):
+    if ext in ("js", "mjs", "cjs", "jsx", "ts") and any(w in text for w in _TRANSPILED_WORDS) and _TRANSPILED.search(text):
         return "generated"
     # Literal tables: more than four of five tokens are literals, or three quarters of the text are opaque ones.
     digits = sum(map(text.count, "0123456789"))

@@ -1,5 +1,6 @@
 import ast
 import json
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -313,6 +314,35 @@ def test_marks_are_read_from_comments_of_the_whole_text(path, text, why):
     assert H.composition(text, path) == why
 
 
+MARK_PARTS = ("copy", "_copy", " ", "\n", "-", "a", "Upstream", "LICENCE", "licenſe", "lİcense", "(C)", "©", "don't ", "Edit", "ß", "copied", "auto-", "written", "Machine ", "Generated", "automatıcally", "@preserve", "released under")
+
+
+@given(st.lists(st.sampled_from(MARK_PARTS), max_size=6).map("".join))
+@settings(max_examples=500, deadline=None)
+def test_words_as_plain_text_find_what_the_pattern_finds(text):
+    assert H.marked(text) == (H._MARKED.search(text) is not None)
+
+
+def test_texts_without_marks_cost_a_fraction_of_the_pattern():
+    text = "const timeout = await load(settings, upstreamName);\n" * 4_000
+
+    def least(f):
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            assert f() is None
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert least(lambda: H.stated(text, "js")) < 0.5 * least(lambda: H._MARKED.search(text))
+
+
+def test_transpiled_marks_and_serial_names():
+    for mark in ("exports.\"__esModule\" = 1", "var __a = (this && this.__a)", "_interopRequireX(a)", "__webpack_require__(1)", "exports.a = void 0;", "(0, a.b)(c)"):
+        assert H.composition(f"f();\n{mark}\n", "a.js") == "generated"
+    assert H._SERIAL.findall("a1 b22_ _3 4 x$5 é6 a7b c123456 d8_9 A0") == ["1", "22", "3", "9", "0"]
+
+
 EMBEDDED = {
     "py": (['f"{x=}" f"{y!r:>{w}}" f"{{}}"\n', "f'{f' {x}' if x else ''}'\n", 'rf"\\{x}" f"\\N{DASH}"\n', 'f"""{\n x # c\n}"""\n', "f'''{# f'a {b}'\n86 # c\n}'''\n", "f'{1+2 = # c\n  }'\n", "a.b: int = 1_0\n[a, *b] = c.d[0] = e\n", "x = 0o17 + 1e5j + .5\n"], ['f"{a b}"', 'f"{}"', 'f"}"', 'f"{x!z}"', "f() = 1", "x = 08", "print(a) += 1", "for f() in x: pass", "'a' = 1"]),
     "js": (["x = `a${`b${c({ d: '}' })}`}`;\n", "const a = [\n  b,\n  /x[/]y/g,\n];\n", "const e = <b c={d => `${d}`}>{/* none */}{...f}</b>;\n"], ["`${a b}`;", "return 1;\n", "const a = <b>{ if ( }</b>;"]),
